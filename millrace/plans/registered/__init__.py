@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-PARTS = ("kpis", "cleaning")
+PARTS = ("kpis", "cleaning", "repair", "quality", "transcripts", "questions")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
