@@ -388,7 +388,7 @@ def deviations_clad(spark, sf):
 )
 def valid_rows(spark, sf):
     parts = None
-    for name, df in tb.plant_tables(spark, sf).items():
+    for name, df in tb.PlantTables(spark, sf).items():
         if name in filters.MANDATORY:
             part = df.agg(
                 F.count("*").alias("rows"), F.count_if(filters.is_valid(name)).alias("valid_rows")

@@ -10,7 +10,7 @@ def _ask(name, oracle, *ctes, **params):
     function = getattr(questions, name)
 
     def run(spark, sf):
-        return function(tb.plant_tables(spark, sf), **params)
+        return function(tb.PlantTables(spark, sf), **params)
 
     run.__doc__ = function.__doc__
     query(name, with_tables(*ctes, body=oracle))(run)

@@ -6,6 +6,8 @@ work grows with the data. ``SQL`` holds the same projections for DuckDB.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators import derive
@@ -193,17 +195,30 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def plant_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The facts the question catalogue reads; nothing is scanned until asked."""
-    return {
-        schemas.PERIODIC_GMAW: periodic_gmaw(spark, sf_dir),
-        schemas.DEVIATION: deviations(spark, sf_dir),
-        schemas.DERIVED_GMAW: work_periods(spark, sf_dir),
-        schemas.SUMMARY_GASCUTTING: cuts(spark, sf_dir),
-        schemas.NONCUTTING: heating_passes(spark, sf_dir),
-        schemas.SUMMARY_CLAD: sessions(spark, sf_dir),
+class PlantTables(Mapping):
+    """The facts the question catalogue reads, each built when asked for."""
+
+    BUILDERS = {
+        schemas.PERIODIC_GMAW: periodic_gmaw,
+        schemas.DEVIATION: deviations,
+        schemas.DERIVED_GMAW: work_periods,
+        schemas.SUMMARY_GASCUTTING: cuts,
+        schemas.NONCUTTING: heating_passes,
+        schemas.SUMMARY_CLAD: sessions,
     }
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.source = (spark, sf_dir)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.BUILDERS[name](*self.source)
+
+    def __iter__(self):
+        return iter(self.BUILDERS)
+
+    def __len__(self) -> int:
+        return len(self.BUILDERS)
+
 
 _SHIFT = "CASE WHEN hour(ts) >= 6 AND hour(ts) < 14 THEN 'A' WHEN hour(ts) >= 14 AND hour(ts) < 22 THEN 'B' ELSE 'C' END"
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Plants report local time; sources carry explicit offsets, so the session zone
 # only decides how instants are shown and which day they fall on.
@@ -29,6 +29,20 @@ def get_spark(app: str = "millrace", cores: int | str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+# A lookup side of at most this many narrow rows is copied to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint after counting up to the bound; beyond it the join shuffles
+    and adaptive execution splits skewed keys.
+
+    For lookup sides behind an aggregate, whose size the optimizer cannot know
+    before it has shuffled the large side as well.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; survives lost executors.
 

@@ -41,9 +41,10 @@ def read_table(spark: SparkSession, table: str, root: str | None = None) -> Data
 
 
 def machine_types(spark: SparkSession) -> DataFrame:
-    """The seed rows of the type dimension."""
-    rows = [(k, v, True) for k, v in schemas.MACHINE_TYPES.items()]
-    return spark.createDataFrame(rows, "mtid smallint, machine_type_name string, is_active boolean")
+    """The seed rows of the type dimension. As VALUES the optimizer knows their size
+    and broadcasts them, never the table they are joined to."""
+    rows = ", ".join(f"({k}S, '{v}', true)" for k, v in schemas.MACHINE_TYPES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(mtid, machine_type_name, is_active)")
 
 
 def read_jdbc(
