@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -19,6 +19,9 @@ NULL_TOKENS = (
 TRUE_TOKENS = ("True", "true", "TRUE")
 FALSE_TOKENS = ("False", "false", "FALSE")
 
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,11 +47,20 @@ def flag_letter(c: Column | str) -> Column:
 def to_integer(c: Column | str, as_type: str = "bigint") -> Column:
     """Read ``14.0`` as 14, truncating toward zero; unreadable text becomes NULL.
 
-    Plain digit strings skip the detour through double, which would lose digits
-    beyond 2^53.
+    Plain digits are cast directly: the detour through double would lose digits
+    beyond 2^53. The pattern decides beforehand, because a failing ``try_cast``
+    raises and catches inside the JVM and is some twenty times slower.
     """
     text = col(c).cast("string")
-    return F.coalesce(text.try_cast(as_type), text.try_cast("double").try_cast(as_type))
+    number = text.rlike(NUMBER)
+    whole = text.rlike(WHOLE_NUMBER)
+    return F.when(whole, text.try_cast(as_type)).when(number, text.try_cast("double").try_cast(as_type))
+
+
+def to_double(c: Column | str) -> Column:
+    """Decimal text to double without raising on junk."""
+    text = col(c).cast("string")
+    return F.when(text.rlike(NUMBER), text.cast("double"))
 
 
 def is_missing(c: Column | str) -> Column:
@@ -73,17 +85,20 @@ def lookup(c: Column | str, mapping: Mapping[str, str]) -> Column:
 
 
 def first_of_pair(c: Column | str) -> Column:
-    return F.try_element_at(F.split(col(c), ","), F.lit(1)).try_cast("double")
+    return to_double(F.try_element_at(F.split(col(c), ","), F.lit(1)))
 
 
 def second_of_pair(c: Column | str) -> Column:
-    return F.try_element_at(F.split(col(c), ","), F.lit(2)).try_cast("double")
+    return to_double(F.try_element_at(F.split(col(c), ","), F.lit(2)))
 
 
 def contains_any(c: Column | str, keywords: Iterable[str]) -> Column:
-    """True when the lower-cased text holds one of the keywords as a substring."""
-    pattern = "|".join(re.escape(k).replace(r"\ ", " ") for k in keywords)
-    return F.lower(col(c)).rlike(pattern)
+    """True when the lower-cased text holds one of the keywords as a substring.
+
+    A chain of substring searches; an alternation of 17 words is three times slower.
+    """
+    lowered = F.lower(col(c))
+    return reduce(lambda found, k: found | lowered.contains(k), keywords, F.lit(False))
 
 
 def strip_fences(c: Column | str) -> Column:

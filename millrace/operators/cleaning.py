@@ -58,6 +58,8 @@ def typed(c: Column, target: T.DataType) -> Column:
             return F.substring(c, 1, 10).try_cast("date")
         case T.StringType():
             return c.cast("string")
+        case T.DoubleType():
+            return text.to_double(c)
         case _:
             return c.try_cast(target)
 
@@ -124,31 +126,33 @@ def clean_table(
 
 
 def with_rejections(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Typed row as ``clean``, input row as ``source``, offending columns as ``rejected``.
+    """The table's columns, the input row as ``source`` and the offending columns as
+    ``rejected`` (comma-separated, empty for a good row).
 
     A row is rejected when a cell holds text its type cannot read, exceeds the
     declared length, or is missing though required. Unknown boolean spellings
     are NULL by rule and no reason to reject.
+
+    Cells are cast once: unnesting a one-element array keeps the optimizer from
+    copying the casts into every check and into the filter behind it.
     """
     blanked = normalise_nulls(df)
     names = _source_names(df, aliases)
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    staged = blanked.select(
-        whole.alias("source"), F.struct(*align_columns(blanked, table, aliases)).alias("clean")
-    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("source")
+    cells = blanked.select(whole, F.inline(F.array(F.struct(*align_columns(blanked, table, aliases)))))
     reasons = []
     for field in schemas.schema_of(table):
-        cell = F.col(f"clean.{field.name}")
+        cell = F.col(field.name)
         source = names.get(field.name.lower())
         bad = F.lit(False)
-        if source is not None and not isinstance(field.dataType, T.BooleanType):
+        if source is not None and not isinstance(field.dataType, (T.BooleanType, T.VarcharType)):
             bad = cell.isNull() & F.col(f"source.`{source}`").isNotNull()
-        if isinstance(field.dataType, T.VarcharType):
-            bad = bad | (F.length(cell) > field.dataType.length)
+        if source is not None and isinstance(field.dataType, T.VarcharType):
+            bad = F.length(cell) > field.dataType.length
         if not field.nullable:
             bad = bad | cell.isNull()
         reasons.append(F.when(bad, F.lit(field.name)))
-    return staged.withColumn("rejected", F.array_compact(F.array(*reasons)))
+    return cells.withColumn("rejected", F.concat_ws(",", *reasons))
 
 
 def decode_letters(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import numeric, text
-from millrace.operators.repair import unit_for
+from millrace.operators.repair import UNIT_OF
 
 # A shift has 480 minutes; limits of travel and of reliable speed.
 SHIFT_MINUTES = 480
@@ -38,8 +38,8 @@ def allocation_valid(total: Column | str, idle: Column | str, shift_minutes: int
 
 def efficiencies() -> dict[str, Column]:
     return {
-        "arc_efficiency_pct": numeric.percent(F.col("active"), F.col("target_arc_time")),
-        "deposit_efficiency_pct": numeric.percent(F.col("deposit"), F.col("target_deposit")),
+        "arc_efficiency_pct": numeric.row_percent(F.col("active"), F.col("target_arc_time")),
+        "deposit_efficiency_pct": numeric.row_percent(F.col("deposit"), F.col("target_deposit")),
     }
 
 
@@ -138,26 +138,26 @@ def threshold_breaches(
 ) -> DataFrame:
     """One row per reading above its high or below its low limit.
 
-    Breaching parameters of a row become an array that is unnested, so the input
-    is read once and quiet rows produce nothing.
+    The parameters of a row are unnested and filtered, so the input is read once
+    and everything stays inside generated code.
     """
-
-    def breach(parameter: str) -> Column:
-        reading = F.col(parameter)
-        side = F.when(reading > F.col(f"high_{parameter}_threshold"), "high").when(
-            reading < F.col(f"low_{parameter}_threshold"), "low"
-        )
-        found = F.struct(F.lit(parameter).alias("parameter"), side.alias("type"), reading.alias("reading"))
-        return F.when(side.isNotNull(), found)
-
-    breaches = F.array_compact(F.array(*[breach(p) for p in parameters]))
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("parameter"),
+                F.lit(UNIT_OF.get(p)).cast("string").alias("parameter_unit"),
+                F.col(p).cast("double").alias("reading"),
+                F.col(f"high_{p}_threshold").cast("double").alias("high"),
+                F.col(f"low_{p}_threshold").cast("double").alias("low"),
+            )
+            for p in parameters
+        ]
+    )
+    above, below = F.col("reading") > F.col("high"), F.col("reading") < F.col("low")
     return (
-        df.select(*keep, F.explode(breaches).alias("b"))
-        .select(*keep, "b.*")
-        .withColumns(
-            {
-                "deviation_label": deviation_label("parameter", "type"),
-                "parameter_unit": unit_for("parameter"),
-            }
-        )
+        df.select(*keep, F.inline(cells))
+        .where(above | below)
+        .withColumn("type", F.when(above, "high").otherwise("low"))
+        .withColumn("deviation_label", deviation_label("parameter", "type"))
+        .drop("high", "low")
     )

@@ -67,7 +67,7 @@ def load_table(
     rejected = sinks.quarantined(checked)
     errors = 0
     if not rejected.isEmpty():
-        errors = sinks.write_table(rejected.withColumn("rejected", F.concat_ws(",", "rejected")), f"{target}__rejected")
+        errors = sinks.write_table(rejected, f"{target}__rejected")
     status = "ok" if errors == 0 else f"{errors} rejected"
     return (step.table, step.csv, loaded + errors, loaded, errors, round(time.time() - started, 1), status)
 

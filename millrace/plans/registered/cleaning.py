@@ -109,7 +109,7 @@ def rejected_rows(spark, sf):
         F.when(kind == 5, "maybe").otherwise("true").alias("notify"),
     )
     checked = cleaning.with_rejections(extract, schemas.DIM_MACHINES)
-    return sinks.quarantined(checked).select("o_orderkey", F.concat_ws(",", "rejected").alias("rejected"))
+    return sinks.quarantined(checked).select("o_orderkey", "rejected")
 
 
 @query("name_normalise", with_tables("mach", body="SELECT mid, name FROM mach"))

@@ -233,7 +233,7 @@ def sql_lint(spark, sf):
     statements = F.array(*[F.lit(_lint_statement(k)) for k in range(6)])
     sql = F.concat(F.element_at(statements, (kind + 1).cast("int")), "text")
     return _messages(spark, sf).select(
-        "conv_id", "turn", F.array_join(gateway.broken_rules(sql), ",").alias("broken")
+        "conv_id", "turn", gateway.broken_rules(sql).alias("broken")
     )
 
 

@@ -68,9 +68,9 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], or
 
 def accepted(checked: DataFrame) -> DataFrame:
     """Clean rows of ``cleaning.with_rejections``."""
-    return checked.where(F.size("rejected") == 0).select("clean.*")
+    return checked.where(F.col("rejected") == "").drop("source", "rejected")
 
 
 def quarantined(checked: DataFrame) -> DataFrame:
     """Rejected rows as they were read, with the columns at fault."""
-    return checked.where(F.size("rejected") > 0).select("source.*", "rejected")
+    return checked.where(F.col("rejected") != "").select("source.*", "rejected")

@@ -14,7 +14,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
         name = os.path.basename(path).removesuffix(".parquet")
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{files}')")
     return db
 
 
