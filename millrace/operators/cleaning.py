@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import text
-from millrace.session import broadcast_if_small
+from millrace.session import lookup_join
 from millrace.sources import schemas
 
 # Identifiers that lose leading zeros when a reader infers numbers.
@@ -191,8 +191,7 @@ def add_verified_machine(facts: DataFrame, machines: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("mid", "machine_type_name")).alias("m"))
         .select("machine_name", "m.mid", F.col("m.machine_type_name").alias("machine_type_verified"))
     )
-    bare = facts.drop("mid", "machine_type_verified")
-    return bare.join(broadcast_if_small(known), "machine_name", "left")
+    return lookup_join(facts.drop("mid", "machine_type_verified"), known, "machine_name")
 
 
 def is_company_email(email: Column | str, domain: str) -> Column:

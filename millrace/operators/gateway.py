@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import text
 from millrace.operators.filters import MANDATORY
-from millrace.operators.ordering import ROW_CAP
+from millrace.operators.ordering import DEFAULT_LIMIT, ROW_CAP
+from millrace.sources.catalog import qualify
 
 # A text holding one of these words is refused, wherever the word stands.
 BLOCKED = r"(?i)\b(INSERT|UPDATE|DELETE|DROP|TRUNCATE|ALTER|CREATE|GRANT|REVOKE|COPY)\b"
 READS = r"(?i)^\s*(SELECT|WITH)\b"
 # Spark only: file paths as relations, and functions that run foreign code.
 FOREIGN = r"(?i)\b(parquet|csv|json|text|orc|avro|binaryfile|jdbc)\s*\.\s*`|\b(reflect|java_method|try_reflect)\s*\("
+LIMITED = r"\blimit\s+\d+"
+AGGREGATES = r"\b(count|sum|avg|min|max)\s*\("
 REFUSED = "Only SELECT queries are allowed."
 
 
@@ -41,18 +44,27 @@ class Answer:
     error: str | None = None
 
 
-def read_frame(spark: SparkSession, sql: str, cap: int | None = ROW_CAP) -> DataFrame:
-    """Lazy form; ``cap=None`` leaves the result whole."""
+def read_frame(
+    spark: SparkSession, sql: str, cap: int | None = ROW_CAP, names: Iterable[str] = ()
+) -> DataFrame:
+    """Lazy form; ``cap=None`` leaves the result whole. ``names`` lists registered
+    tables that the text may call ``schema.table``."""
     if not is_readable(sql.strip()):
         raise ValueError(REFUSED)
-    df = spark.sql(sql.strip().rstrip(";"))
+    df = spark.sql(qualify(sql.strip().rstrip(";"), list(names)))
     return df if cap is None else df.limit(cap)
 
 
-def execute_sql(spark: SparkSession, sql: str, cap: int = ROW_CAP) -> Answer:
+def row_limit(sql: str) -> int:
+    """Rows shown: fewer for texts that neither limit nor aggregate."""
+    open_ended = not re.search(LIMITED, sql.lower()) and not re.search(AGGREGATES, sql.lower())
+    return DEFAULT_LIMIT if open_ended else ROW_CAP
+
+
+def execute_sql(spark: SparkSession, sql: str, cap: int = ROW_CAP, names: Iterable[str] = ()) -> Answer:
     """Run one query; at most ``cap`` + 1 rows reach the driver, errors are returned as data."""
     try:
-        df = read_frame(spark, sql, cap + 1)
+        df = read_frame(spark, sql, cap + 1, names)
         rows = [r.asDict(recursive=True) for r in df.collect()]
     except (ValueError, PySparkException) as problem:
         return Answer(error=str(problem))
@@ -93,7 +105,7 @@ def lint_rules(sql: Column | str) -> Mapping[str, Column]:
     rules["window_in_union"] = has("union", r"\bunion\s+all\b") & windowed
     rules["unrounded_average"] = has("avg", r"\bavg\s*\(") & ~c.rlike(r"\bround\s*\(")
     rules["unguarded_ratio"] = has("valid_sessions", r"\bvalid_sessions\b[^/]*/") & ~c.rlike(r"\bnullif\s*\(")
-    rules["no_limit"] = ~c.rlike(r"\blimit\s+\d+") & ~c.rlike(r"\b(count|sum|avg|min|max)\s*\(")
+    rules["no_limit"] = ~c.rlike(LIMITED) & ~c.rlike(AGGREGATES)
     rules["markdown"] = c.contains("```")
     return rules
 

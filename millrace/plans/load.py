@@ -6,7 +6,7 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators import cleaning, quality
 from millrace.sources import readers, schemas, sinks
@@ -62,12 +62,15 @@ def load_table(
         return (step.table, step.csv, 0, 0, 0, 0.0, "file not found")
     checked = cleaning.with_rejections(readers.read_csv(spark, source), step.table, aliases)
     target = readers.table_path(root, step.table)
-    mode = "overwrite" if step.replace else "append"
-    loaded = sinks.write_table(sinks.accepted(checked), target, mode)
-    rejected = sinks.quarantined(checked)
+    met = Observation()
+    good = sinks.accepted(checked.observe(met, F.count_if(F.col("rejected") != "").alias("rejected")))
+    if step.replace:
+        loaded = sinks.rewrite(good, target, keep_previous=False)
+    else:
+        loaded = sinks.write_table(good, target, "append")
     errors = 0
-    if not rejected.isEmpty():
-        errors = sinks.write_table(rejected, f"{target}__rejected")
+    if met.get["rejected"]:
+        errors = sinks.write_table(sinks.quarantined(checked), f"{target}__rejected")
     status = "ok" if errors == 0 else f"{errors} rejected"
     return (step.table, step.csv, loaded + errors, loaded, errors, round(time.time() - started, 1), status)
 

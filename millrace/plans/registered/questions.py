@@ -48,8 +48,9 @@ _DEV = """event_id, hardware_id, mid, machine_name, machine_type, business_date,
     parameter, type, reading, deviation_label, parameter_unit"""
 _ask(
     "latest_deviations",
-    f"SELECT {_DEV} FROM dev ORDER BY start_tm DESC, hardware_id, parameter LIMIT 100",
+    f"SELECT {_DEV} FROM dev ORDER BY start_tm DESC, hardware_id, parameter, event_id LIMIT 100",
     "dev",
+    tie=("hardware_id", "parameter", "event_id"),
 )
 _ask(
     "sensor_averages_by_machine",
@@ -104,8 +105,9 @@ _ask(
 )
 _ask(
     "welding_deviations",
-    f"SELECT {_DEV} FROM dev WHERE machine_type = 'GMAW' ORDER BY start_tm, hardware_id, parameter LIMIT 100",
+    f"SELECT {_DEV} FROM dev WHERE machine_type = 'GMAW' ORDER BY start_tm, hardware_id, parameter, event_id LIMIT 100",
     "dev",
+    tie=("hardware_id", "parameter", "event_id"),
 )
 _SIDE = "CASE WHEN shift_name = '{}' THEN arc_efficiency_pct END"
 _ask(

@@ -28,13 +28,13 @@ def prop(c: str = "props") -> Column:
 
 
 def periodic_gmaw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = prop()
+    k = F.col("k")
     high_low = {
         f"{side}_{p}_threshold": F.lit(limit)
         for p, limits in derive.THRESHOLDS.items()
         for side, limit in zip(("high", "low"), limits)
     }
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").withColumn("k", prop()).select(
         F.col("event_id").cast("string").alias("pdid"),
         "event_id",
         "user_id",

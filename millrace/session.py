@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 # only decides how instants are shown and which day they fall on.
 PLANT_TIME_ZONE = "+05:30"
 
-SETTINGS = {
+# Adaptive execution splits the partitions of a frequent join key, also where the
+# next step would have reused the partitioning. Changeable at run time.
+SKEW_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+SETTINGS = {
+    **SKEW_SETTINGS,
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -29,6 +35,12 @@ def get_spark(app: str = "millrace", cores: int | str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def handle_skew(spark: SparkSession) -> None:
+    """Apply the skew settings to a session built elsewhere."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 # A lookup side of at most this many narrow rows is copied to every executor.
 BROADCAST_ROWS = 100_000
 
@@ -40,7 +52,26 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     For lookup sides behind an aggregate, whose size the optimizer cannot know
     before it has shuffled the large side as well.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def lookup_join(facts: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join to a side that holds each key once, without moving the facts where possible.
+
+    A small side is broadcast. A large one is first cut to the keys the facts
+    use: counting those is a scan of one column with map-side combine, and few
+    keys in many rows, the skewed case, then end in a broadcast as well. Only
+    many keys in use lead to a shuffle join.
+    """
+    if not is_small(side):
+        side = broadcast_if_small(side.join(facts.select(key).distinct(), key, "left_semi"))
+    else:
+        side = F.broadcast(side)
+    return facts.join(side, key, "left")
 
 
 def materialise(df: DataFrame) -> DataFrame:

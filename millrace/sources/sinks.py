@@ -40,11 +40,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def rewrite(df: DataFrame, path: str) -> int:
-    """Put a repaired table in place of the one it was read from.
+def rewrite(df: DataFrame, path: str, keep_previous: bool = True) -> int:
+    """Put new contents in place of a table, also when they were read from it.
 
     The new files are complete before the swap, so a failed job leaves the old
-    table untouched; the old files stay next to it under ``__previous``.
+    table untouched; the old files stay next to it under ``__previous`` on request.
     """
     spark = df.sparkSession
     rows = write_table(df, f"{path}__next")
@@ -52,9 +52,12 @@ def rewrite(df: DataFrame, path: str) -> int:
     current, following, previous = path_of(path), path_of(f"{path}__next"), path_of(f"{path}__previous")
     fs = current.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(previous, True)
-    if fs.exists(current):
-        fs.rename(current, previous)
-    fs.rename(following, current)
+    if fs.exists(current) and not fs.rename(current, previous):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(following, current):
+        raise OSError(f"cannot move the new files to {path}")
+    if not keep_previous:
+        fs.delete(previous, True)
     return rows
 
 

@@ -94,6 +94,8 @@ def test_execute_sql(spark):
     assert gateway.execute_sql(spark, "DELETE FROM numbers").error == gateway.REFUSED
     assert "missing_table" in gateway.execute_sql(spark, "SELECT * FROM missing_table").error
     assert gateway.execute_sql(spark, "SELECT 1/0").error
+    assert gateway.row_limit("SELECT id FROM numbers") == 100
+    assert gateway.row_limit("SELECT max(id) FROM numbers") == gateway.row_limit("SELECT 1 LIMIT 5") == 200
 
 
 LINTED = {

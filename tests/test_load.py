@@ -52,7 +52,7 @@ def test_load(spark, folders):
 
     names = views.register_all(tables)
     sql = "SELECT machine_name, sum(sample_count) AS n FROM gmaw.v_gmaw_sensor_averages GROUP BY machine_name ORDER BY 1"
-    answer = gateway.execute_sql(spark, catalog.qualify(sql, names))
+    answer = gateway.execute_sql(spark, sql, names=names)
     assert answer.rows == [{"machine_name": "W&K-0", "n": 15}, {"machine_name": "W&K-1", "n": 30}]
     assert spark.table("v_valid_fact_periodic_gmaw").count() == 45
 

@@ -40,3 +40,16 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "props" not in plan.split("ReadSchema")[1]
     assert "LessThan(event_id,5)" in plan
     assert "EqualTo(event_type,error)" in plan
+
+
+def test_large_lookup_sides_are_cut_to_the_keys_in_use(spark, monkeypatch):
+    from millrace import session
+
+    monkeypatch.setattr(session, "is_small", lambda df, rows=5: df.limit(6).count() <= 5)
+    facts = spark.range(1000).selectExpr("id % 3 AS k", "id")
+    side = spark.range(50).selectExpr("id AS k", "id * 2 AS twice").groupBy("k").max("twice")
+    joined = session.lookup_join(facts, side, "k")
+    assert "BroadcastHashJoin" in plan_of(joined)
+    assert joined.count() == 1000 and joined.where("`max(twice)` IS NULL").count() == 0
+    many = session.lookup_join(spark.range(1000).withColumnRenamed("id", "k"), side, "k")
+    assert many.count() == 1000
