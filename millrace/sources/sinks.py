@@ -31,8 +31,9 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; missing values become empty cells."""
-    df.write.mode("overwrite").options(header=True, quote='"', escape='"', nullValue="").csv(path)
+    """CSV with header; missing values become empty cells, instants keep microseconds and offset."""
+    form = {"quote": '"', "escape": '"', "nullValue": "", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
+    df.write.mode("overwrite").options(header=True, **form).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
