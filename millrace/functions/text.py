@@ -21,6 +21,8 @@ FALSE_TOKENS = ("False", "false", "FALSE")
 
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+DAY = r"^\d{4}-"
+
 
 
 def col(c: Column | str) -> Column:

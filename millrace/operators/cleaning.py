@@ -7,7 +7,7 @@ runs unchanged on a stream. Only ``add_type_flags``, ``add_verified_machine`` an
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -55,7 +55,9 @@ def typed(c: Column, target: T.DataType) -> Column:
         case T.ShortType() | T.IntegerType() | T.LongType():
             return text.to_integer(c, target.simpleString())
         case T.DateType():
-            return F.substring(c, 1, 10).try_cast("date")
+            return F.when(c.rlike(text.DAY), F.substring(c, 1, 10).try_cast("date"))
+        case T.TimestampType():
+            return F.when(c.rlike(text.DAY), c.try_cast(target))
         case T.StringType():
             return c.cast("string")
         case T.DoubleType():
@@ -70,8 +72,14 @@ def _source_names(df: DataFrame, aliases: Mapping[str, str] | None) -> dict[str,
     return {renamed.get(c.lower(), c.lower()): c for c in df.columns}
 
 
-def align_columns(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> list[Column]:
-    """One expression per table column, in table order."""
+def align_columns(
+    df: DataFrame, table: str, aliases: Mapping[str, str] | None = None, tokens: Sequence[str] = ()
+) -> list[Column]:
+    """One expression per table column, in table order.
+
+    ``tokens`` blanks null tokens where they would survive: in text columns. As
+    numbers, flags or dates they cannot be read and end up NULL anyway.
+    """
     names = _source_names(df, aliases)
     defaults = schemas.DEFAULTS.get(table, {})
     texts = _string_columns(df)
@@ -83,6 +91,8 @@ def align_columns(df: DataFrame, table: str, aliases: Mapping[str, str] | None =
             cell = F.lit(defaults.get(field.name)).cast(target)
         elif source in texts:
             cell = typed(F.col(f"`{source}`"), target)
+            if tokens and isinstance(target, T.StringType):
+                cell = text.null_if_token(cell, tokens)
         else:
             cell = F.col(f"`{source}`").try_cast(target)
         out.append(cell.alias(field.name))
@@ -90,7 +100,11 @@ def align_columns(df: DataFrame, table: str, aliases: Mapping[str, str] | None =
 
 
 def align(
-    df: DataFrame, table: str, aliases: Mapping[str, str] | None = None, legacy_ids: bool = False
+    df: DataFrame,
+    table: str,
+    aliases: Mapping[str, str] | None = None,
+    legacy_ids: bool = False,
+    tokens: Sequence[str] = (),
 ) -> DataFrame:
     """Project onto a table's columns, order, casing and types.
 
@@ -98,7 +112,7 @@ def align(
     NULL, columns the table lacks are dropped. ``aliases`` renames input columns;
     ``legacy_ids`` strips leading zeros from identifiers.
     """
-    aligned = df.select(*align_columns(df, table, aliases))
+    aligned = df.select(*align_columns(df, table, aliases, tokens))
     if not legacy_ids:
         return aligned
     bare = {
@@ -122,7 +136,7 @@ def clean_table(
     df: DataFrame, table: str, aliases: Mapping[str, str] | None = None, legacy_ids: bool = False
 ) -> DataFrame:
     """Null tokens, booleans, integers, dates and alignment in one projection."""
-    return align(normalise_nulls(df), table, aliases, legacy_ids)
+    return align(df, table, aliases, legacy_ids, text.NULL_TOKENS)
 
 
 def with_rejections(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
@@ -136,17 +150,17 @@ def with_rejections(df: DataFrame, table: str, aliases: Mapping[str, str] | None
     Cells are cast once: unnesting a one-element array keeps the optimizer from
     copying the casts into every check and into the filter behind it.
     """
-    blanked = normalise_nulls(df)
     names = _source_names(df, aliases)
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("source")
-    cells = blanked.select(whole, F.inline(F.array(F.struct(*align_columns(blanked, table, aliases)))))
+    columns = align_columns(df, table, aliases, text.NULL_TOKENS)
+    cells = df.select(whole, F.inline(F.array(F.struct(*columns))))
     reasons = []
     for field in schemas.schema_of(table):
         cell = F.col(field.name)
         source = names.get(field.name.lower())
         bad = F.lit(False)
         if source is not None and not isinstance(field.dataType, (T.BooleanType, T.VarcharType)):
-            bad = cell.isNull() & F.col(f"source.`{source}`").isNotNull()
+            bad = cell.isNull() & text.null_if_token(F.col(f"source.`{source}`").cast("string")).isNotNull()
         if source is not None and isinstance(field.dataType, T.VarcharType):
             bad = F.length(cell) > field.dataType.length
         if not field.nullable:

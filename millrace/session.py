@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,6 +43,17 @@ def handle_skew(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A run-time setting for the jobs started inside the block."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # A lookup side of at most this many narrow rows is copied to every executor.
 BROADCAST_ROWS = 100_000
 
