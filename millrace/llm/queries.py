@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import language_id, quality_classifier, token_counts, token_output
+from millrace.llm import chat_formatting, language_id, quality_classifier, source_mixing, token_counts, token_output
 from millrace.llm.shared import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,93 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = quality_classifier.learn(docs, labels)
     return quality_classifier.classify(docs, model, ["doc_id", "held_out"])
+
+
+OP3 = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
+           / 4503599627370496.0 AS u
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, source_size * 2.0::DOUBLE AS room, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS wanted,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left,
+         coalesce(sum(source_size * 2.0::DOUBLE) OVER before, 0.0) AS room_before
+  FROM sources
+  WINDOW before AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT *, max(CASE WHEN (wanted - room_before) / weight_left * weight < room
+                     THEN (wanted - room_before) / weight_left END) OVER () AS level FROM ranked),
+targets AS (
+  SELECT source, source_size, least(room, coalesce(level * weight, room))::DOUBLE AS target FROM levels),
+shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM targets),
+chances AS (
+  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS chance, target - floor(ratio) * source_size AS need FROM shares),
+odds AS (
+  SELECT s.doc_id, s.size, c.*, (u / (1.0::DOUBLE - u)) * ((1.0::DOUBLE - chance) / nullif(chance, 0)) AS q, u
+  FROM sized s JOIN chances c ON s.source IS NOT DISTINCT FROM c.source),
+order_ AS (
+  SELECT *, CASE WHEN chance > 0 AND chance < 1 THEN q / (1.0::DOUBLE + q) ELSE u END AS rank FROM odds),
+running AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS until
+  FROM order_)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN chance > 0 AND until <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM running
+"""
+
+
+@query("op3_source_mixing", OP3)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP10 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '\</turn>') AS body,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '\</turn>'), chr(10), '\n') AS head
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+       CAST(sum(length('### ' || head || ':' || chr(10) || body || chr(10) || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+@query("op10_chat_formatting", OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    whole = chat_formatting.format_branches(chat_formatting.chains(turns))
+    back = whole.select(
+        F.col("tree").alias("conv_id"),
+        "formatted",
+        chat_formatting.parse(F.col("formatted")).alias("turns"),
+        chat_formatting.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"),
+    )
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
