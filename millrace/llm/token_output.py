@@ -16,12 +16,15 @@ simply written again, and any segment or block can be read alone.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -36,7 +39,10 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
 
 # Words up to this many characters are remembered per worker, at most so many at a time.
-REMEMBERED_LENGTH, REMEMBERED_WORDS = 48, 600_000
+REMEMBERED_LENGTH, REMEMBERED_WORDS = 48, 800_000
+
+# Texts are encoded in runs of about so many characters.
+RUN_CHARS = 6 << 20
 
 SEGMENTS = T.StructType(
     [
@@ -112,12 +118,21 @@ def decode_blocks(payload: bytes) -> np.ndarray:
     return (offsets + minimum[:, None]).reshape(-1)[:n]
 
 
-class WordEncoder(dict):
-    """Ids of a text, word by word; equal words are encoded once.
+# Byte-level vocabularies write a byte as itself where it is printable, else as the next character from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+LATIN = re.compile("[A-Za-z\xc0-\u024f]+").fullmatch
+
 
-    Splitting at blanks changes no id where the tokenizer drops white space and
-    its rules, its normalisation and its special strings never reach across it;
-    tokenizers that keep white space get the whole text.
+class WordEncoder(dict):
+    """Ids of texts, word by word; equal words are encoded once.
+
+    Splitting at ASCII white space changes no id where the tokenizer drops white
+    space and its rules, its normalisation and its special strings never reach
+    across it; tokenizers that keep white space get whole texts. A word of plain
+    letters, with a full stop or comma at most, can skip normalisation and
+    splitting if the tokenizer treats such words as their lower-case letters and
+    the mark apart, which is tried out first.
     """
 
     def __init__(self, path: str):
@@ -125,24 +140,89 @@ class WordEncoder(dict):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = self.encode(" a \n b\t") == self.encode("a") + self.encode("b")
+        self.by_word = self.encode(" a \n b\t\r\v\fc") == self.encode("a") + self.encode("b") + self.encode("c")
+        self.model = self.tokenizer.model
+        self.marks = {mark: array("I", self.encode(mark)).tobytes() for mark in ".,"}
+        self.plain = self.by_word and all(
+            self.encode(word + mark) == self.letters(word) + self.encode(mark)
+            for word in ("Thing", "zONED", "a", "the", "Onlyre", "unbelievable", "QX", "Kelvin", "\xc9t\xe9", "stra\xdfe", "\u0141\xf3d\u017a")
+            for mark in ("", ".", ",")
+        )
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def letters(self, word: str) -> list[int]:
+        symbols = word.lower()
+        if not word.isascii():
+            symbols = symbols.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return [token.id for token in self.model.tokenize(symbols)]
+
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
+        mark = word[-1:] if word[-1:] in self.marks else ""
+        letters = word[:-1] if mark else word
+        # Beyond Latin letters in composed form, the tokenizer's own normalisation decides.
+        if not self.plain or not letters.isalpha() or not (letters.isascii() or LATIN(letters) and len(letters.lower()) == len(letters)):
+            ids = array("I", self.encode(word)).tobytes()
+        elif mark:
+            ids = self[letters] + self.marks[mark]
+        else:
+            ids = array("I", self.letters(letters)).tobytes()
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
-    def ids(self, text: str, end: bytes = b"") -> bytes:
-        words = text.split(" ") if self.by_word else [text]
-        if self.by_word and "\n" in text:
-            words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self.__getitem__, words)) + end
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if not self.by_word:
+            return [array("I", self.encode(text)).tobytes() for text in texts]
+        out, run, size = [], [], 0
+        for text in texts:
+            if len(text) > RUN_CHARS:
+                out.extend(self._run(run))
+                run, size = [], 0
+                out.append(b"".join(b"".join(self._run([part])) for part in _cut(text)))
+                continue
+            run.append(text)
+            size += len(text)
+            if size >= RUN_CHARS:
+                out.extend(self._run(run))
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        found = list(map(self.__getitem__, words.dictionary.to_pylist()))
+        if not found:
+            return [b""] * len(texts)
+        flat = np.frombuffer(b"".join(found), "<u4")
+        # A run is small enough for 32-bit places, unless one text fills it.
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        per_word = sizes[codes]
+        ends = np.cumsum(per_word)
+        kind = np.int32 if ends[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[codes] - (ends - per_word)).astype(kind)
+        ids = flat[np.repeat(shift, per_word) + np.arange(ends[-1], dtype=kind)]
+        at = np.concatenate([[0], ends])[bounds]
+        return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
+
+
+def _cut(text: str) -> Iterator[str]:
+    """Pieces of a very long text, cut at blanks."""
+    at = 0
+    while at < len(text):
+        end = at + RUN_CHARS
+        if end < len(text):
+            end = text.rfind(" ", at, end) + 1 or text.find(" ", end) + 1 or len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -178,8 +258,8 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
         for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.append(encode.ids(value.as_py(), end))
+            for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist())):
+                parts.append(ids + end)
                 keys.append(k)
                 held += len(parts[-1]) // 4
                 if held >= SEGMENT_IDS or len(keys) >= SEGMENT_IDS:
