@@ -337,6 +337,6 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, in their own columns."""
-    found = stored(contaminated(docs, benchmark, key, text).select(F.col(key).alias("_key"), "text_hash").distinct())
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("text_hash"))
+    found = stored(contaminated(docs, benchmark, key, text).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct())
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash"))
     return docs.join(found, same, "left_anti")

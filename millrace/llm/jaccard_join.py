@@ -332,3 +332,16 @@ def _confirmed(docs, names, pairs, common, key, text, size, percent) -> DataFram
     likely = stored(_of_like_size(pairs, sizes, percent))
     nodes = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node")))
     return stored(linked(likely, segments(docs, names, nodes, common, key, text, size), percent))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates, in their own columns.
+
+    Of each group of linked rows, those with the smallest key stay; of rows with
+    this key, one per text. Rows without words are linked with nothing and stay all.
+    """
+    found = near_duplicates(docs, key, text)
+    first = stored(found.where((F.col("n_shingles") > 0) & F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct())
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = docs.where(has_words).join(first, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    return kept.dropDuplicates([key, text]).unionByName(docs.where(~has_words)).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, quality_classifier, source_mixing, token_counts, token_output
+from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, nearest_neighbours, quality_classifier, source_mixing, token_counts, token_output
 from millrace.llm.shared import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query("op5_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
