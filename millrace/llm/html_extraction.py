@@ -48,6 +48,7 @@ SIGMA = 1.0
 HELD = 0.7
 
 NAME = re.compile("[a-z0-9]+")
+CUT_TAG = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
 
 
 class Element:
@@ -142,7 +143,7 @@ def _add_up(elements: list[Element], field: str) -> None:
 
 
 def _mark_left_out(elements: list[Element], total: int) -> None:
-    """A name leaves an element out unless it holds the article or most of the page; an article's own header stays."""
+    """A name leaves an element out unless it holds the article, or most of a page without one; an article's own header stays."""
     for element in elements:
         up = element.parent
         if up is None:
@@ -150,7 +151,8 @@ def _mark_left_out(elements: list[Element], total: int) -> None:
         element.in_article = up.in_article or up.tag == "article"
         own_header = element.tag == "header" and element.in_article
         main = element.tag in ("article", "main") and not element.in_article
-        large = element.tag != "header" and 2 * element.chars > total
+        # Without an article in the page, names alone may mislead.
+        large = not elements[0].holds_main and element.tag != "header" and 2 * element.chars > total
         by_name = element.named and not (element.holds_main or main or own_header or large)
         element.left_out = up.left_out or element.skipped or by_name
 
@@ -160,7 +162,8 @@ def main_text(html: str) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    # The parser would report a tag that the end of the page cuts off as text.
+    parser.feed(CUT_TAG.sub("", html))
     parser.close()
     elements = parser.elements
     for element in elements[1:]:
