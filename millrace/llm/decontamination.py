@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 
 BLOCK_ITEMS = 512
 PASSAGE, STRIDE = 32, 16
@@ -138,7 +138,7 @@ def _stored_places(docs: DataFrame, items: Items, key: str, text: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(vocabulary.value, pa.string())
-        for batch in batches:
+        for batch in slices(batches):
             places, bounds = word_places(batch.column(2), known)
             data = [places[a:b].astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["key", "text_hash", "places"])

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.shared import slices
+
 # Elements and names.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -209,7 +211,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     schema = rows.drop("_html").withColumns({"text": F.lit("").cast("string"), "n_chars": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(v) for v in batch.column(2).to_pylist()]
             data = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(data, schema.fieldNames())

@@ -23,18 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import stored
+from millrace.llm.shared import slices, stored
 
 WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
 
 # Shared shingles are counted in runs of so many; a run reports those it holds so often.
-RUN_SHINGLES, RUN_LEAST = 4 << 20, 3
-# A shingle is a common one from this share of all shingles on: the list that
-# every task holds has at most 2**20 entries (8 MB), whatever the input.
-COMMON_SHARE = 20
-COMMON_LEAST = 64
+RUN_SHINGLES, RUN_LEAST = 2 << 20, 2
+# The most frequent shingles, from this count on, are the common ones: at most
+# 2**20 (16 MB with their counts), whatever the input.
+COMMON_LEAST, MOST_COMMON = 8, 1 << 20
 # The list of a common shingle is spread over lists of about so many documents.
 LIST_SIZE = 512
 
@@ -86,11 +85,11 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 
 def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that reach ``COMMON_SHARE`` and their counts, at most 2**20, over all documents.
+    """The most frequent shingles over all documents and their counts, at most ``MOST_COMMON``.
 
     Counted in runs, so that a task holds a bounded number: every shingle more
-    frequent than ``RUN_LEAST`` times the number of runs is found. The list only
-    orders the work; results do not depend on it.
+    frequent than ``RUN_LEAST`` - 1 times the number of runs is found. The list
+    only orders the work; results do not depend on it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +99,11 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
         def counted() -> pa.RecordBatch:
             found, seen = np.unique(np.concatenate(held), return_counts=True)
             often = seen >= RUN_LEAST
-            shingles = pa.array([None, *found[often].astype(np.int64).tolist()], pa.int64())
-            return pa.RecordBatch.from_arrays([shingles, pa.array([n, *seen[often].tolist()], pa.int64())], ["shingle", "seen"])
+            return pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(seen[often])], ["shingle", "seen"])
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             held.extend(shingle_sets(batch.column(0).to_pylist(), size))
-            n = sum(map(len, held))
+            n += sum(map(len, held[-batch.num_rows :]))
             if n >= RUN_SHINGLES:
                 yield counted()
                 held, n = [], 0
@@ -113,10 +111,16 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
             yield counted()
 
     runs = docs.select(text).mapInArrow(run, "shingle long, seen long")
-    counts = stored(runs.groupBy("shingle").agg(F.sum("seen").alias("seen")).where(f"shingle IS NULL OR seen >= {COMMON_LEAST}"))
-    total = counts.where("shingle IS NULL").agg(F.sum("seen")).first()[0] or 0
-    least = max(COMMON_LEAST, -(-total >> COMMON_SHARE))
-    rows = counts.where((F.col("seen") >= least) & F.col("shingle").isNotNull()).toPandas()
+    counts = stored(runs.groupBy("shingle").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= COMMON_LEAST))
+    # The least count at which the list is short enough, in steps of a twelfth.
+    step = F.floor(F.log2("seen") * 8).cast("int")
+    left, least = MOST_COMMON, 1 << 62
+    for level, n in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        left -= n
+        if left < 0:
+            break
+        least = level
+    rows = counts.where(step >= F.lit(min(least, 1 << 30))).toPandas()
     shingles = rows["shingle"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], rows["seen"].to_numpy(np.int64)[order]
@@ -139,7 +143,7 @@ def document_sets(docs: DataFrame, common, key: str, text: str, size: int, perce
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = common.value
         lists = np.append(-(-seen // LIST_SIZE), 0).astype(np.int32)
-        for batch in batches:
+        for batch in slices(batches, 500):
             counts, digests, first, parts = [], [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), size):
                 n = len(values)
@@ -189,20 +193,38 @@ def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
     )
     of_bucket = Window.partitionBy("shingle", "part", "bucket")
     of_list = Window.partitionBy("shingle", "part")
-    listed = rows.repartition("shingle", "part").withColumn("hub", F.min("node").over(of_bucket))
+    listed = rows.repartition("shingle", "part").withColumn("hub", F.min(F.struct("node", "n")).over(of_bucket))
     return listed.withColumn("count", F.count("*").over(of_list)).where("count > 1 OR common").drop("count", "common")
 
 
-def hub_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with the hub of its list, and hubs of one shingle with the first hub of theirs."""
-    members = lists.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hubs of its lists, and hubs of one shingle with the first hub of theirs.
+
+    Only pairs that meet in at least half the first shingles that a link needs:
+    these comparisons save work, ``open_pairs`` is what makes the join complete.
+    """
+    members = lists.select(F.struct("node", "n").alias("x"), F.col("hub").alias("y"))
     hubs = lists.select("shingle", "bucket", "hub").distinct()
-    of_bucket = hubs.groupBy("shingle", "bucket").agg(F.min("hub").alias("top"))
-    upper = hubs.join(of_bucket, ["shingle", "bucket"]).where("hub <> top").select(F.col("hub").alias("a"), F.col("top").alias("b"))
-    next_bucket = of_bucket.select("shingle", (F.col("bucket") - 1).alias("bucket"), F.col("top").alias("next"))
-    across = of_bucket.join(next_bucket, ["shingle", "bucket"]).where("top <> next").select(F.col("top").alias("a"), F.col("next").alias("b"))
-    pairs = members.unionAll(upper).unionAll(across)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tops = hubs.groupBy("shingle", "bucket").agg(F.min("hub").alias("top"))
+    upper = hubs.join(tops, ["shingle", "bucket"]).select(F.col("hub").alias("x"), F.col("top").alias("y"))
+    after = tops.select("shingle", (F.col("bucket") - 1).alias("bucket"), F.col("top").alias("next"))
+    across = tops.join(after, ["shingle", "bucket"]).select(F.col("top").alias("x"), F.col("next").alias("y"))
+    met = members.unionAll(upper).unionAll(across).where("x.node <> y.node")
+    return counted_pairs(met, percent, 0.5)
+
+
+def counted_pairs(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """Pairs that meet in as many first shingles as a link needs: ``a``, ``b``, ``n_a``, ``n_b``.
+
+    Take the document whose first shingles end earlier in the global order: what
+    the two share beyond them lies in its rest. So the first shingles of both
+    have in common at least the whole overlap less the larger rest.
+    """
+    sides = met.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("h"))
+    pairs = sides.groupBy(F.col("l.node").alias("a"), F.col("h.node").alias("b"), F.col("l.n").alias("n_a"), F.col("h.n").alias("n_b")).count()
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
+    rest = F.ceil(F.greatest("n_a", "n_b") * percent / F.lit(100)) - 1
+    return pairs.where(sizes_agree(F.col("n_a"), F.col("n_b"), percent) & (F.col("count") >= (overlap - rest) * share)).drop("count")
 
 
 def sizes_agree(a: Column, b: Column, percent: int) -> Column:
@@ -232,7 +254,8 @@ def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             >= (F.col("n1") + F.col("n")) * percent
         )
     )
-    return pairs.select(F.least("node1", "node").alias("a"), F.greatest("node1", "node").alias("b")).distinct()
+    met = pairs.select(F.struct(F.col("node1").alias("node"), F.col("n1").alias("n")).alias("x"), F.struct("node", "n").alias("y"))
+    return counted_pairs(met, percent)
 
 
 def key_place(key: Column) -> Column:
@@ -261,7 +284,7 @@ def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, _ = common.value
         width = np.uint64((1 << 64) // (FRAGMENTS - 1) + 1)
-        for batch in batches:
+        for batch in slices(batches, 500):
             place = batch.column(0).to_numpy()
             rows = np.flatnonzero(bitmap.value[place >> 3] >> (place & 7) & 1)
             digests, fragments, parts = [], [], []
@@ -282,12 +305,6 @@ def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: s
     return stored(named.select("node", "fragment", "shingles").dropDuplicates(["node", "fragment"]))
 
 
-def _of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    one = sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    two = sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    return pairs.join(one, "a").join(two, "b").where(sizes_agree(F.col("n_a"), F.col("n_b"), percent))
-
-
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs at or above the threshold, by overlaps counted per fragment and summed per pair."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("s_a"))
@@ -312,12 +329,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     names = stored(with_nodes(sets.groupBy("digest").agg(F.min("key").alias("smallest"), F.max("n").alias("n"))))
     first = sets.groupBy("digest").agg(F.first("first").alias("first"), F.first("parts").alias("parts"))
     lists = stored(shared_lists(first.join(names, "digest"), percent))
-    one_by_hub = stored(hub_pairs(lists))
-    links = _confirmed(docs, names, one_by_hub, common, key, text, size, percent)
+    by_hub = stored(hub_pairs(lists, percent))
+    links = _confirmed(docs, names, by_hub, common, key, text, size, percent)
     labels = components(links)
     others = stored(open_pairs(lists, labels, percent))
     more = _confirmed(docs, names, others, common, key, text, size, percent)
-    labels = stored(components(links.unionAll(more)))
+    if not more.isEmpty():
+        labels = components(links.unionAll(more))
     named = names.join(labels, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component"))
     named = stored(named)
     least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
@@ -328,10 +346,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _confirmed(docs, names, pairs, common, key, text, size, percent) -> DataFrame:
-    sizes = names.select("node", "n")
-    likely = stored(_of_like_size(pairs, sizes, percent))
-    nodes = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node")))
-    return stored(linked(likely, segments(docs, names, nodes, common, key, text, size), percent))
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
+    return stored(linked(pairs, segments(docs, names, nodes, common, key, text, size), percent))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.llm.shared import slices
+
 UNKNOWN = "und"
 ORDER = 3
 
@@ -52,7 +54,7 @@ def context_counts(texts: DataFrame, lang: str = "lang", text: str = "text", ord
     """How often each byte follows each context of up to ``order`` bytes, per language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by_lang: dict[str, list[bytes]] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(name, []).append(value.encode())
@@ -218,7 +220,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [v.encode() if v else b"" for v in batch.column(batch.num_columns - 1).to_pylist()]
             names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if trees.languages:

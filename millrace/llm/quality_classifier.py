@@ -19,6 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.shared import slices
+
 # Sample: about so many labelled rows of each class, drawn by a hash of their key.
 SAMPLE_ROWS = 4000
 PAIRS = 3
@@ -144,7 +146,7 @@ def classify(docs: DataFrame, model: Model, columns: list[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = shared.value.compressors()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [v.encode() for v in batch.column(batch.num_columns - 1).to_pylist()]
             score = shared.value.score(features(compressors, texts))
             data = [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))]

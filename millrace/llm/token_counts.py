@@ -16,6 +16,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.llm.shared import slices
+
 SPACE = "▁"
 
 # Pieces up to this many characters are remembered, at most so many at a time; longer ones are counted anew.
@@ -124,7 +126,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             values = batch.column("text").to_pylist()
             sizes = pa.array([len(v.encode()) for v in values], pa.int64())
             counts = pa.array([tokens.count(v) for v in values], pa.int64())

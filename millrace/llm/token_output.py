@@ -29,7 +29,7 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from millrace.llm.shared import shared_folder
+from millrace.llm.shared import shared_folder, slices
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -38,11 +38,11 @@ PERCENTILE = 90
 # A segment is closed after the document with which it reaches so many ids.
 SEGMENT_IDS = 1 << 16
 
-# Words up to this many characters are remembered per worker, at most so many at a time.
-REMEMBERED_LENGTH, REMEMBERED_WORDS = 48, 800_000
+# Words up to this many characters are remembered per worker, in two generations of at most so many.
+REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 300_000
 
 # Texts are encoded in runs of about so many characters.
-RUN_CHARS = 6 << 20
+RUN_CHARS = 4 << 20
 
 SEGMENTS = T.StructType(
     [
@@ -79,17 +79,21 @@ def encode_blocks(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
         if width:
             bits = np.unpackbits(offsets[here].astype("<u4").view(np.uint8), axis=1, bitorder="little")
             bits = np.ascontiguousarray(bits.reshape(len(here), BLOCK, 32)[:, :, :width]).reshape(len(here), -1)
-            low = np.packbits(bits, axis=1, bitorder="little")
-            for i, row in zip(here, low):
-                packed[i] = row.tobytes()
+            low, size = np.packbits(bits, axis=1, bitorder="little").tobytes(), BLOCK * int(width) // 8
+            for at, i in enumerate(here.tolist()):
+                packed[i] = low[at * size : (at + 1) * size]
+    counts = outside.sum(axis=1)
     heads = np.zeros(blocks, [("minimum", "<u4"), ("width", "u1"), ("exceptions", "u1")])
-    heads["minimum"], heads["width"], heads["exceptions"] = minimum, widths, outside.sum(axis=1)
-    parts, starts, at = [], np.zeros(blocks, "<u4"), 0
-    for i in range(blocks):
-        position = np.flatnonzero(outside[i])
-        part = heads[i].tobytes() + packed[i] + position.astype(np.uint8).tobytes() + offsets[i, position].astype("<u4").tobytes()
-        starts[i], at = at, at + len(part)
-        parts.append(part)
+    heads["minimum"], heads["width"], heads["exceptions"] = minimum, widths, counts
+    head = heads.tobytes()
+    positions, values = np.nonzero(outside)[1].astype(np.uint8).tobytes(), offsets[outside].astype("<u4").tobytes()
+    ends = np.cumsum(counts).tolist()
+    parts = [
+        head[6 * i : 6 * i + 6] + packed[i] + positions[a:b] + values[4 * a : 4 * b]
+        for i, (a, b) in enumerate(zip([0, *ends], ends))
+    ]
+    sizes = np.array([len(part) for part in parts])
+    starts = (np.cumsum(sizes) - sizes).astype("<u4")
     return MAGIC + np.array([n, blocks], "<u4").tobytes() + starts.tobytes() + b"".join(parts)
 
 
@@ -111,17 +115,20 @@ def decode_blocks(payload: bytes) -> np.ndarray:
             bits = np.zeros((len(here), BLOCK, 32), np.uint8)
             bits[:, :, :width] = np.unpackbits(low, axis=1, bitorder="little").reshape(len(here), BLOCK, width)
             offsets[here] = np.packbits(bits.reshape(len(here), -1), axis=1, bitorder="little").view("<u4")
-    for i in np.flatnonzero(exceptions):
-        at = int(starts[i] + 6 + BLOCK * widths[i] // 8)
-        count = int(exceptions[i])
-        offsets[i, data[at : at + count]] = np.frombuffer(payload, "<u4", count, at + count)
+    if exceptions.any():
+        # Place of every exception in its block's list, and of the list in the data.
+        block = np.repeat(np.arange(blocks), exceptions)
+        number = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+        lists = (starts + 6 + BLOCK * widths // 8)[block]
+        values = data[(lists + exceptions[block] + 4 * number)[:, None] + np.arange(4)]
+        offsets[block, data[lists + number]] = np.ascontiguousarray(values).view("<u4")[:, 0]
     return (offsets + minimum[:, None]).reshape(-1)[:n]
 
 
 # Byte-level vocabularies write a byte as itself where it is printable, else as the next character from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-LATIN = re.compile("[A-Za-z\xc0-\u024f]+").fullmatch
+LETTERS_AND_MARKS = re.compile("([A-Za-z\xc0-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 
 class WordEncoder(dict):
@@ -130,23 +137,23 @@ class WordEncoder(dict):
     Splitting at ASCII white space changes no id where the tokenizer drops white
     space and its rules, its normalisation and its special strings never reach
     across it; tokenizers that keep white space get whole texts. A word of plain
-    letters, with a full stop or comma at most, can skip normalisation and
+    letters, perhaps with marks behind it, can skip normalisation and
     splitting if the tokenizer treats such words as their lower-case letters and
-    the mark apart, which is tried out first.
+    the marks apart, which is tried out first.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_word = self.encode(" a \n b\t\r\v\fc") == self.encode("a") + self.encode("b") + self.encode("c")
         self.model = self.tokenizer.model
-        self.marks = {mark: array("I", self.encode(mark)).tobytes() for mark in ".,"}
         self.plain = self.by_word and all(
             self.encode(word + mark) == self.letters(word) + self.encode(mark)
             for word in ("Thing", "zONED", "a", "the", "Onlyre", "unbelievable", "QX", "Kelvin", "\xc9t\xe9", "stra\xdfe", "\u0141\xf3d\u017a")
-            for mark in ("", ".", ",")
+            for mark in ("", ".", ",", "!!", ")|", "'")
         )
 
     def encode(self, text: str) -> list[int]:
@@ -159,21 +166,28 @@ class WordEncoder(dict):
         return [token.id for token in self.model.tokenize(symbols)]
 
     def __missing__(self, word: str) -> bytes:
-        mark = word[-1:] if word[-1:] in self.marks else ""
-        letters = word[:-1] if mark else word
-        # Beyond Latin letters in composed form, the tokenizer's own normalisation decides.
-        if not self.plain or not letters.isalpha() or not (letters.isascii() or LATIN(letters) and len(letters.lower()) == len(letters)):
-            ids = array("I", self.encode(word)).tobytes()
-        elif mark:
-            ids = self[letters] + self.marks[mark]
-        else:
-            ids = array("I", self.letters(letters)).tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode_word(word)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED_WORDS:
+                # Words in use move on from the older generation, the others go with it.
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def encode_word(self, word: str) -> bytes:
+        split = LETTERS_AND_MARKS(word) if self.plain else None
+        # Beyond Latin letters in composed form, the tokenizer's own normalisation decides.
+        if split is None or not split[1].isalpha() or len(split[1].lower()) != len(split[1]):
+            ids = array("I", self.encode(word)).tobytes()
+        elif split[2]:
+            ids = self[split[1]] + self[split[2]]
+        else:
+            ids = array("I", self.letters(word)).tobytes()
+        return ids
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
@@ -236,13 +250,13 @@ def write_tokens(
     """Write the ids of all texts to ``path`` in ascending key order.
 
     Rows are dealt out by ranges of the key, so shards follow the key order and
-    no task holds more than a range; equal keys are ordered by text and each
+    no task holds more than a range; equal keys are ordered by a hash of the text and each
     kept, a null key comes first, a null text counts as empty. Memory per task:
     one segment and the longest document.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    ordered = texts.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -257,7 +271,7 @@ def write_tokens(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
-        for batch in batches:
+        for batch in slices(batches, 1200):
             for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist())):
                 parts.append(ids + end)
                 keys.append(k)
