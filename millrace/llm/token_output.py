@@ -39,10 +39,10 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 16
 
 # Words up to this many characters are remembered per worker, in two generations of at most so many.
-REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 300_000
+REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 400_000
 
 # Texts are encoded in runs of about so many characters.
-RUN_CHARS = 4 << 20
+RUN_CHARS = 6 << 20
 
 SEGMENTS = T.StructType(
     [
@@ -271,7 +271,7 @@ def write_tokens(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
-        for batch in slices(batches, 1200):
+        for batch in slices(batches, 2000):
             for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist())):
                 parts.append(ids + end)
                 keys.append(k)
