@@ -76,7 +76,7 @@ def strip(c: Column | str) -> Column:
 
 
 def tidy_name(c: Column | str) -> Column:
-    """``W&K -1`` and ``W&K-1`` are the same machine."""
+    """``Torch -1`` and ``Torch-1`` are the same machine."""
     return F.regexp_replace(F.trim(col(c)), r"\s*-\s*", "-")
 
 

@@ -13,11 +13,11 @@ from millrace.streaming import readings as streams
 TYPES = "mtid,machine_type_name,is_active\n1,GMAW,True\n2.0,CLAD,True\n3,GASCUTTING,true\n"
 MACHINES = (
     "mid,name,hardware_id,mtid,machine_type_name,is_gmaw,is_clad,is_gascutting,deleted,extra\n"
-    "1.0,W&K-1,00HW1,1,GMAW,True,False,False,False,x\n"
-    "oops,W&K-2,HW2,1,GMAW,True,False,False,False,x\n"
+    "1.0,Torch-1,00HW1,1,GMAW,True,False,False,False,x\n"
+    "oops,Torch-2,HW2,1,GMAW,True,False,False,False,x\n"
 )
 PERIODIC = "pdid,business_date,SHIFT_NAME,machine_name,tm,weld_cur,weld_volt,is_welding,current_deviation_flag\n" + "".join(
-    f"p{i},2024-07-0{1 + i % 3} 00:00:00+05:30,{'ABC'[i % 3]},W&K-{i % 2},2024-07-0{1 + i % 3} 08:{i % 60:02d}:00+05:30,{100 + i}.5,{20 + i % 5},{i % 4 != 0},none\n"
+    f"p{i},2024-07-0{1 + i % 3} 00:00:00+05:30,{'ABC'[i % 3]},Torch-{i % 2},2024-07-0{1 + i % 3} 08:{i % 60:02d}:00+05:30,{100 + i}.5,{20 + i % 5},{i % 4 != 0},none\n"
     for i in range(60)
 )
 
@@ -53,7 +53,7 @@ def test_load(spark, folders):
     names = views.register_all(tables)
     sql = "SELECT machine_name, sum(sample_count) AS n FROM gmaw.v_gmaw_sensor_averages GROUP BY machine_name ORDER BY 1"
     answer = gateway.execute_sql(spark, sql, names=names)
-    assert answer.rows == [{"machine_name": "W&K-0", "n": 15}, {"machine_name": "W&K-1", "n": 30}]
+    assert answer.rows == [{"machine_name": "Torch-0", "n": 15}, {"machine_name": "Torch-1", "n": 30}]
     assert spark.table("v_valid_fact_periodic_gmaw").count() == 45
 
     catalog.publish(spark, root)
@@ -116,7 +116,7 @@ def test_stream(spark, folders, tmp_path):
     source = tmp_path / "incoming"
     source.mkdir()
     header = schemas.schema_of(schemas.PERIODIC_GMAW).fieldNames()
-    row = dict.fromkeys(header, "") | {"business_date": "2024-07-01", "machine_name": "W&K-1", "weld_cur": "100.5", "is_welding": "True"}
+    row = dict.fromkeys(header, "") | {"business_date": "2024-07-01", "machine_name": "Torch-1", "weld_cur": "100.5", "is_welding": "True"}
 
     def drop_file(name, hours):
         lines = [",".join((row | {"tm": f"2024-07-01 {h:02d}:00:00+00:00"}).values()) for h in hours]

