@@ -125,11 +125,20 @@ def align(
 
 def drift(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
     """Columns the input lacks (``missing``) and columns the table lacks (``extra``)."""
+    rows = [
+        (table, c, status)
+        for status, names in zip(("missing", "extra"), drifted(df, table, aliases))
+        for c in names.split(",")
+        if c
+    ]
+    return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, status string")
+
+
+def drifted(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> tuple[str, str]:
+    """The same as two lists of names, comma-separated."""
     have = set(_source_names(df, aliases))
     want = {f.name.lower() for f in schemas.schema_of(table)}
-    rows = [(table, c, "missing") for c in sorted(want - have)]
-    rows += [(table, c, "extra") for c in sorted(have - want)]
-    return df.sparkSession.createDataFrame(rows, "table_name string, column_name string, status string")
+    return ",".join(sorted(want - have)), ",".join(sorted(have - want))
 
 
 def clean_table(
@@ -139,13 +148,16 @@ def clean_table(
     return align(df, table, aliases, legacy_ids, text.NULL_TOKENS)
 
 
-def with_rejections(df: DataFrame, table: str, aliases: Mapping[str, str] | None = None) -> DataFrame:
+def with_rejections(
+    df: DataFrame, table: str, aliases: Mapping[str, str] | None = None, surplus: str | None = None
+) -> DataFrame:
     """The table's columns, the input row as ``source`` and the offending columns as
     ``rejected`` (comma-separated, empty for a good row).
 
     A row is rejected when a cell holds text its type cannot read, exceeds the
     declared length, or is missing though required. Unknown boolean spellings
-    are NULL by rule and no reason to reject.
+    are NULL by rule and no reason to reject. A line with more cells than the
+    header (text in column ``surplus``, see ``readers.read_csv_lines``) is at fault as ``line``.
 
     Cells are cast once: unnesting a one-element array keeps the optimizer from
     copying the casts into every check and into the filter behind it.
@@ -166,6 +178,8 @@ def with_rejections(df: DataFrame, table: str, aliases: Mapping[str, str] | None
         if not field.nullable:
             bad = bad | cell.isNull()
         reasons.append(F.when(bad, F.lit(field.name)))
+    if surplus is not None:
+        reasons.append(F.when(F.col(f"source.`{surplus}`").isNotNull(), F.lit("line")))
     return cells.withColumn("rejected", F.concat_ws(",", *reasons))
 
 
@@ -187,10 +201,11 @@ def type_flags(type_name: Column | str) -> dict[str, Column]:
 
 
 def add_type_flags(machines: DataFrame, machine_types: DataFrame) -> DataFrame:
-    """Type name from ``mtid`` plus the flags. The type table is small by nature;
-    the optimizer broadcasts it from its measured size."""
+    """Type name from ``mtid`` plus the flags; a machine whose type is not known keeps
+    its row without a type, for the checks to report. The type table is small by
+    nature; the optimizer broadcasts it from its measured size."""
     names = machine_types.select("mtid", "machine_type_name")
-    return machines.join(names, "mtid").withColumns(type_flags("machine_type_name"))
+    return machines.join(names, "mtid", "left").withColumns(type_flags("machine_type_name"))
 
 
 def add_verified_machine(facts: DataFrame, machines: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ LOAD_ORDER = (
 JIT_METHOD_BYTES = "8000"
 
 REPORT = (
-    "table_name string, csv string, rows_in bigint, rows_loaded bigint, errors bigint, elapsed double, status string"
+    "table_name string, csv string, rows_in bigint, rows_loaded bigint, errors bigint, elapsed double, status string, "
+    "missing_columns string, extra_columns string, violations bigint"
 )
 
 
@@ -58,14 +59,18 @@ def load_table(
 ) -> tuple:
     """Read, clean and write one table; rejected rows go to ``<table>__rejected``.
 
-    Rows are judged one by one: a bad row never takes good ones with it. The extract is parsed
-    again for the rejected rows only when the first pass met any.
+    Rows are judged one by one: a bad row, or a line with more cells than the header, never takes
+    good ones with it. The extract is parsed again for the rejected rows only when the first pass
+    met any. A replacing load also replaces what the last one rejected. The report names the
+    columns that the extract lacks (``missing``) and those that the table lacks (``extra``).
     """
     started = time.time()
     source = f"{csv_dir.rstrip('/')}/{step.csv}"
     if not sinks.exists(spark, source):
-        return (step.table, step.csv, 0, 0, 0, 0.0, "file not found")
-    checked = cleaning.with_rejections(readers.read_csv(spark, source), step.table, aliases)
+        return (step.table, step.csv, 0, 0, 0, 0.0, "file not found", "", "", None)
+    lines = readers.read_csv_lines(spark, source)
+    checked = cleaning.with_rejections(lines, step.table, aliases, readers.SURPLUS)
+    missing, extra = cleaning.drifted(lines.drop(readers.SURPLUS), step.table, aliases)
     target = readers.table_path(root, step.table)
     met = Observation()
     verdicts = checked.drop("source").observe(met, F.count_if(F.col("rejected") != "").alias("rejected"))
@@ -75,11 +80,14 @@ def load_table(
         if step.replace:
             loaded = sinks.rewrite(good, target, keep_previous=False)
         else:
-            loaded = sinks.write_table(good, target, "append")
+            loaded = sinks.write_table(good, readers.versions(spark, target)[0], "append")
+        if step.replace:
+            sinks.remove(spark, f"{target}__rejected")
         if met.get["rejected"]:
-            errors = sinks.write_table(sinks.quarantined(checked), f"{target}__rejected")
+            errors = sinks.write_table(sinks.quarantined(checked), f"{target}__rejected", "append")
     status = "ok" if errors == 0 else f"{errors} rejected"
-    return (step.table, step.csv, loaded + errors, loaded, errors, round(time.time() - started, 1), status)
+    elapsed = round(time.time() - started, 1)
+    return (step.table, step.csv, loaded + errors, loaded, errors, elapsed, status, missing, extra, None)
 
 
 def run_load(
@@ -89,9 +97,18 @@ def run_load(
     only: str | None = None,
     aliases: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Load the plan in order; a missing extract is reported and skipped. Returns one row per table."""
+    """Load the plan in order; a missing extract is reported and skipped. Returns one row per table.
+
+    Once all are there, each loaded table is held against its keys, references and admissible
+    values; ``violations`` counts what broke them (``quality.constraint_report`` has the details).
+    """
     rows = [load_table(spark, step, csv_dir, root, aliases) for step in load_plan(only)]
-    return spark.createDataFrame(rows, REPORT)
+    tables = stored_tables(spark, root)
+    broken = {}
+    for row in rows:
+        if row[0] in tables and row[6] != "file not found":
+            broken[row[0]] = quality.constraint_report(row[0], tables).agg(F.sum("violations")).first()[0] or 0
+    return spark.createDataFrame([(*row[:-1], broken.get(row[0])) for row in rows], REPORT)
 
 
 def load_total(report: DataFrame) -> DataFrame:
@@ -101,7 +118,7 @@ def load_total(report: DataFrame) -> DataFrame:
 def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables present below a root folder."""
     paths = {t: readers.table_path(root, t) for t in LOAD_ORDER}
-    return {t: spark.read.parquet(p) for t, p in paths.items() if sinks.exists(spark, p)}
+    return {t: readers.read_stored(spark, p) for t, p in paths.items() if sinks.has_table(spark, p)}
 
 
 def verify(spark: SparkSession, root: str, expected: Mapping[str, int] = schemas.EXPECTED_ROWS) -> DataFrame:

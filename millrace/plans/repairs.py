@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators import quality, repair
 from millrace.plans.load import repair_checks
@@ -14,10 +14,9 @@ from millrace.sources import readers, schemas, sinks
 def repair_units(spark: SparkSession, root: str) -> DataFrame:
     """Fill the units of the deviation fact; returns missing units before and after."""
     path = readers.table_path(root, schemas.DEVIATION)
-    before = spark.read.parquet(path)
-    sinks.rewrite(repair.fill_units(before), path)
+    sinks.rewrite(repair.fill_units(readers.read_stored(spark, path)), path)
     return quality.null_change(
-        spark.read.parquet(f"{path}__previous"), spark.read.parquet(path), "parameter_unit"
+        readers.read_stored(spark, path, previous=True), readers.read_stored(spark, path), "parameter_unit"
     )
 
 
@@ -25,24 +24,38 @@ def drop_obsolete_columns(spark: SparkSession, root: str) -> None:
     """Drop the empty columns of every table that has any."""
     for table in repair.OBSOLETE_COLUMNS:
         path = readers.table_path(root, table)
-        if sinks.exists(spark, path):
-            df = spark.read.parquet(path)
+        if sinks.has_table(spark, path):
+            df = readers.read_stored(spark, path)
             slim = repair.drop_obsolete(df, table)
             if slim.columns != df.columns:
                 sinks.rewrite(slim, path)
 
 
 def apply_patch(
-    spark: SparkSession, root: str, table: str, patch: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    spark: SparkSession,
+    root: str,
+    table: str,
+    patch: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    newest_first: Sequence[Column],
 ) -> int:
     """Keyed update of a stored table from a corrected extract; empty cells are
-    ignored. Returns the number of rows that really changed; without any the table
-    stays as it is."""
+    ignored. Keys may repeat in the patch: the first row in ``newest_first`` counts,
+    so no stored row is ever multiplied. Returns the number of rows that really
+    changed, seen while the new contents are written; without any they are dropped
+    and the table stays as it is."""
     path = readers.table_path(root, table)
-    updated = repair.keyed_update(spark.read.parquet(path), patch, keys, columns, skip_null=True, changed="_changed")
-    changed = updated.where("_changed").count()
+    stored = readers.read_stored(spark, path)
+    updated = repair.keyed_update(stored, patch, keys, columns, newest_first, skip_null=True, changed="_changed")
+    seen = Observation()
+    version = sinks.new_version(path)
+    sinks.write_table(updated.observe(seen, F.count_if("_changed").alias("changed")).drop("_changed"), version)
+    changed = seen.get["changed"]
     if changed:
-        sinks.rewrite(updated.drop("_changed"), path)
+        sinks.switch(spark, path, version)
+    else:
+        sinks.remove(spark, version)
     return changed
 
 

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.sources import schemas
-from millrace.sources.readers import table_path
+from millrace.sources.readers import table_path, versions
 
 
 def lookup_order(names: list[str]) -> dict[str, str]:
@@ -36,16 +36,18 @@ def qualify(sql: str, names: list[str]) -> str:
 
 def publish(spark: SparkSession, root: str) -> None:
     """Enter stored tables into the session catalog, one database per schema."""
-    from millrace.sources.sinks import exists
+    from millrace.sources.sinks import has_table
 
     for table in schemas.DDL:
         path = table_path(root, table)
-        if exists(spark, path):
+        if has_table(spark, path):
+            current = versions(spark, path)[0]
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.')[0]}")
-            if not spark.catalog.tableExists(table):
-                spark.catalog.createTable(table, path=path, source="parquet")
-                if schemas.schema_of(table).fieldNames().count("business_date"):
-                    spark.catalog.recoverPartitions(table)
+            # An entry only names a folder: after a rewrite it must name the new one.
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+            spark.catalog.createTable(table, path=current, source="parquet")
+            if "business_date" in spark.read.parquet(current).columns:
+                spark.catalog.recoverPartitions(table)
 
 
 def column_listing(frames: Mapping[str, DataFrame]) -> DataFrame:

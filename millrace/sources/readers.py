@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.sources import schemas
 
+# Column for lines that hold more cells than the header.
+SURPLUS = "_surplus"
+
 
 def _csv(spark: SparkSession, header: bool):
     """Doubled quotes as in RFC 4180; blanks around values are kept."""
-    return spark.read.options(header=header, quote='"', escape='"', enforceSchema=True)
+    return spark.read.options(header=header, quote='"', escape='"')
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -21,6 +24,24 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+# A separator outside quotes.
+SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_csv_lines(spark: SparkSession, path: str, surplus: str = SURPLUS) -> DataFrame:
+    """The same, and a line with more cells than the header is kept as text in ``surplus``.
+
+    All files of a folder must have the header of the first: another one is an
+    error, not a table with its columns exchanged. Short lines end in NULLs.
+    """
+    names = _csv(spark, True).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    options = {"columnNameOfCorruptRecord": surplus, "enforceSchema": False}
+    df = _csv(spark, True).options(**options).schema(schema).csv(path)
+    cells = F.size(F.split(F.col(surplus), SEPARATOR, -1))
+    return df.withColumn(surplus, F.when(cells > len(names), F.col(surplus)))
+
+
 def read_raw(spark: SparkSession, path: str, layout: str | Sequence[str]) -> DataFrame:
     """Headerless export by position. Columns named in parentheses (credentials,
     always empty) are never parsed."""
@@ -37,7 +58,29 @@ def table_path(root: str, table: str) -> str:
 
 def read_table(spark: SparkSession, table: str, root: str | None = None) -> DataFrame:
     """Stored table by qualified name, from a folder or from the catalog."""
-    return spark.table(table) if root is None else spark.read.parquet(table_path(root, table))
+    return spark.table(table) if root is None else read_stored(spark, table_path(root, table))
+
+
+def read_stored(spark: SparkSession, path: str, previous: bool = False) -> DataFrame:
+    """The table at ``path``, in its current contents or those before the last rewrite."""
+    return spark.read.parquet(versions(spark, path)[previous])
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders with the current and, if kept, the previous contents of a table.
+
+    A small file next to the table names them. Until a table is first rewritten
+    there is none, and the files lie at ``path`` itself.
+    """
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}__current")
+    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        return [path]
+    stream = fs.open(pointer)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
 
 
 def machine_types(spark: SparkSession) -> DataFrame:

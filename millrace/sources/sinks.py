@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators.repair import last_per_key
+from millrace.sources.readers import versions
 
 PARTITION_COLUMN = "business_date"
 
@@ -41,33 +44,66 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    return exists(spark, versions(spark, path)[0])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def rewrite(df: DataFrame, path: str, keep_previous: bool = True) -> int:
     """Put new contents in place of a table, also when they were read from it.
 
-    The new files are complete before the swap, so a failed job leaves the old
-    table untouched; the old files stay next to it under ``__previous`` on request.
+    The new files get a folder of their own, and one small file that names the
+    current folder is replaced at the end: no file is moved or copied, and a run
+    that fails anywhere leaves the old contents in place. On request the old
+    files stay readable as the previous ones.
     """
-    spark = df.sparkSession
-    rows = write_table(df, f"{path}__next")
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    current, following, previous = path_of(path), path_of(f"{path}__next"), path_of(f"{path}__previous")
-    fs = current.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(previous, True)
-    if fs.exists(current) and not fs.rename(current, previous):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(following, current):
-        raise OSError(f"cannot move the new files to {path}")
-    if not keep_previous:
-        fs.delete(previous, True)
+    version = new_version(path)
+    rows = write_table(df, version)
+    switch(df.sparkSession, path, version, keep_previous)
     return rows
 
 
+def new_version(path: str) -> str:
+    return f"{path}__v{uuid.uuid4().hex}"
+
+
+def switch(spark: SparkSession, path: str, version: str, keep_previous: bool = True) -> None:
+    """Make a complete folder the current contents of the table at ``path``."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    before = versions(spark, path)
+    pointer, draft = hadoop.Path(f"{path}__current"), hadoop.Path(f"{version}__pointer")
+    stream = pointer.getFileSystem(conf).create(draft, True)
+    stream.write("\n".join([version, *before[:1]] if keep_previous else [version]).encode())
+    stream.close()
+    kind = getattr(hadoop, "Options$Rename")
+    overwrite = spark._sc._gateway.new_array(kind, 1)
+    overwrite[0] = kind.OVERWRITE
+    hadoop.FileContext.getFileContext(pointer.getFileSystem(conf).getUri(), conf).rename(draft, pointer, overwrite)
+    for old in before[1:] if keep_previous else before:
+        remove(spark, old)
+
+
+def _complete(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Incoming rows whose key is free; of several with one key the first in ``order`` stays.
 
-    Append the result to the table. Running it twice adds nothing.
+    Append the result to the table. Running it twice adds nothing. Rows without a
+    whole key cannot be told apart and are left to ``incomplete_keys``.
     """
-    return last_per_key(incoming, keys, order).join(existing.select(*keys), list(keys), "left_anti")
+    keyed = incoming.where(_complete(keys))
+    return last_per_key(keyed, keys, order).join(existing.select(*keys), list(keys), "left_anti")
+
+
+def incomplete_keys(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that ``insert_new`` sets aside: a part of their key is missing."""
+    return incoming.where(~_complete(keys))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

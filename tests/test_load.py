@@ -62,6 +62,42 @@ def test_load(spark, folders):
     assert constraints.where("violations > 0").count() == 0
 
 
+def test_lines_with_too_many_cells_are_rejected(spark, folders):
+    source, root = folders
+    target = f"{readers.table_path(root, schemas.DIM_MACHINE_TYPE)}"
+    with open(f"{source}/dim_machine_type.csv", "w") as f:
+        f.write('mtid,machine_type_name,is_active,created_at\n1,GMAW,True,\n2,CLAD,true,,EXTRA,MORE\n3,"GAS,CUTTING",True\n')
+    report = load.run_load(spark, source, root, only="dim_machine_type").first()
+    assert (report.rows_loaded, report.errors, report.status) == (2, 1, "1 rejected")
+    assert {r.mtid: r.machine_type_name for r in readers.read_stored(spark, target).collect()} == {1: "GMAW", 3: "GAS,CUTTING"}
+    row = spark.read.parquet(f"{target}__rejected").first()
+    assert (row.rejected, row[readers.SURPLUS]) == ("line", "2,CLAD,true,,EXTRA,MORE")
+    # A clean load replaces what the last one rejected.
+    with open(f"{source}/dim_machine_type.csv", "w") as f:
+        f.write(TYPES)
+    assert load.run_load(spark, source, root, only="dim_machine_type").first().errors == 0
+    assert not sinks.exists(spark, f"{target}__rejected")
+
+
+def test_report_names_drift_and_broken_rules(spark, folders):
+    source, root = folders
+    with open(f"{source}/dim_machines.csv", "a") as f:
+        f.write("1,Torch-9,HW1X,9,GMAW,True,False,False,False,x\n")
+    report = {r.table_name: r for r in load.run_load(spark, source, root).collect()}
+    machines = report[schemas.DIM_MACHINES]
+    assert machines.extra_columns == "extra" and "created_at" in machines.missing_columns.split(",")
+    # The key 1 twice, and a type that does not exist.
+    assert machines.violations == 2 and report[schemas.DIM_MACHINE_TYPE].violations == 0
+
+
+def test_folders_with_exchanged_columns_are_an_error(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text("k,v\n1,x\n")
+    (tmp_path / "a" / "2.csv").write_text("v,k\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv_lines(spark, str(tmp_path / "a")).collect()
+
+
 def test_plan_selection():
     assert [s.table for s in load.load_plan("dim_users")] == [schemas.DIM_USERS]
     assert [s.table for s in load.load_plan(schemas.SUMMARY_CLAD)] == [schemas.SUMMARY_CLAD]
@@ -83,9 +119,25 @@ def test_rewrite_reads_and_replaces_one_table(spark, tmp_path):
     path = str(tmp_path / "dev")
     sinks.write_table(spark.createDataFrame([("weld_cur", None), ("xyz", None)], "parameter string, parameter_unit string"), path)
     for _ in range(2):
-        assert sinks.rewrite(repair.label_units(spark.read.parquet(path)), path) == 2
-    assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("weld_cur", "A"), ("xyz", "unknown")}
-    assert spark.read.parquet(f"{path}__previous").count() == 2
+        assert sinks.rewrite(repair.label_units(readers.read_stored(spark, path)), path) == 2
+    assert {tuple(r) for r in readers.read_stored(spark, path).collect()} == {("weld_cur", "A"), ("xyz", "unknown")}
+    assert readers.read_stored(spark, path, previous=True).count() == 2
+
+
+def test_failed_rewrite_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    sinks.rewrite(spark.range(3), path)
+
+    def fail(*_):
+        raise OSError("stopped before the switch")
+
+    monkeypatch.setattr(sinks, "switch", fail)
+    with pytest.raises(OSError):
+        sinks.rewrite(spark.range(5), path)
+    assert readers.read_stored(spark, path).count() == 3
+    with pytest.raises(Exception):
+        sinks.rewrite(spark.range(5).selectExpr("raise_error('bad') AS id"), path)
+    assert readers.read_stored(spark, path).count() == 3
 
 
 def test_csv_round_trip(spark, tmp_path, values):

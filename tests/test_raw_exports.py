@@ -72,10 +72,13 @@ def test_repairs(spark, folders, values):
     deviations = spark.createDataFrame(rows, "hardware_id string, mid int, parameter string, parameter_unit string")
     sinks.write_table(deviations, readers.table_path(root, schemas.DEVIATION))
     assert values(repairs.repair_units(spark, root)) == [("after", 3, 1), ("before", 3, 2)]
-    patch = spark.createDataFrame([("h", "current", 9), ("h", "xyz", None)], "hardware_id string, parameter string, mid int")
+    # A key that repeats: its last row counts, and no stored row is multiplied.
+    rows = [("h", "current", 8, 1), ("h", "current", 9, 2), ("h", "xyz", None, 3)]
+    patch = spark.createDataFrame(rows, "hardware_id string, parameter string, mid int, line int")
+    newest = [F.desc("line")]
     keys = ["hardware_id", "parameter"]
-    assert repairs.apply_patch(spark, root, schemas.DEVIATION, patch, keys, ["mid"]) == 1
-    assert repairs.apply_patch(spark, root, schemas.DEVIATION, patch, keys, ["mid"]) == 0
+    assert repairs.apply_patch(spark, root, schemas.DEVIATION, patch, keys, ["mid"], newest) == 1
+    assert repairs.apply_patch(spark, root, schemas.DEVIATION, patch, keys, ["mid"], newest) == 0
     assert values(readers.read_table(spark, schemas.DEVIATION, root), "mid", "parameter_unit") == [(2, None), (3, "L/min"), (9, "A")]
     status = {r.label: r.status for r in repairs.verify_repairs(spark, root).collect()}
     assert status["parameter_unit missing"] == "fail" and status["mid present"] == "found"
@@ -84,4 +87,4 @@ def test_repairs(spark, folders, values):
     path = readers.table_path(root, schemas.PERIODIC_GMAW)
     sinks.write_table(readings, path)
     repairs.drop_obsolete_columns(spark, root)
-    assert spark.read.parquet(path).columns == ["weld_cur"]
+    assert readers.read_stored(spark, path).columns == ["weld_cur"]
