@@ -81,19 +81,56 @@ def test_guard(spark):
     assert {r.s: r.label for r in df.select("s", gateway.guard_label("s").alias("label")).collect()} == GUARDED
     for sql, label in GUARDED.items():
         assert gateway.is_readable(sql) == (label == "ok")
-    assert not gateway.is_readable("SELECT * FROM parquet.`/data`")
-    assert not gateway.is_readable("SELECT reflect('java.lang.System', 'exit', 0)")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM parquet.`{file}`",
+        "SELECT * FROM `text`.`{file}`",
+        "SELECT * FROM text/**/.`{file}`",
+        "SELECT * FROM `TEXT` -- note\n . `{file}`",
+        "SELECT (SELECT max(value) FROM `text`.`{file}`) AS v",
+        "WITH a AS (SELECT * FROM `text`.`{file}`) SELECT * FROM a",
+        "SELECT 1 WHERE EXISTS (SELECT 1 FROM `csv`.`{file}`) OR 1 IN (SELECT 1 FROM `json`.`{file}`)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT upper(`java_method`/**/('java.lang.System', 'getProperty', 'user.home'))",
+        "WITH a AS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') AS p) SELECT p FROM a",
+        "SELECT id FROM range(3) ORDER BY `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(3)",
+        "SELECT own_function(1)",
+    ],
+)
+def test_foreign_code_and_files_are_refused(spark, tmp_path, sql):
+    (tmp_path / "secret.txt").write_text("hidden")
+    answer = gateway.execute_sql(spark, sql.format(file=tmp_path / "secret.txt"))
+    assert answer.error and "Only SELECT" in answer.error and not answer.rows
+
+
+def test_ordinary_queries_pass(spark):
+    spark.range(5).createOrReplaceTempView("numbers")
+    for sql in (
+        "WITH a AS (SELECT id FROM numbers), b AS (SELECT max(id) AS m FROM a) SELECT count(*) AS n FROM a JOIN b ON a.id <= b.m",
+        "SELECT CAST(id AS STRING) || 'x' AS s, CASE WHEN id BETWEEN 1 AND 2 THEN 1 END AS c, row_number() OVER (ORDER BY id) AS r FROM numbers",
+        "SELECT id FROM numbers WHERE id IN (SELECT id FROM numbers WHERE id > 2) AND NOT EXISTS (SELECT 1 FROM numbers n WHERE n.id > 99)",
+        "SELECT * FROM range(3)",
+    ):
+        assert gateway.execute_sql(spark, sql).error is None, sql
 
 
 def test_execute_sql(spark):
     spark.range(500).createOrReplaceTempView("numbers")
     answer = gateway.execute_sql(spark, "SELECT id FROM numbers ORDER BY id;")
-    assert (answer.columns, answer.row_count, answer.truncated, answer.error) == (["id"], 200, True, None)
+    assert (answer.columns, answer.row_count, answer.truncated, answer.error) == (["id"], 100, True, None)
     assert answer.rows[0] == {"id": 0}
-    assert gateway.execute_sql(spark, "SELECT id FROM numbers WHERE id < 200").truncated is False
+    assert gateway.execute_sql(spark, "SELECT id FROM numbers ORDER BY id LIMIT 300").row_count == 200
+    assert gateway.execute_sql(spark, "SELECT id FROM numbers", cap=7).row_count == 7
+    assert gateway.execute_sql(spark, "SELECT id FROM numbers WHERE id < 100").truncated is False
     assert gateway.execute_sql(spark, "DELETE FROM numbers").error == gateway.REFUSED
     assert "missing_table" in gateway.execute_sql(spark, "SELECT * FROM missing_table").error
     assert gateway.execute_sql(spark, "SELECT 1/0").error
+    assert gateway.execute_sql(spark, "SELECT FROM WHERE").error
     assert gateway.row_limit("SELECT id FROM numbers") == 100
     assert gateway.row_limit("SELECT max(id) FROM numbers") == gateway.row_limit("SELECT 1 LIMIT 5") == 200
 
@@ -101,6 +138,10 @@ def test_execute_sql(spark):
 LINTED = {
     "SELECT avg(weld_cur) FROM gmaw.fact_periodic_gmaw": "missing_filter_fact_periodic_gmaw,unrounded_average",
     "SELECT round(avg(weld_cur), 2) FROM gmaw.fact_periodic_gmaw WHERE is_welding = TRUE": "",
+    "SELECT round(avg(weld_cur), 2) FROM gmaw.fact_periodic_gmaw WHERE is_welding": "",
+    "SELECT round(avg(weld_cur), 2) FROM gmaw.fact_periodic_gmaw p WHERE p.is_welding AND weld_cur > 1": "",
+    "SELECT round(avg(weld_cur), 2) FROM gmaw.fact_periodic_gmaw WHERE is_welding IS TRUE": "",
+    "SELECT count(is_welding) FROM gmaw.fact_periodic_gmaw": "missing_filter_fact_periodic_gmaw",
     "SELECT count(*) FROM gascutting.fact_summarize_gascutting WHERE timer_overflow = false": "missing_filter_fact_summarize_gascutting",
     "SELECT count(*) FROM gascutting.fact_summarize_gascutting_noncutting WHERE NOT n.speed_unreliable": "",
     "SELECT sum(total_lpg_consumption) FROM gascutting.fact_periodic_gascutting WHERE travel_outlier = FALSE": "forbidden_filter,counter_sum",
