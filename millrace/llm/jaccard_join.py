@@ -7,10 +7,11 @@ summed per pair. Only pairs that share one of the first shingles of both (enough
 of them that no pair above the threshold can miss) are counted.
 
 Copies are one class from the start. Within a shingle's list the documents are
-first compared with a few hubs; documents that thereby belong together need no
-comparison among themselves, so a large group of near copies costs a number of
-pairs in proportion to its size. What then still shares a first shingle without
-being connected is compared pair by pair, so no link between components is lost.
+first compared with one hub each; documents that thereby belong together need no
+comparison among themselves, and what is known of two documents and their hub
+settles most other pairs, so a large group of near copies costs a number of
+comparisons in proportion to its size. What then still shares a first shingle
+without being connected is compared pair by pair: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -137,34 +138,37 @@ def _places(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
 def document_sets(docs: DataFrame, common, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Per document: number of shingles, digest of the set and the first shingles in the global order.
 
-    ``parts`` says over how many lists a common shingle is dealt out (0: it is not common).
+    ``parts`` says over how many lists a common shingle is dealt out (0: it is not common),
+    ``rare`` how many shingles of the set are not common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = common.value
         lists = np.append(-(-seen // LIST_SIZE), 0).astype(np.int32)
         for batch in slices(batches, 500):
-            counts, digests, first, parts = [], [], [], []
+            counts, rares, digests, first, parts = [], [], [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), size):
                 n = len(values)
                 place = _places(values, known)
                 rare = place < 0
                 head = n - least_overlap(n, percent) + 1 if n else 0
                 counts.append(n)
+                rares.append(int(np.count_nonzero(rare)))
                 digests.append(xxhash.xxh3_128_digest(values.tobytes()) if n else None)
                 first.append(np.concatenate([values[rare], values[~rare]])[:head].astype(np.int64))
                 parts.append(lists[np.concatenate([place[rare], place[~rare]])[:head]])
             columns = [
                 batch.column(0),
                 pa.array(counts, pa.int64()),
+                pa.array(rares, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(first, pa.list_(pa.int64())),
                 pa.array(parts, pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "digest", "first", "parts"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "rare", "digest", "first", "parts"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n long, digest binary, first array<long>, parts array<int>")
+    return rows.mapInArrow(run, "key long, n long, rare long, digest binary, first array<long>, parts array<int>")
 
 
 def with_nodes(classes: DataFrame) -> DataFrame:
@@ -175,12 +179,12 @@ def with_nodes(classes: DataFrame) -> DataFrame:
 
 
 def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """Rows of the first shingles' lists that hold more than one class, each with the hub of like size.
+    """Rows of the first shingles' lists that hold more than one class.
 
-    A common shingle's list is dealt out over several lists by node; their hubs
-    meet in a second round (``hub_pairs``). One shuffle serves both windows.
+    A common shingle's list is dealt out over several lists by node, so that no
+    list is long.
     """
-    rows = classes.select("node", "n", F.posexplode(F.arrays_zip("first", "parts")).alias("pos", "x"))
+    rows = classes.select("node", "n", "rare", F.posexplode(F.arrays_zip("first", "parts")).alias("pos", "x"))
     is_common = F.col("x.parts") > 0
     rows = rows.select(
         F.col("x.first").alias("shingle"),
@@ -188,74 +192,109 @@ def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
         is_common.alias("common"),
         "node",
         F.col("n").cast("int").alias("n"),
+        F.floor(F.col("rare") * 1000 / F.col("n")).cast("int").alias("own"),
         "pos",
         F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int").alias("bucket"),
     )
-    of_bucket = Window.partitionBy("shingle", "part", "bucket")
     of_list = Window.partitionBy("shingle", "part")
-    listed = rows.repartition("shingle", "part").withColumn("hub", F.min(F.struct("node", "n")).over(of_bucket))
-    return listed.withColumn("count", F.count("*").over(of_list)).where("count > 1 OR common").drop("count", "common")
+    return rows.withColumn("count", F.count("*").over(of_list)).where("count > 1 OR common").drop("count", "common", "part")
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with the hubs of its lists, and hubs of one shingle with the first hub of theirs.
+    """Each class with the hub that it meets most often: ``a`` (the class), ``b`` (the hub), ``n_a``, ``n_b``.
 
-    Only pairs that meet in at least half the first shingles that a link needs:
-    these comparisons save work, ``open_pairs`` is what makes the join complete.
+    The hub of a list, among classes of like size, is the one with the smallest
+    share of shingles of its own: of many near copies, that is the one they all
+    come from. Pairs that meet too rarely to link are left out. These
+    comparisons save work; ``open_pairs`` is what makes the join complete.
     """
-    members = lists.select(F.struct("node", "n").alias("x"), F.col("hub").alias("y"))
-    hubs = lists.select("shingle", "bucket", "hub").distinct()
-    tops = hubs.groupBy("shingle", "bucket").agg(F.min("hub").alias("top"))
-    upper = hubs.join(tops, ["shingle", "bucket"]).select(F.col("hub").alias("x"), F.col("top").alias("y"))
-    after = tops.select("shingle", (F.col("bucket") - 1).alias("bucket"), F.col("top").alias("next"))
-    across = tops.join(after, ["shingle", "bucket"]).select(F.col("top").alias("x"), F.col("next").alias("y"))
-    met = members.unionAll(upper).unionAll(across).where("x.node <> y.node")
-    return counted_pairs(met, percent, 0.5)
-
-
-def counted_pairs(met: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
-    """Pairs that meet in as many first shingles as a link needs: ``a``, ``b``, ``n_a``, ``n_b``.
-
-    Take the document whose first shingles end earlier in the global order: what
-    the two share beyond them lies in its rest. So the first shingles of both
-    have in common at least the whole overlap less the larger rest.
+    tops = lists.groupBy("shingle", "bucket").agg(F.min(F.struct("own", "node", "n")).alias("top"))
+    around = tops.select("shingle", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"), "top")
+    hubs = around.groupBy("shingle", "bucket").agg(F.min("top").alias("hub"))
+    met = lists.select("shingle", "bucket", "node", "n").join(hubs, ["shingle", "bucket"]).where("node <> hub.node")
+    counts = met.groupBy("node", "n", "hub").count()
+    best = counts.groupBy("node", "n").agg(F.max_by("hub", F.struct("count", -F.col("hub.own"), -F.col("hub.node"))).alias("hub"), F.max("count").alias("count"))
+    pairs = best.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"), "count")
+    return pairs.where(meet_often(F.col("count") * 2, percent)).drop("count")
+
+
+def meet_often(count: Column, percent: int) -> Column:
+    """Whether two classes have as many first shingles in common as a link needs.
+
+    Take the one whose first shingles end earlier in the global order: what the
+    two share beyond those of both lies in its rest. So ``count`` must be at
+    least the whole overlap less the larger rest.
     """
-    sides = met.select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("h"))
-    pairs = sides.groupBy(F.col("l.node").alias("a"), F.col("h.node").alias("b"), F.col("l.n").alias("n_a"), F.col("h.n").alias("n_b")).count()
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
     rest = F.ceil(F.greatest("n_a", "n_b") * percent / F.lit(100)) - 1
-    return pairs.where(sizes_agree(F.col("n_a"), F.col("n_b"), percent) & (F.col("count") >= (overlap - rest) * share)).drop("count")
+    return sizes_agree(F.col("n_a"), F.col("n_b"), percent) & (count >= overlap - rest)
 
 
 def sizes_agree(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (a > 0)
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a first shingle but no component yet.
+def hub_bounds(lists: DataFrame, overlaps: DataFrame, percent: int) -> DataFrame:
+    """What is known of each class from its comparison with its hub: ``hub``, ``inside`` and ``loose``.
+
+    ``inside`` is the overlap with the hub; ``loose`` bounds how many shingles
+    outside the hub the class may share with any other: all but those among its
+    first shingles that no list holds a second time. A hub lies inside itself.
+    """
+    listed = lists.groupBy("node").agg(F.count("*").alias("listed"), F.first("n").alias("n"))
+    seen = overlaps.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("overlap").alias("inside"))
+    hubs = overlaps.select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    bounds = seen.join(listed, "node").select(
+        "node", "hub", "inside", F.greatest(F.lit(0), (F.col("n") - F.col("inside")) - (first - F.col("listed"))).alias("loose")
+    )
+    own = hubs.join(listed, "node").select("node", F.col("node").alias("hub"), F.col("n").cast("long").alias("inside"), F.lit(0).cast("long").alias("loose"))
+    return bounds.unionByName(own)
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a first shingle but no component yet, as far as they may link.
 
     In each list all but the largest component are compared with every other
-    class, as far as sizes and the places of the shingle allow the threshold.
+    class. Two classes with the same hub share no more than the smaller of their
+    parts inside it and of what either may share outside; that alone settles
+    most pairs of a large group. A pair is made at the first shingle it has in
+    common: where both come from the same shingle before, it has been made there.
     """
     rows = lists.join(labels, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rows = stored(rows.join(mixed, "shingle", "left_semi"))
+    in_order = Window.partitionBy("node").orderBy("pos")
+    rows = rows.join(mixed, "shingle", "left_semi").withColumn("before", F.lag("shingle").over(in_order))
+    rows = stored(rows.join(bounds, "node", "left"))
     counts = rows.groupBy("shingle", "component").count()
     largest = counts.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
     marked = rows.join(largest, "shingle").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
-    left = marked.where("minor").select("shingle", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "component")])
+    columns = ("node", "n", "pos", "component", "before", "hub", "inside", "loose")
+    left = marked.where("minor").select("shingle", *[F.col(c).alias(f"{c}1") for c in columns])
+    wanted = (F.col("n1") + F.col("n")) * percent
+
+    def enough(most: Column) -> Column:
+        return most * (100 + percent) >= wanted
+
+    settled = (F.col("hub1") == F.col("hub")) & ~enough(F.least("inside1", "inside") + F.least("loose1", "loose"))
     pairs = left.join(marked, "shingle").where(
         (F.col("component1") != F.col("component"))
         & (~F.col("minor") | (F.col("node1") < F.col("node")))
+        & ~F.coalesce(F.col("before1") == F.col("before"), F.lit(False))
         & sizes_agree(F.col("n1"), F.col("n"), percent)
         # What the two can still share from this shingle on, and before it, must suffice.
-        & (
-            (F.least(F.col("n1") - F.col("pos1"), F.col("n") - F.col("pos")) + F.least("pos1", "pos")) * (100 + percent)
-            >= (F.col("n1") + F.col("n")) * percent
-        )
+        & enough(F.least(F.col("n1") - F.col("pos1"), F.col("n") - F.col("pos")) + F.least("pos1", "pos"))
+        & ~F.coalesce(settled, F.lit(False))
     )
-    met = pairs.select(F.struct(F.col("node1").alias("node"), F.col("n1").alias("n")).alias("x"), F.struct("node", "n").alias("y"))
-    return counted_pairs(met, percent)
+    one, two = F.struct(F.col("node1").alias("node"), F.col("n1").alias("n")), F.struct("node", "n")
+    ordered = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+    distinct = ordered.select(F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("y.node").alias("b"), F.col("y.n").alias("n_b"))
+    # Overlap of the first fragment alone, before whole sets are fetched.
+    first = rows.groupBy("node").agg(F.collect_set("shingle").alias("shared"))
+    one = first.select(F.col("node").alias("a"), F.col("shared").alias("s_a"))
+    two = first.select(F.col("node").alias("b"), F.col("shared").alias("s_b"))
+    counted = distinct.join(one, "a").join(two, "b").withColumn("count", F.size(F.array_intersect("s_a", "s_b")))
+    return counted.where(meet_often(F.col("count"), percent)).select("a", "b", "n_a", "n_b")
 
 
 def key_place(key: Column) -> Column:
@@ -305,14 +344,17 @@ def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: s
     return stored(named.select("node", "fragment", "shingles").dropDuplicates(["node", "fragment"]))
 
 
-def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs at or above the threshold, by overlaps counted per fragment and summed per pair."""
+def pair_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs with their ``overlap``, counted per fragment and summed per pair."""
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("s_a"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("s_b"))
     overlaps = pairs.join(left, "a").join(right, ["b", "fragment"])
     partial = overlaps.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("overlap"))
-    whole = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-    return whole.where(F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * percent).select("a", "b")
+    return partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+
+
+def linked(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(F.col("overlap") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -327,13 +369,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = stored(document_sets(docs, common, key, text, size, percent))
     sets = found.where("n > 0")
     names = stored(with_nodes(sets.groupBy("digest").agg(F.min("key").alias("smallest"), F.max("n").alias("n"))))
-    first = sets.groupBy("digest").agg(F.first("first").alias("first"), F.first("parts").alias("parts"))
+    first = sets.groupBy("digest").agg(F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("parts").alias("parts"))
     lists = stored(shared_lists(first.join(names, "digest"), percent))
-    by_hub = stored(hub_pairs(lists, percent))
-    links = _confirmed(docs, names, by_hub, common, key, text, size, percent)
-    labels = components(links)
-    others = stored(open_pairs(lists, labels, percent))
-    more = _confirmed(docs, names, others, common, key, text, size, percent)
+    by_hub = _compared(docs, names, stored(hub_pairs(lists, percent)), common, key, text, size)
+    links = linked(by_hub, percent)
+    labels = stored(components(links))
+    others = stored(open_pairs(lists, labels, hub_bounds(lists, by_hub, percent), percent))
+    more = linked(_compared(docs, names, others, common, key, text, size), percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     named = names.join(labels, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component"))
@@ -345,9 +387,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
 
 
-def _confirmed(docs, names, pairs, common, key, text, size, percent) -> DataFrame:
+def _compared(docs, names, pairs, common, key, text, size) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    return stored(linked(pairs, segments(docs, names, nodes, common, key, text, size), percent))
+    return stored(pair_overlaps(pairs, segments(docs, names, nodes, common, key, text, size)))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
