@@ -29,7 +29,7 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from millrace.llm.shared import shared_folder, slices
+from millrace.llm.shared import shared_folder, slices, write
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -41,8 +41,8 @@ SEGMENT_IDS = 1 << 16
 # Words up to this many characters are remembered per worker, in two generations of at most so many.
 REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 400_000
 
-# Texts are encoded in runs of about so many characters.
-RUN_CHARS = 6 << 20
+# Texts are encoded in runs of at most so many bytes.
+RUN_BYTES = 6 << 20
 
 SEGMENTS = T.StructType(
     [
@@ -178,44 +178,41 @@ class WordEncoder(dict):
         return ids
 
     def encode_word(self, word: str) -> bytes:
-        split = LETTERS_AND_MARKS(word) if self.plain else None
-        # Beyond Latin letters in composed form, the tokenizer's own normalisation decides.
-        if split is None or not split[1].isalpha() or len(split[1].lower()) != len(split[1]):
-            ids = array("I", self.encode(word)).tobytes()
-        elif split[2]:
-            ids = self[split[1]] + self[split[2]]
-        else:
-            ids = array("I", self.letters(word)).tobytes()
-        return ids
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        if self.plain:
+            if word.isascii() and word.isalpha():
+                return array("I", [token.id for token in self.model.tokenize(word.lower())]).tobytes()
+            split = LETTERS_AND_MARKS(word)
+            # Beyond Latin letters in composed form, the tokenizer's own normalisation decides.
+            if split and split[1].isalpha() and len(split[1].lower()) == len(split[1]):
+                return self[split[1]] + self[split[2]] if split[2] else array("I", self.letters(word)).tobytes()
+        return array("I", self.encode(word)).tobytes()
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
-            return [array("I", self.encode(text)).tobytes() for text in texts]
-        out, run, size = [], [], 0
-        for text in texts:
-            if len(text) > RUN_CHARS:
-                out.extend(self._run(run))
-                run, size = [], 0
-                out.append(b"".join(b"".join(self._run([part])) for part in _cut(text)))
-                continue
-            run.append(text)
-            size += len(text)
-            if size >= RUN_CHARS:
-                out.extend(self._run(run))
-                run, size = [], 0
-        return out + self._run(run)
-
-    def _run(self, texts: list[str]) -> list[bytes]:
-        if not texts:
+            return [array("I", self.encode(text)).tobytes() for text in texts.to_pylist()]
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        out, at, held = [], 0, 0
+        for i, size in enumerate(sizes):
+            if size > RUN_BYTES:
+                out += self._run(texts[at:i])
+                out.append(b"".join(b"".join(self._run(pa.array([part]))) for part in _cut(texts[i].as_py())))
+                at, held = i + 1, 0
+            elif held + size > RUN_BYTES:
+                out += self._run(texts[at:i])
+                at, held = i, size
+            else:
+                held += size
+        return out + self._run(texts[at:])
+
+    def _run(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
             return []
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
         codes = words.indices.to_numpy()
         found = list(map(self.__getitem__, words.dictionary.to_pylist()))
-        if not found:
-            return [b""] * len(texts)
         flat = np.frombuffer(b"".join(found), "<u4")
         # A run is small enough for 32-bit places, unless one text fills it.
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
@@ -232,7 +229,7 @@ def _cut(text: str) -> Iterator[str]:
     """Pieces of a very long text, cut at blanks."""
     at = 0
     while at < len(text):
-        end = at + RUN_CHARS
+        end = at + RUN_BYTES
         if end < len(text):
             end = text.rfind(" ", at, end) + 1 or text.find(" ", end) + 1 or len(text)
         yield text[at:end]
@@ -272,7 +269,7 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
         for batch in slices(batches, 2000):
-            for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1).to_pylist())):
+            for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1))):
                 parts.append(ids + end)
                 keys.append(k)
                 held += len(parts[-1]) // 4
@@ -282,7 +279,7 @@ def write_tokens(
         if keys:
             yield closed()
 
-    ordered.mapInArrow(run, SEGMENTS).write.parquet(path)
+    write(ordered.mapInArrow(run, SEGMENTS), path)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
