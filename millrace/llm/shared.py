@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace.session import setting
+
+LIBC = ctypes.CDLL(None)
+
 # Rows whose crc32(doc_id as text) leaves this remainder are never learned from.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 
@@ -47,16 +52,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+# Shuffle files of a finished write serve nobody.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write as Parquet, and let the shuffle files behind it go at once rather than when the driver collects garbage."""
+    with setting(df.sparkSession, DROP_SHUFFLES, "true"):
+        df.write.parquet(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, which bounds what a task unpacks at once."""
+    """The same rows in smaller batches, which bounds what a task unpacks at once.
+
+    At the end freed memory goes back to the system: idle Python workers would
+    otherwise keep it while the stages that follow need it.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
