@@ -12,7 +12,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import text
-from millrace.session import lookup_join
 from millrace.sources import schemas
 
 # Identifiers that lose leading zeros when a reader infers numbers.
@@ -216,11 +215,15 @@ def add_verified_machine(facts: DataFrame, machines: DataFrame) -> DataFrame:
     """
     known = (
         machines.where(F.col("name").isNotNull())
-        .groupBy(F.col("name").alias("machine_name"))
-        .agg(F.min(F.struct("mid", "machine_type_name")).alias("m"))
-        .select("machine_name", "m.mid", F.col("m.machine_type_name").alias("machine_type_verified"))
+        .groupBy("name")
+        .agg(F.min(F.struct("mid", "machine_type_name", "name")).alias("m"))
+        # The name comes out of the struct, so that the join shuffles this small side again:
+        # only between two shuffles can adaptive execution split a frequent name.
+        .select(F.col("m.name").alias("machine_name"), "m.mid", F.col("m.machine_type_name").alias("machine_type_verified"))
     )
-    return lookup_join(facts.drop("mid", "machine_type_verified"), known, "machine_name")
+    # The strategy is left to adaptive execution: a side that turns out small is
+    # broadcast, and the partitions of a frequent name are split.
+    return facts.drop("mid", "machine_type_verified").join(known, "machine_name", "left")
 
 
 def is_company_email(email: Column | str, domain: str) -> Column:

@@ -1,24 +1,27 @@
 """Operators that depend on row order within a key.
 
 A plain window puts all rows of a key into one task. Here one key may hold a
-third of the data, so the order-dependent operators work on chunks: rows are
-range-partitioned by (key, order), which cuts long keys into consecutive chunks
-of similar size; the window runs inside each chunk, and what the previous chunk
-of the same key hands over is added afterwards. The result equals that of the
-plain window for every input.
+third of the data, so the order-dependent operators work on chunks: the days of
+the order column (spans of numbers where it is one), which cut long keys into
+consecutive pieces that anyone can compute alike. The window runs inside each
+(key, chunk); what earlier chunks of a key hand over comes from one summary row
+per (key, chunk), pre-aggregated map-side. Rows are shuffled once. The result
+equals that of the plain window for every input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from millrace.functions.numeric import exact_sum, round_half_up
 from millrace.operators.repair import last_per_key
-from millrace.session import materialise
 
-CHUNK = "_chunk"
+CHUNK, CARRIED = "_chunk", "_carried"
+
+# Numbers per chunk where the order column is a number.
+NUMBERS = 128
 
 # Messages kept per session and messages handed to the model.
 SESSION_LENGTH = 40
@@ -36,14 +39,21 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last_per_key(df, keys, [F.desc_nulls_last(c) for c in order])
 
 
-def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add a chunk number that rises with (keys, order). ``order`` should end in a
-    unique column; equal rows always share a chunk."""
-    return df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
+def in_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None) -> DataFrame:
+    """Add a chunk that rises with the first order column: its day, or the span a number lies in.
+
+    Pass ``chunk`` to cut finer, such as ``date_trunc('hour', ...)`` where one key has
+    more rows a day than a task should hold. It must never fall as the order rises.
+    """
+    if chunk is None:
+        first = F.col(order[0])
+        numeric = isinstance(df.schema[order[0]].dataType, T.NumericType)
+        chunk = F.floor(first / NUMBERS) if numeric else F.to_date(first)
+    return df.withColumn(CHUNK, chunk)
 
 
 def _inside(keys: Sequence[str], order: Sequence[str]) -> W:
-    return W.partitionBy(CHUNK, *keys).orderBy(*order)
+    return W.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
 def _across(keys: Sequence[str]) -> W:
@@ -56,26 +66,26 @@ def _step(previous: Column, current: Column) -> Column:
 
 
 def counter_consumption(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, places: int = 2
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, places: int = 2, chunk: Column | None = None
 ) -> DataFrame:
     """Consumption per key from a running counter with restarts.
 
-    One pass: steps inside a chunk are summed there, each (chunk, key) leaves its
-    first and last reading, and a second, tiny window adds the steps between chunks.
+    One pass: steps inside a chunk are summed there, each (key, chunk) leaves its
+    first and last reading, and a second, small window adds the steps between chunks.
     """
-    needed = list(dict.fromkeys([*keys, *order, counter]))
-    readings = in_chunks(df.select(*needed).where(F.col(counter).isNotNull()), keys, order)
+    readings = in_chunks(df.where(F.col(counter).isNotNull()), order, chunk)
+    readings = readings.select(*dict.fromkeys([*keys, *order, counter, CHUNK]))
     inside = _inside(keys, order)
     value = F.col(counter)
     steps = readings.select(
-        CHUNK,
         *keys,
+        CHUNK,
         value,
         F.lag(counter).over(inside).alias("before"),
         F.row_number().over(inside).alias("place"),
         F.lead(F.lit(True), 1, False).over(inside).alias("followed"),
     )
-    chunks = steps.groupBy(CHUNK, *keys).agg(
+    chunks = steps.groupBy(*keys, CHUNK).agg(
         F.count("*").alias("n"),
         exact_sum(F.when(F.col("place") > 1, _step(F.col("before"), value))).alias("inner"),
         F.max(F.when(F.col("place") == 1, value)).alias("first"),
@@ -83,68 +93,47 @@ def counter_consumption(
     )
     before = F.lag("last").over(_across(keys))
     linked = chunks.withColumn("link", F.when(before.isNotNull(), _step(before, F.col("first"))))
-    consumed = F.coalesce(F.sum("inner"), F.lit(0)) + F.coalesce(exact_sum("link"), F.lit(0))
+    consumed = F.coalesce(exact_sum("inner"), F.lit(0.0)) + F.coalesce(exact_sum("link"), F.lit(0.0))
     return linked.groupBy(*keys).agg(
         F.sum("n").alias("readings"), round_half_up(consumed, places).alias("consumption")
     )
 
 
-def _handed_over(chunks: DataFrame, keys: Sequence[str], summary: Column, over: W) -> DataFrame:
-    """What earlier chunks of a key leave to later ones, as (chunk, keys, carry).
-
-    Only the first key of a chunk can have begun in an earlier chunk, hence at
-    most one row per chunk: that bound is what allows the broadcast below.
-    """
-    per_chunk = chunks.groupBy(CHUNK, *keys).agg(summary.alias("left"))
-    return (
-        per_chunk.withColumn("carry", over)
-        .where(F.col("carry").isNotNull())
-        .select(F.col(CHUNK).alias("_c"), *[F.col(k).alias(f"_{k}") for k in keys], "carry")
-    )
-
-
-def _with_carry(chunks: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    same = F.col(CHUNK) == F.col("_c")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return chunks.join(F.broadcast(carried), same, "left").drop("_c", *[f"_{k}" for k in keys])
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, W]:
+    """Rows with what earlier chunks hand over in front of them, and the window of the rows before each."""
+    both = rows.withColumn(CARRIED, F.lit(False)).unionByName(carried.withColumn(CARRIED, F.lit(True)), allowMissingColumns=True)
+    inside = W.partitionBy(*keys, CHUNK).orderBy(F.desc(CARRIED), *order)
+    return both, inside.rowsBetween(W.unboundedPreceding, -1)
 
 
-def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str) -> DataFrame:
+def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, chunk: Column | None = None) -> DataFrame:
     """Every reading with its increase over the previous one (NULL for the first).
-    Rows without a reading stay and are skipped when looking back.
-
-    Two branches need the same chunks, and chunk borders are sampled anew on each
-    evaluation, so the chunked rows are checkpointed first.
-    """
-    chunks = materialise(in_chunks(df, keys, order))
-    newest = F.max_by(F.col(counter), F.when(F.col(counter).isNotNull(), F.struct(*order)))
-    earlier_chunks = _across(keys).rowsBetween(W.unboundedPreceding, -1)
-    carried = _handed_over(chunks, keys, newest, F.last("left", True).over(earlier_chunks))
-    earlier_rows = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.last(counter, True).over(earlier_rows), F.col("carry"))
+    Rows without a reading stay and are skipped when looking back."""
+    rows = in_chunks(df, order, chunk)
+    present = rows.where(F.col(counter).isNotNull())
+    left = present.groupBy(*keys, CHUNK).agg(F.max_by(F.col(counter), F.struct(*order)).alias("left"))
+    carried = left.select(*keys, CHUNK, F.lag("left").over(_across(keys)).alias(counter)).where(F.col(counter).isNotNull())
+    both, earlier = _with_carried(rows, carried, keys, order)
+    before = F.last(counter, True).over(earlier)
     return (
-        _with_carry(chunks, carried, keys)
-        .withColumn("_before", before)
+        both.withColumn("_before", before)
+        .where(~F.col(CARRIED))
         .withColumn("step", F.when(F.col("_before").isNotNull(), _step(F.col("_before"), F.col(counter))))
-        .drop("_before", "carry", CHUNK)
+        .drop("_before", CARRIED, CHUNK)
     )
 
 
 def running_last(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, chunk: Column | None = None
 ) -> DataFrame:
     """Largest non-null ``value`` among the earlier rows of the key.
 
     For a value that grows with the order, such as the time of an event, that is
     the most recent one.
     """
-    chunks = materialise(in_chunks(df.withColumn("_value", value), keys, order))
+    rows = in_chunks(df, order, chunk).withColumn("_value", value)
+    left = rows.groupBy(*keys, CHUNK).agg(F.max("_value").alias("left"))
     earlier_chunks = _across(keys).rowsBetween(W.unboundedPreceding, -1)
-    carried = _handed_over(chunks, keys, F.max("_value"), F.max("left").over(earlier_chunks))
-    earlier_rows = _inside(keys, order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        _with_carry(chunks, carried, keys)
-        .withColumn(alias, F.greatest(F.col("carry"), F.max("_value").over(earlier_rows)))
-        .drop("_value", "carry", CHUNK)
-    )
+    carried = left.select(*keys, CHUNK, F.max("left").over(earlier_chunks).alias("_value")).where("_value IS NOT NULL")
+    both, earlier = _with_carried(rows, carried, keys, order)
+    return both.withColumn(alias, F.max("_value").over(earlier)).where(~F.col(CARRIED)).drop("_value", CARRIED, CHUNK)

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from millrace.operators import cleaning, quality
-from millrace.session import setting
+from millrace.operators import cleaning, filters, quality
+from millrace.session import PLANT_TIME_ZONE, setting
 from millrace.sources import readers, schemas, sinks
 
 # Dimensions come first, so that references of the facts can be checked.
@@ -75,6 +75,9 @@ def load_table(
     met = Observation()
     verdicts = checked.drop("source").observe(met, F.count_if(F.col("rejected") != "").alias("rejected"))
     good = sinks.accepted(verdicts)
+    if step.table == schemas.DEVIATION:
+        # Stored by the plant's day, like the other facts.
+        good = readers.with_business_day(good, "start_tm", PLANT_TIME_ZONE)
     errors = 0
     with setting(spark, "spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES):
         if step.replace:
@@ -136,3 +139,8 @@ def repair_checks() -> list:
         ("parameter_unit L/min", unit == "L/min", None),
         ("mid present", F.col("mid").isNotNull(), None),
     ]
+
+
+def user_checks() -> list:
+    """The check on the users after the repair."""
+    return [("phone shows a fraction", filters.shows_fraction("phno"), 0)]

@@ -16,6 +16,7 @@ from millrace.functions.numeric import count_where, mean, percent, total
 from millrace.operators import filters, kpis, ordering
 from millrace.operators.filters import plausible_efficiency, valid_rows
 from millrace.plans.views import Tables, view
+from millrace.session import PLANT_TIME_ZONE
 from millrace.sources import schemas
 from millrace.sources.readers import with_business_day
 
@@ -58,6 +59,7 @@ def _lpg(df: DataFrame) -> DataFrame:
 
 
 def _with_day(deviations: DataFrame, zone: str | None) -> DataFrame:
+    """The plant's calendar day, unless the table brings its own."""
     return deviations if DAY in deviations.columns else with_business_day(deviations, "start_tm", zone)
 
 
@@ -115,7 +117,7 @@ def machine_readings(t: Tables, machine: str, n: int = ordering.DEFAULT_LIMIT) -
     return ordering.top(rows.select("pdid", "tm", "weld_cur", "weld_volt", "weld_gas"), n, "tm", "pdid")
 
 
-def deviations_today(t: Tables, zone: str | None = None) -> DataFrame:
+def deviations_today(t: Tables, zone: str | None = PLANT_TIME_ZONE) -> DataFrame:
     """Events of the latest day in the plant's time zone, by label."""
     events = on_day(_with_day(t[schemas.DEVIATION], zone))
     return events.groupBy(DAY, "deviation_label").agg(F.count("*").alias("events"))
@@ -177,7 +179,7 @@ def efficiency_shift_a_b(t: Tables, machine: str | None = None) -> DataFrame:
     return rows.groupBy("machine_name").agg(*sides)
 
 
-def shift_report_today(t: Tables, zone: str | None = None) -> DataFrame:
+def shift_report_today(t: Tables, zone: str | None = PLANT_TIME_ZONE) -> DataFrame:
     """Key figures of the latest day of each table in long form."""
     shift = ["shift_name", "machine_name"]
 

@@ -1,8 +1,11 @@
 """The question catalogue B1–B21."""
 
+from pyspark.sql import functions as F
+
 from millrace.plans import questions, testbed as tb
 from millrace.plans.registered import query
 from millrace.plans.testbed import sql_mean, sql_round, sql_sum, sql_total, with_tables
+from millrace.sources import schemas
 
 
 def _ask(name, oracle, *ctes, **params):
@@ -178,3 +181,18 @@ _ask(
     SELECT 'CLAD', avg_weld_cur FROM sess WHERE NOT is_instantaneous) GROUP BY 1""",
     "per", "sess",
 )
+
+
+@query(
+    "deviations_of_plant_day",
+    with_tables(
+        "dev",
+        body="""SELECT business_date, deviation_label, count(*) AS events
+        FROM (SELECT deviation_label, CAST(start_tm + INTERVAL 330 MINUTE AS DATE) AS business_date FROM dev) AS d
+        WHERE business_date = (SELECT max(CAST(start_tm + INTERVAL 330 MINUTE AS DATE)) FROM dev) GROUP BY 1, 2""",
+    ),
+)
+def deviations_of_plant_day(spark, sf):
+    """Events that carry an instant only: the day is the plant's, five and a half hours ahead of UTC."""
+    events = tb.deviations(spark, sf).drop("business_date").withColumn("start_tm", F.col("start_tm").cast("timestamp"))
+    return questions.deviations_today({schemas.DEVIATION: events})

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators import quality, repair
-from millrace.plans.load import repair_checks
+from millrace.plans.load import repair_checks, user_checks
 from millrace.sources import readers, schemas, sinks
 
 
@@ -60,4 +61,15 @@ def apply_patch(
 
 
 def verify_repairs(spark: SparkSession, root: str) -> DataFrame:
-    return quality.run_checks(readers.read_table(spark, schemas.DEVIATION, root), repair_checks())
+    """The checks on the repaired tables, as far as they are stored."""
+    parts = [
+        quality.run_checks(readers.read_table(spark, table, root), checks)
+        for table, checks in ((schemas.DEVIATION, repair_checks()), (schemas.DIM_USERS, user_checks()))
+        if sinks.has_table(spark, readers.table_path(root, table))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_passed(checks: DataFrame) -> DataFrame:
+    """One row: no check failed, and nothing that had to be found is missing."""
+    return checks.agg(F.bool_and(F.col("status").isin("pass", "found")).alias("all_passed"))

@@ -1,12 +1,11 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 # Plants report local time; sources carry explicit offsets, so the session zone
 # only decides how instants are shown and which day they fall on.
@@ -52,53 +51,3 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-# A lookup side of at most this many narrow rows is copied to every executor.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting up to the bound; beyond it the join shuffles
-    and adaptive execution splits skewed keys.
-
-    For lookup sides behind an aggregate, whose size the optimizer cannot know
-    before it has shuffled the large side as well.
-    """
-    return F.broadcast(df) if is_small(df, rows) else df
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
-def lookup_join(facts: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Left join to a side that holds each key once, without moving the facts where possible.
-
-    A small side is broadcast. A large one is first cut to the keys the facts
-    use: counting those is a scan of one column with map-side combine, and few
-    keys in many rows, the skewed case, then end in a broadcast as well. Only
-    many keys in use lead to a shuffle join.
-    """
-    if not is_small(side):
-        side = broadcast_if_small(side.join(facts.select(key).distinct(), key, "left_semi"))
-    else:
-        side = F.broadcast(side)
-    return facts.join(side, key, "left")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors.
-
-    Needed where one result feeds two branches that must see identical rows
-    (see ``operators.sequences``). A private folder is made only in local mode.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

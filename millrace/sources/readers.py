@@ -110,6 +110,6 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **opti
 def with_business_day(df: DataFrame, moment: str, zone: str | None = None) -> DataFrame:
     """Calendar day of an instant in the plant's zone; zone-less times are taken as written."""
     c = F.col(moment)
-    if zone is not None:
+    if zone is not None and not isinstance(df.schema[moment].dataType, T.TimestampNTZType):
         c = F.convert_timezone(F.current_timezone(), F.lit(zone), c.cast("timestamp_ntz"))
     return df.withColumn("business_date", F.to_date(c))

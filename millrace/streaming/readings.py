@@ -12,25 +12,50 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.numeric import mean
 from millrace.operators import cleaning, filters
 from millrace.sources import schemas, sinks
+from millrace.sources.readers import SEPARATOR, SURPLUS
 
 
-def stream_extracts(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """New CSV files of a folder as all-text rows in the table's column order."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.schema_of(table)])
-    return spark.readStream.schema(text).options(header=True, quote='"', escape='"').csv(folder)
+def stream_extracts(spark: SparkSession, folder: str, table: str, surplus: str = SURPLUS) -> DataFrame:
+    """New CSV files of a folder as all-text rows in the table's column order.
+
+    A file whose header is not the table's columns in their order is an error, so
+    exchanged columns are never taken for each other; lines with more cells than
+    the header are kept as text in ``surplus``.
+    """
+    names = [f.name for f in schemas.schema_of(table)]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
+    options = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False, "columnNameOfCorruptRecord": surplus}
+    lines = spark.readStream.schema(text).options(**options).csv(folder)
+    cells = F.size(F.split(F.col(surplus), SEPARATOR, -1))
+    return lines.withColumn(surplus, F.when(cells > len(names), F.col(surplus)))
+
+
+def stream_checked(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Typed rows with the verdict of the batch load."""
+    return cleaning.with_rejections(stream_extracts(spark, folder, table), table, surplus=SURPLUS)
 
 
 def stream_clean(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return cleaning.clean_table(stream_extracts(spark, folder, table), table)
+    return sinks.accepted(stream_checked(spark, folder, table))
 
 
 def load_new_files(
     spark: SparkSession, folder: str, table: str, target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append every file not seen before to a stored table, then stop."""
-    rows = stream_clean(spark, folder, table)
-    writer = rows.writeStream.format("parquet").options(path=target, checkpointLocation=checkpoint)
-    return writer.partitionBy(*sinks.partition_columns(rows)).trigger(availableNow=True).start()
+    """Append every file not seen before to a stored table, then stop.
+
+    Rejected rows go to ``<target>__rejected``. Each sink takes every row exactly
+    once; the rejected ones are written before the returned query starts.
+    """
+
+    def append(rows: DataFrame, path: str, state: str, *days: str) -> StreamingQuery:
+        writer = rows.writeStream.format("parquet").options(path=path, checkpointLocation=f"{checkpoint}/{state}")
+        return writer.partitionBy(*days).trigger(availableNow=True).start()
+
+    checked = stream_checked(spark, folder, table)
+    append(sinks.quarantined(checked), f"{target}__rejected", "rejected").awaitTermination()
+    good = sinks.accepted(checked)
+    return append(good, target, "accepted", *sinks.partition_columns(good))
 
 
 def welding_averages(

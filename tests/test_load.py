@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from millrace.operators import gateway, quality, repair
@@ -180,6 +181,19 @@ def test_stream(spark, folders, tmp_path):
         streams.load_new_files(spark, str(source), schemas.PERIODIC_GMAW, target, state).awaitTermination()
         assert spark.read.parquet(target).count() == stored
 
+    # An unreadable cell and an overlong line are set aside, exchanged columns are an error.
+    bad = row | {"tm": "2024-07-02 01:00:00+00:00", "weld_cur": "much"}
+    long = row | {"tm": "2024-07-02 02:00:00+00:00"}
+    (source / "3.csv").write_text("\n".join([",".join(header), ",".join(bad.values()), ",".join(long.values()) + ",more,cells"]) + "\n")
+    streams.load_new_files(spark, str(source), schemas.PERIODIC_GMAW, target, state).awaitTermination()
+    assert spark.read.parquet(target).count() == 4
+    assert sorted(r.rejected for r in spark.read.parquet(f"{target}__rejected").collect()) == ["line", "weld_cur"]
+    other = tmp_path / "exchanged"
+    other.mkdir()
+    (other / "1.csv").write_text(",".join([header[1], header[0], *header[2:]]) + "\n" + ",".join(row.values()) + "\n")
+    with pytest.raises(StreamingQueryException):
+        streams.load_new_files(spark, str(other), schemas.PERIODIC_GMAW, str(tmp_path / "o"), str(tmp_path / "os")).awaitTermination()
+
     averages = streams.welding_averages(streams.stream_clean(spark, str(source), schemas.PERIODIC_GMAW))
     query = averages.writeStream.format("memory").queryName("averages").outputMode("append").start()
     query.processAllAvailable()

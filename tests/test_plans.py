@@ -1,11 +1,13 @@
 """Shape of the physical plans."""
 
 import os
+from contextlib import ExitStack
 
 import pytest
 
-from millrace.operators import kpis
+from millrace.operators import cleaning, kpis, sequences
 from millrace.plans import registered, testbed
+from millrace.session import setting
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -42,14 +44,38 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "EqualTo(event_type,error)" in plan
 
 
-def test_large_lookup_sides_are_cut_to_the_keys_in_use(spark, monkeypatch):
-    from millrace import session
-
-    monkeypatch.setattr(session, "is_small", lambda df, rows=5: df.limit(6).count() <= 5)
-    facts = spark.range(1000).selectExpr("id % 3 AS k", "id")
-    side = spark.range(50).selectExpr("id AS k", "id * 2 AS twice").groupBy("k").max("twice")
-    joined = session.lookup_join(facts, side, "k")
-    assert "BroadcastHashJoin" in plan_of(joined)
-    assert joined.count() == 1000 and joined.where("`max(twice)` IS NULL").count() == 0
-    many = session.lookup_join(spark.range(1000).withColumnRenamed("id", "k"), side, "k")
-    assert many.count() == 1000
+def test_no_job_runs_while_plans_are_built(spark):
+    registered.load_all()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans are built")
+    tables = {f.__name__: f for f in (testbed.periodic_gmaw, testbed.machines, testbed.work_periods, testbed.deviations)}
+    for table in tables.values():
+        table(spark, SF_DIR)
+    before = len(tracker.getJobIdsForGroup("plans"))
+    facts = spark.range(10).selectExpr("concat('m', id % 3) AS machine_name")
+    machines = spark.range(5).selectExpr("concat('m', id) AS name", "CAST(id AS INT) AS mid", "'GMAW' AS machine_type_name")
+    joined = cleaning.add_verified_machine(facts, machines)
+    rows = spark.range(10).selectExpr("id % 2 AS k", "id AS t", "CAST(id AS DOUBLE) AS v")
+    steps = sequences.counter_steps(rows, ["k"], ["t"], "v")
+    assert len(tracker.getJobIdsForGroup("plans")) == before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert joined.count() == 10 and steps.count() == 10
+
+
+def test_a_frequent_lookup_key_is_split(spark):
+    facts = spark.range(0, 300_000, 1, 8).selectExpr("CASE WHEN id % 10 < 8 THEN 'hot' ELSE concat('m', id % 500) END AS machine_name", "sha2(CAST(id AS STRING), 256) AS pad")
+    machines = spark.range(2000).selectExpr("concat('m', id) AS name", "CAST(id AS INT) AS mid", "repeat('GMAW', 40) AS machine_type_name")
+    machines = machines.unionAll(spark.sql("SELECT 'hot', 9999, 'GMAW'"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    with ExitStack() as stack:
+        for key, value in small.items():
+            stack.enter_context(setting(spark, key, value))
+        joined = cleaning.add_verified_machine(facts, machines)
+        assert joined.where("mid IS NULL").count() == 0
+        assert len(joined.collect()) == 300_000
+        assert "skew=true" in plan_of(joined)

@@ -83,6 +83,14 @@ def test_repairs(spark, folders, values):
     status = {r.label: r.status for r in repairs.verify_repairs(spark, root).collect()}
     assert status["parameter_unit missing"] == "fail" and status["mid present"] == "found"
 
+    assert repairs.all_passed(repairs.verify_repairs(spark, root)).first()[0] is False
+    for table, rows, columns in (
+        (schemas.DEVIATION, [("A", 1), ("V", 2), ("L/min", 3)], "parameter_unit string, mid int"),
+        (schemas.DIM_USERS, [(7000000001,)], "phno long"),
+    ):
+        sinks.rewrite(spark.createDataFrame(rows, columns), readers.table_path(root, table))
+    assert repairs.all_passed(repairs.verify_repairs(spark, root)).first()[0] is True
+
     readings = spark.createDataFrame([(1.0, 2.0, "x")], "weld_cur double, cut_mm_mtr double, type string")
     path = readers.table_path(root, schemas.PERIODIC_GMAW)
     sinks.write_table(readings, path)

@@ -1,5 +1,6 @@
 """Order-dependent operators against a plain loop, with one key holding most rows."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -46,7 +47,7 @@ def increases(group):
 
 
 def test_long_keys_span_chunks(readings):
-    spans = sequences.in_chunks(readings, KEYS, ORDER).groupBy("k").agg(F.countDistinct(sequences.CHUNK).alias("n"))
+    spans = sequences.in_chunks(readings, ORDER).groupBy("k").agg(F.countDistinct(sequences.CHUNK).alias("n"))
     assert spans.agg(F.max("n")).first()[0] > 2
 
 
@@ -90,6 +91,33 @@ def test_tail_is_cut_before_the_shuffle(readings):
     assert "row_number(), 7, Partial" in plan
 
 
+def test_rows_are_shuffled_once(readings):
+    for df in (
+        sequences.counter_consumption(readings, KEYS, ORDER, "v"),
+        sequences.counter_steps(readings, KEYS, ORDER, "v"),
+        sequences.running_last(readings, KEYS, ORDER, F.col("t"), "seen"),
+    ):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        # Summaries are pre-aggregated; the rows themselves move for the window only.
+        exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(k" in line]
+        assert sum("_chunk" in line for line in exchanges) <= 2 and "rangepartitioning" not in plan
+        assert "Scan ExistingRDD" in plan or "LocalTableScan" in plan
+
+
+def test_steps_over_days_and_hours(spark):
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i + k), float(i * 3 % 11)) for k in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t timestamp, v double")
+    expected = {}
+    for k in (1, 2):
+        before = None
+        for _, t, v in sorted(r for r in rows if r[0] == k):
+            expected[(k, t)] = None if before is None else (v - before if v >= before else v)
+            before = v
+    for chunk in (None, F.date_trunc("hour", "t")):
+        got = sequences.counter_steps(df, ["k"], ["t"], "v", chunk)
+        assert {(r.k, r.t): r.step for r in got.collect()} == expected
+
+
 def test_empty_input(readings):
     none = readings.where("id < 0")
     assert sequences.counter_consumption(none, KEYS, ORDER, "v").count() == 0

@@ -1,3 +1,6 @@
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric, text
@@ -21,7 +24,7 @@ def test_boolean_spellings(spark):
 
 def test_integers(spark):
     cases = {
-        "71.0": 14, "-3.9": -3, "007": 7, " 5 ": 5, "1e3": 1000, "": None, "x": None, "1.2.3": None,
+        "71.0": 71, "-3.9": -3, "007": 7, " 5 ": 5, "1e3": 1000, "": None, "x": None, "1.2.3": None,
         "9007199254740993": 9007199254740993, "99999999999999999999": None, None: None,
     }
     for cell, expected in cases.items():
@@ -79,6 +82,30 @@ def test_sums_do_not_depend_on_order(spark):
     assert one_way == other
 
 
+@pytest.mark.parametrize(
+    "numbers, expected",
+    [
+        ([1 / 3] * 3, 1.0), ([0.1] * 10, 1.0), ([1e19, -1e19, 2.5], 2.5), ([-0.1, -0.2, 0.3], 0.0), ([-1.5, 2.25, 1e15, 0.1], 1000000000000000.85),
+        ([2.0**53 - 1, 0.5], 2.0**53 - 0.5), ([float("inf"), 1.0], float("inf")), ([1e300, 1.0], 1e300), ([1e-20] * 4, 4e-20), ([-4e-7] * 5, -2e-6),
+    ],
+)
+def test_sums_of_any_reading(spark, numbers, expected):
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    assert df.agg(numeric.exact_sum("v")).first()[0] == pytest.approx(expected, rel=1e-15, abs=1e-19)
+
+
+def test_sums_with_undefined_readings(spark):
+    for numbers in ([1.0, float("nan")], [float("inf"), -float("inf")]):
+        df = spark.createDataFrame([(v,) for v in numbers], "v double")
+        row = df.agg(numeric.exact_sum("v"), numeric.mean("v", 2), numeric.total("v", 2)).first()
+        assert all(math.isnan(v) for v in row)
+
+
+def test_small_readings_add_up(spark):
+    df = spark.range(10_000_000).select(F.lit(4e-7).alias("v"))
+    assert df.agg(numeric.exact_sum("v"), numeric.total("v", 2)).first()[0] == pytest.approx(4.0, rel=1e-14)
+
+
 def test_empty_groups(spark):
     df = spark.createDataFrame([(None,)], "v double")
     row = df.agg(numeric.mean("v", 2), numeric.total("v", 2), numeric.count_where(F.col("v") > 0)).first()
