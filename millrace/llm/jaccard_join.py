@@ -185,19 +185,24 @@ def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
     list is long.
     """
     rows = classes.select("node", "n", "rare", F.posexplode(F.arrays_zip("first", "parts")).alias("pos", "x"))
-    is_common = F.col("x.parts") > 0
     rows = rows.select(
         F.col("x.first").alias("shingle"),
-        F.when(is_common, F.pmod(F.xxhash64("node"), F.col("x.parts"))).otherwise(F.lit(0)).cast("int").alias("part"),
-        is_common.alias("common"),
+        F.when(F.col("x.parts") > 0, F.pmod(F.xxhash64("node"), F.col("x.parts"))).otherwise(F.lit(-1)).cast("int").alias("part"),
         "node",
-        F.col("n").cast("int").alias("n"),
+        # Few columns, as all first shingles are shuffled here.
+        (F.shiftleft("n", 31) + F.col("pos")).alias("n_pos"),
+        "rare",
+    )
+    counted = rows.withColumn("count", F.count("*").over(Window.partitionBy("shingle", "part")))
+    lists = counted.where("count > 1 OR part >= 0").withColumn("n", F.shiftright("n_pos", 31).cast("int"))
+    return lists.select(
+        "shingle",
+        "node",
+        "n",
         F.floor(F.col("rare") * 1000 / F.col("n")).cast("int").alias("own"),
-        "pos",
+        F.col("n_pos").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"),
         F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int").alias("bucket"),
     )
-    of_list = Window.partitionBy("shingle", "part")
-    return rows.withColumn("count", F.count("*").over(of_list)).where("count > 1 OR common").drop("count", "common", "part")
 
 
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -215,19 +220,19 @@ def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
     counts = met.groupBy("node", "n", "hub").count()
     best = counts.groupBy("node", "n").agg(F.max_by("hub", F.struct("count", -F.col("hub.own"), -F.col("hub.node"))).alias("hub"), F.max("count").alias("count"))
     pairs = best.select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.col("n").alias("n_a"), F.col("hub.n").alias("n_b"), "count")
-    return pairs.where(meet_often(F.col("count") * 2, percent)).drop("count")
+    return pairs.where(meet_often(F.col("count") * 2, F.col("n_a"), F.col("n_b"), percent)).drop("count")
 
 
-def meet_often(count: Column, percent: int) -> Column:
+def meet_often(count: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     """Whether two classes have as many first shingles in common as a link needs.
 
     Take the one whose first shingles end earlier in the global order: what the
     two share beyond those of both lies in its rest. So ``count`` must be at
     least the whole overlap less the larger rest.
     """
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / F.lit(100 + percent))
-    rest = F.ceil(F.greatest("n_a", "n_b") * percent / F.lit(100)) - 1
-    return sizes_agree(F.col("n_a"), F.col("n_b"), percent) & (count >= overlap - rest)
+    overlap = F.ceil((n_a + n_b) * percent / F.lit(100 + percent))
+    rest = F.ceil(F.greatest(n_a, n_b) * percent / F.lit(100)) - 1
+    return sizes_agree(n_a, n_b, percent) & (count >= overlap - rest)
 
 
 def sizes_agree(a: Column, b: Column, percent: int) -> Column:
@@ -265,11 +270,13 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     in_order = Window.partitionBy("node").orderBy("pos")
     rows = rows.join(mixed, "shingle", "left_semi").withColumn("before", F.lag("shingle").over(in_order))
+    # A class cannot meet another one more often than it is listed.
+    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("node")))
     rows = stored(rows.join(bounds, "node", "left"))
     counts = rows.groupBy("shingle", "component").count()
     largest = counts.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
     marked = rows.join(largest, "shingle").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
-    columns = ("node", "n", "pos", "component", "before", "hub", "inside", "loose")
+    columns = ("node", "n", "pos", "component", "before", "held", "hub", "inside", "loose")
     left = marked.where("minor").select("shingle", *[F.col(c).alias(f"{c}1") for c in columns])
     wanted = (F.col("n1") + F.col("n")) * percent
 
@@ -281,7 +288,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
         (F.col("component1") != F.col("component"))
         & (~F.col("minor") | (F.col("node1") < F.col("node")))
         & ~F.coalesce(F.col("before1") == F.col("before"), F.lit(False))
-        & sizes_agree(F.col("n1"), F.col("n"), percent)
+        & meet_often(F.least("held1", "held"), F.col("n1"), F.col("n"), percent)
         # What the two can still share from this shingle on, and before it, must suffice.
         & enough(F.least(F.col("n1") - F.col("pos1"), F.col("n") - F.col("pos")) + F.least("pos1", "pos"))
         & ~F.coalesce(settled, F.lit(False))
@@ -294,7 +301,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     one = first.select(F.col("node").alias("a"), F.col("shared").alias("s_a"))
     two = first.select(F.col("node").alias("b"), F.col("shared").alias("s_b"))
     counted = distinct.join(one, "a").join(two, "b").withColumn("count", F.size(F.array_intersect("s_a", "s_b")))
-    return counted.where(meet_often(F.col("count"), percent)).select("a", "b", "n_a", "n_b")
+    return counted.where(meet_often(F.col("count"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
 
 
 def key_place(key: Column) -> Column:
