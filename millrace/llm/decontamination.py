@@ -36,7 +36,7 @@ ALONE, WITH_ANSWER, ANSWER = 0.75, 0.5, 0.8
 # Without an answer of its own, an item's answer is its last words, this share of it.
 ANSWER_SHARE = 0.25
 # Passages are compared in runs of so many.
-RUN_PASSAGES = 1 << 16
+RUN_PASSAGES = 1 << 14
 
 # Letters, digits and bytes beyond ASCII belong to words.
 WORD_BYTES = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -159,7 +159,7 @@ def _weigh(texts: DataFrame, items: Items, kind) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             places, bounds = _read_places(batch.column(0), kind)
             text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             pairs = np.unique(text[places >= 0] * size + places[places >= 0])
@@ -184,7 +184,7 @@ def _sketch(texts: DataFrame, items: Items, kind) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH_ROWS * size)
-        for batch in batches:
+        for batch in slices(batches):
             places, bounds = _read_places(batch.column(1), kind)
             text, start, end = windows(bounds)
             # The draw depends on the text and the passage only.
@@ -297,7 +297,7 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words_, answers, weights, basis, queries, owners = shared.value
         block = Items(ids, words_, answers, None, weights, basis, queries, owners)
-        for batch in batches:
+        for batch in slices(batches):
             places, bounds = _read_places(batch.column(2), kind)
             text, start, end = windows(bounds)
             rows, found = [], []

@@ -54,11 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 # Shuffle files of a finished write serve nobody.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Write as Parquet, and let the shuffle files behind it go at once rather than when the driver collects garbage."""
-    with setting(df.sparkSession, DROP_SHUFFLES, "true"):
+def write(df: DataFrame, path: str, rows: int = 1000) -> None:
+    """Write as Parquet, with ``rows`` whole texts at a time between Spark and Python.
+
+    The shuffle files behind it go at once rather than when the driver collects garbage.
+    """
+    with setting(df.sparkSession, DROP_SHUFFLES, "true"), setting(df.sparkSession, BATCH_ROWS, str(rows)):
         df.write.parquet(path)
 
 

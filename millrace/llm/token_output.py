@@ -142,8 +142,9 @@ class WordEncoder(dict):
     the marks apart, which is tried out first.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
         super().__init__()
+        self.remembered = remembered
         self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -170,7 +171,7 @@ class WordEncoder(dict):
         if ids is None:
             ids = self.encode_word(word)
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED_WORDS:
+            if len(self) >= self.remembered:
                 # Words in use move on from the older generation, the others go with it.
                 self.older = dict(self)
                 self.clear()
@@ -237,26 +238,33 @@ def _cut(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
+    return WordEncoder(path, remembered)
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED_WORDS,
 ) -> None:
     """Write the ids of all texts to ``path`` in ascending key order.
 
     Rows are dealt out by ranges of the key, so shards follow the key order and
     no task holds more than a range; equal keys are ordered by a hash of the text and each
     kept, a null key comes first, a null text counts as empty. Memory per task:
-    one segment and the longest document.
+    one segment, the longest document, and twice ``remembered`` words per worker
+    (some 200 bytes each).
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = texts.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, remembered)
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         parts: list[bytes] = []
@@ -279,7 +287,7 @@ def write_tokens(
         if keys:
             yield closed()
 
-    write(ordered.mapInArrow(run, SEGMENTS), path)
+    write(ordered.mapInArrow(run, SEGMENTS), path, rows=2000)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -317,9 +325,17 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool =
     return segments.join(F.broadcast(starts), "shard").mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int | None,
+    path: str | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    remembered: int = REMEMBERED_WORDS,
+) -> DataFrame:
     """Write the token files (to a new shared folder unless ``path`` is given) and index them from what was written."""
     spark = docs.sparkSession
     path = path or shared_folder(spark)
-    write_tokens(docs, path, tokenizer, end_id, key, text)
+    write_tokens(docs, path, tokenizer, end_id, key, text, remembered)
     return read_tokens(spark, path, key)
