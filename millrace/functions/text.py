@@ -103,20 +103,26 @@ def contains_any(c: Column | str, keywords: Iterable[str]) -> Column:
     return reduce(lambda found, k: found | lowered.contains(k), keywords, F.lit(False))
 
 
+# Patterns of code fences, of the first SQL query and of the JSON object in a reply.
+FENCE_OPEN, FENCE_CLOSE = r"```(?:sql|json)?\s*", r"\s*```"
+FIRST_SQL = r"(?is)((?:WITH|SELECT)\b.*)"
+JSON_OBJECT = r"(?s)\{.*\}"
+
+
 def strip_fences(c: Column | str) -> Column:
     """Drop code fences from a stored model reply."""
-    opened = F.regexp_replace(col(c), r"```(?:sql|json)?\s*", "")
-    return strip(F.regexp_replace(opened, r"\s*```", ""))
+    opened = F.regexp_replace(col(c), FENCE_OPEN, "")
+    return strip(F.regexp_replace(opened, FENCE_CLOSE, ""))
 
 
 def extract_sql(c: Column | str) -> Column:
     """From the first WITH or SELECT to the end; texts without one come back whole."""
     text = strip_fences(c)
-    found = strip(F.regexp_extract(text, r"(?is)((?:WITH|SELECT)\b.*)", 1))
+    found = strip(F.regexp_extract(text, FIRST_SQL, 1))
     return F.when(found != "", found).otherwise(text)
 
 
 def extract_json(c: Column | str) -> Column:
     """From the first ``{`` to the last ``}``; NULL when there is none."""
-    found = F.regexp_extract(strip_fences(c), r"(?s)\{.*\}", 0)
+    found = F.regexp_extract(strip_fences(c), JSON_OBJECT, 0)
     return F.when(found != "", found)

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import handle_skew
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,12 +22,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
 
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            handle_skew(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = f
         if oracle is not None:
             ORACLES[name] = oracle
         return f

@@ -36,12 +36,6 @@ def get_spark(app: str = "millrace", cores: int | str | None = None, **extra: st
     return builder.getOrCreate()
 
 
-def handle_skew(spark: SparkSession) -> None:
-    """Apply the skew settings to a session built elsewhere."""
-    for key, value in SKEW_SETTINGS.items():
-        spark.conf.set(key, value)
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A run-time setting for the jobs started inside the block."""

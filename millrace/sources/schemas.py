@@ -194,18 +194,6 @@ def plain_type(field: T.StructField) -> T.DataType:
     return T.StringType() if isinstance(field.dataType, (T.VarcharType, T.CharType)) else field.dataType
 
 
-def columns_of_type(table: str, *kinds: type) -> list[str]:
-    return [f.name for f in schema_of(table) if isinstance(f.dataType, kinds)]
-
-
-def boolean_columns(table: str) -> list[str]:
-    return columns_of_type(table, T.BooleanType)
-
-
-def integer_columns(table: str) -> list[str]:
-    return columns_of_type(table, T.ShortType, T.IntegerType, T.LongType)
-
-
 def required_columns(table: str) -> list[str]:
     return [f.name for f in schema_of(table) if not f.nullable]
 
