@@ -312,3 +312,14 @@ def rows_as_json(spark, sf):
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("c_mktsegment"),
     )
     return ordering.as_json(named)
+
+
+@query(
+    "machine_type_unknown",
+    """SELECT c_custkey AS mid, CASE c_custkey % 5 WHEN 1 THEN 'GMAW' WHEN 2 THEN 'CLAD' WHEN 3 THEN 'GASCUTTING' END AS machine_type_name,
+    c_custkey % 5 = 1 AS is_gmaw, c_custkey % 5 = 2 AS is_clad, c_custkey % 5 = 3 AS is_gascutting FROM customer""",
+)
+def machine_type_unknown(spark, sf):
+    """Type ids 0 and 4 are not in the type table: their machines stay, without a type."""
+    machines = tb.table(spark, sf, "customer").select(F.col("c_custkey").alias("mid"), (F.col("c_custkey") % 5).cast("short").alias("mtid"))
+    return cleaning.add_type_flags(machines, readers.machine_types(spark)).drop("mtid")

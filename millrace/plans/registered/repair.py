@@ -102,3 +102,39 @@ def insert_ignore(spark, sf):
     held = tb.table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
     incoming = tb.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return sinks.insert_new(held, incoming, ["o_custkey"], [F.asc("o_orderkey")])
+
+
+@query(
+    "keyed_update_last_wins",
+    """SELECT o_orderkey, o_custkey, coalesce(p.part, CAST(o_custkey % 3 AS INTEGER)) AS mid,
+    coalesce(p.part IS NOT NULL AND p.part <> o_custkey % 3, FALSE) AS changed
+    FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_partkey % 3 AS INTEGER) END AS part FROM lineitem
+        QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1) p ON l_orderkey = o_orderkey""",
+)
+def keyed_update_last_wins(spark, sf):
+    """Lines as a patch in which keys repeat: the last line of an order counts, every order stays one row."""
+    orders = tb.table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 3).cast("int").alias("mid"))
+    patch = tb.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        "l_linenumber",
+        F.when(F.col("l_partkey") % 4 != 0, (F.col("l_partkey") % 3).cast("int")).alias("mid"),
+    )
+    return repair.keyed_update(orders, patch, ["o_orderkey"], ["mid"], [F.desc("l_linenumber")], skip_null=True, changed="changed")
+
+
+@query(
+    "insert_incomplete_keys",
+    """SELECT 'set aside' AS outcome, o_orderkey FROM orders WHERE o_orderkey % 7 = 0
+    UNION ALL SELECT 'inserted', o_orderkey FROM (SELECT * FROM orders WHERE o_orderkey % 7 <> 0
+        AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
+        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)""",
+)
+def insert_incomplete_keys(spark, sf):
+    """Every seventh order comes without its customer: such rows are set aside, not merged into one."""
+    held = tb.table(spark, sf, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    key = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey"))
+    incoming = tb.table(spark, sf, "orders").select("o_orderkey", key.alias("o_custkey"))
+    added = sinks.insert_new(held, incoming, ["o_custkey"], [F.asc("o_orderkey")])
+    aside = sinks.incomplete_keys(incoming, ["o_custkey"])
+    rows = [df.select(F.lit(name).alias("outcome"), "o_orderkey") for name, df in (("set aside", aside), ("inserted", added))]
+    return rows[0].unionByName(rows[1])

@@ -290,3 +290,13 @@ def readonly_sql_capped(spark, sf):
     kpis.sensor_averages(readings, ("hardware_id",)).createOrReplaceTempView("device_averages")
     sql = "SELECT hardware_id, avg_weld_cur_a FROM device_averages ORDER BY hardware_id"
     return gateway.read_frame(spark, sql, ordering.PREVIEW_ROWS)
+
+
+@query(
+    "readonly_sql_row_cap",
+    with_tables("per", body="SELECT event_id, hardware_id FROM per ORDER BY event_id LIMIT 200"),
+)
+def readonly_sql_row_cap(spark, sf):
+    """A text that asks for more than the cap gets the cap's 200 rows."""
+    tb.periodic_gmaw(spark, sf).createOrReplaceTempView("capped_readings")
+    return gateway.read_frame(spark, "SELECT event_id, hardware_id FROM capped_readings ORDER BY event_id LIMIT 1000")
