@@ -189,18 +189,17 @@ def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
         F.col("x.first").alias("shingle"),
         F.when(F.col("x.parts") > 0, F.pmod(F.xxhash64("node"), F.col("x.parts"))).otherwise(F.lit(-1)).cast("int").alias("part"),
         "node",
-        # Few columns, as all first shingles are shuffled here.
-        (F.shiftleft("n", 31) + F.col("pos")).alias("n_pos"),
-        "rare",
+        # One number for three, as all first shingles are shuffled here: size, place, share of own shingles.
+        (F.shiftleft("n", 36) + F.shiftleft(F.col("pos").cast("long"), 10) + F.floor(F.col("rare") * 1000 / F.col("n"))).alias("facts"),
     )
     counted = rows.withColumn("count", F.count("*").over(Window.partitionBy("shingle", "part")))
-    lists = counted.where("count > 1 OR part >= 0").withColumn("n", F.shiftright("n_pos", 31).cast("int"))
+    lists = counted.where("count > 1 OR part >= 0").withColumn("n", F.shiftright("facts", 36).cast("int"))
     return lists.select(
         "shingle",
         "node",
         "n",
-        F.floor(F.col("rare") * 1000 / F.col("n")).cast("int").alias("own"),
-        F.col("n_pos").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"),
+        F.col("facts").bitwiseAND(F.lit((1 << 10) - 1)).cast("int").alias("own"),
+        F.shiftright("facts", 10).bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("pos"),
         F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int").alias("bucket"),
     )
 
@@ -266,13 +265,13 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     most pairs of a large group. A pair is made at the first shingle it has in
     common: where both come from the same shingle before, it has been made there.
     """
-    rows = lists.join(labels, "node", "left").select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    in_order = Window.partitionBy("node").orderBy("pos")
-    rows = rows.join(mixed, "shingle", "left_semi").withColumn("before", F.lag("shingle").over(in_order))
+    by_node = Window.partitionBy("node")
+    known = lists.join(labels, "node", "left").join(bounds, "node", "left")
     # A class cannot meet another one more often than it is listed.
-    rows = rows.withColumn("held", F.count("*").over(Window.partitionBy("node")))
-    rows = stored(rows.join(bounds, "node", "left"))
+    known = known.withColumn("before", F.lag("shingle").over(by_node.orderBy("pos"))).withColumn("held", F.count("*").over(by_node))
+    known = stored(known.select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"), "before", "held", "hub", "inside", "loose"))
+    mixed = known.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    rows = stored(known.join(mixed, "shingle", "left_semi"))
     counts = rows.groupBy("shingle", "component").count()
     largest = counts.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
     marked = rows.join(largest, "shingle").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
