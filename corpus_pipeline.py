@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import decontamination, jaccard_join, language_id, source_mixing, token_output
-from millrace.llm.shared import held_out, stored, table, tokenizer_path
+from millrace.llm.shared import held_out, small_batches, stored, table, tokenizer_path
 
 # A text that costs this many bits a byte is not shortened by any language's statistics.
 MOST_BITS_PER_BYTE = 8.0
@@ -17,6 +17,8 @@ MOST_BITS_PER_BYTE = 8.0
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what has no letter and what no learned language explains better than bytes at random; learns from ``docs``."""
+    # What this stage returns runs whole rows through Python when it is written.
+    small_batches(spark)
     model = language_id.learn(docs.where(~held_out()))
     # Whole rows in one column: whatever else they hold cannot clash with the verdict.
     rows = docs.select(F.struct("*").alias("row"), "text")

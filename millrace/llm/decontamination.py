@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import remove, slices, stored
 
 BLOCK_ITEMS = 512
 PASSAGE, STRIDE = 32, 16
@@ -130,7 +130,7 @@ def passage_rows(places: np.ndarray, start: np.ndarray, end: np.ndarray, weights
     return words, weight, np.sqrt((weight**2).sum(axis=1) + other)
 
 
-def _stored_places(docs: DataFrame, items: Items, key: str, text: str) -> DataFrame:
+def _stored_places(docs: DataFrame, items: Items, key: str, text: str, held: list[str]) -> DataFrame:
     kind = np.int16 if len(items.vocabulary) < 1 << 15 else np.int32
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     schema = rows.drop("text").withColumn("places", F.lit(b"")).schema
@@ -143,7 +143,7 @@ def _stored_places(docs: DataFrame, items: Items, key: str, text: str) -> DataFr
             data = [places[a:b].astype(kind).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["key", "text_hash", "places"])
 
-    return stored(rows.mapInArrow(run, schema))
+    return stored(rows.mapInArrow(run, schema), held)
 
 
 def _read_places(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +272,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         if not items.ids:
             continue
         kind = np.int16 if len(items.vocabulary) < 1 << 15 else np.int32
-        texts = _stored_places(kept, items, "key", "text")
+        held: list[str] = []
+        texts = _stored_places(kept, items, "key", "text", held)
         _fit(texts, items, kind)
         block = stored(_matches(texts, items, kind, benchmark.select(F.col(item).alias("item")).schema["item"]))
+        remove(docs.sparkSession, held)
         found = block if found is None else found.unionAll(block)
     if found is None:
         none = F.lit(None).cast(benchmark.schema[item].dataType)

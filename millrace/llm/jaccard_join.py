@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import slices, stored
+from millrace.llm.shared import remove, slices, stored
 
 WORDS = 5
 PERCENT = 80
@@ -256,7 +256,7 @@ def hub_bounds(lists: DataFrame, overlaps: DataFrame, percent: int) -> DataFrame
     return bounds.unionByName(own)
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent: int) -> DataFrame:
+def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent: int, kept: list[str]) -> DataFrame:
     """Pairs of classes that share a first shingle but no component yet, as far as they may link.
 
     In each list all but the largest component are compared with every other
@@ -269,9 +269,9 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     known = lists.join(labels, "node", "left").join(bounds, "node", "left")
     # A class cannot meet another one more often than it is listed.
     known = known.withColumn("before", F.lag("shingle").over(by_node.orderBy("pos"))).withColumn("held", F.count("*").over(by_node))
-    known = stored(known.select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"), "before", "held", "hub", "inside", "loose"))
+    known = stored(known.select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"), "before", "held", "hub", "inside", "loose"), kept)
     mixed = known.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    rows = stored(known.join(mixed, "shingle", "left_semi"))
+    rows = stored(known.join(mixed, "shingle", "left_semi"), kept)
     counts = rows.groupBy("shingle", "component").count()
     largest = counts.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
     marked = rows.join(largest, "shingle").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
@@ -317,13 +317,13 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: str, text: str, size: int) -> DataFrame:
+def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: str, text: str, size: int, kept: list[str]) -> DataFrame:
     """One row per class in ``nodes`` and fragment: the shingles of the class that lie in the fragment.
 
     Texts are read again rather than kept; a bitmap of the keys in question
     spares the work for the others, whatever passes it by chance falls to the join.
     """
-    chosen = stored(names.join(nodes.distinct(), "node", "left_semi"))
+    chosen = stored(names.join(nodes.distinct(), "node", "left_semi"), kept)
     bitmap = docs.sparkSession.sparkContext.broadcast(key_filter(chosen.select(F.col("smallest").alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +347,7 @@ def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: s
     found = texts.mapInArrow(run, "digest binary, fragment int, shingles array<long>")
     named = found.join(chosen.select("digest", "node"), "digest")
     # Rows may repeat; a class has each segment once.
-    return stored(named.select("node", "fragment", "shingles").dropDuplicates(["node", "fragment"]))
+    return stored(named.select("node", "fragment", "shingles").dropDuplicates(["node", "fragment"]), kept)
 
 
 def pair_overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -376,11 +376,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = found.where("n > 0")
     names = stored(with_nodes(sets.groupBy("digest").agg(F.min("key").alias("smallest"), F.max("n").alias("n"))))
     first = sets.groupBy("digest").agg(F.first("rare").alias("rare"), F.first("first").alias("first"), F.first("parts").alias("parts"))
-    lists = stored(shared_lists(first.join(names, "digest"), percent))
+    kept: list[str] = []
+    lists = stored(shared_lists(first.join(names, "digest"), percent), kept)
     by_hub = _compared(docs, names, stored(hub_pairs(lists, percent)), common, key, text, size)
     links = linked(by_hub, percent)
     labels = stored(components(links))
-    others = stored(open_pairs(lists, labels, hub_bounds(lists, by_hub, percent), percent))
+    others = stored(open_pairs(lists, labels, hub_bounds(lists, by_hub, percent), percent, kept))
+    remove(docs.sparkSession, kept)
     more = linked(_compared(docs, names, others, common, key, text, size), percent)
     if not more.isEmpty():
         labels = components(links.unionAll(more))
@@ -395,7 +397,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def _compared(docs, names, pairs, common, key, text, size) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))
-    return stored(pair_overlaps(pairs, segments(docs, names, nodes, common, key, text, size)))
+    kept: list[str] = []
+    overlaps = stored(pair_overlaps(pairs, segments(docs, names, nodes, common, key, text, size, kept)))
+    remove(docs.sparkSession, kept)
+    return overlaps
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -66,14 +66,31 @@ def write(df: DataFrame, path: str, rows: int = 1000) -> None:
         df.write.parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder's name is added to ``kept``, for ``remove`` once nothing reads it any more.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     write(df, path)
+    if kept is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, kept: list[str]) -> None:
+    """Delete stored folders; call it only when all that was computed from them is stored itself."""
+    while kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """So many whole texts at a time between Spark and Python, for the rest of the session."""
+    spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, which bounds what a task unpacks at once.
 
