@@ -43,8 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and the place of each document in them."""
-    # Workers that have run the other stages hold more; fewer words are remembered here.
-    return token_output.encode_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, remembered=100_000)
+    # Workers that run the other stages too hold more: fewer words are remembered, and none when a task ends.
+    return token_output.encode_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, remembered=100_000, forget=True)
 
 
 STAGES = [

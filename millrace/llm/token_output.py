@@ -250,6 +250,7 @@ def write_tokens(
     key: str = "doc_id",
     text: str = "text",
     remembered: int = REMEMBERED_WORDS,
+    forget: bool = False,
 ) -> None:
     """Write the ids of all texts to ``path`` in ascending key order.
 
@@ -257,7 +258,8 @@ def write_tokens(
     no task holds more than a range; equal keys are ordered by a hash of the text and each
     kept, a null key comes first, a null text counts as empty. Memory per task:
     one segment, the longest document, and twice ``remembered`` words per worker
-    (some 200 bytes each).
+    (some 200 bytes each). With ``forget`` a worker gives words and tokenizer up
+    at the end of each task, for the steps that follow it.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -286,6 +288,8 @@ def write_tokens(
                     segment, first, held, keys, parts = segment + 1, first + held, 0, [], []
         if keys:
             yield closed()
+        if forget:
+            encoder.cache_clear()
 
     write(ordered.mapInArrow(run, SEGMENTS), path, rows=2000)
 
@@ -333,9 +337,10 @@ def encode_documents(
     key: str = "doc_id",
     text: str = "text",
     remembered: int = REMEMBERED_WORDS,
+    forget: bool = False,
 ) -> DataFrame:
     """Write the token files (to a new shared folder unless ``path`` is given) and index them from what was written."""
     spark = docs.sparkSession
     path = path or shared_folder(spark)
-    write_tokens(docs, path, tokenizer, end_id, key, text, remembered)
+    write_tokens(docs, path, tokenizer, end_id, key, text, remembered, forget)
     return read_tokens(spark, path, key)
