@@ -9,8 +9,10 @@ all are left out beforehand, which loses none. A candidate is confirmed by the
 longest common subsequence of item and text around the passage, weighed by the
 rareness of the words, and by whether the item's answer is there.
 
-Items are taken in blocks, so that what each task holds is bounded by a block's
-words, however many items there are.
+The space holds every passage of the items whole: its rank is that of the sketch
+and the items' passages together, so an item loses nothing by the projection.
+Items are taken in blocks of so many passages, so that what each task holds is
+bounded by a block's words, however many items there are.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from millrace.llm.shared import remove, slices, stored
 
 BLOCK_ITEMS = 512
+# Passages of items in a block; with the sketch's rows they are the rank of the space.
+BLOCK_PASSAGES = 384
 PASSAGE, STRIDE = 32, 16
 SKETCH_ROWS = 192
-RANK = 256
 COSINE = 0.5
 # Share of an item's weight that the common subsequence must hold, alone or with the answer found.
 ALONE, WITH_ANSWER, ANSWER = 0.75, 0.5, 0.8
@@ -73,6 +76,7 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: pa.Array
+    spans: list[tuple[int, int]]  # first and last passage (exclusive) of each item that the block compares
     weights: np.ndarray | None = None  # by place; the last one is that of any other word
     basis: np.ndarray | None = None
     queries: np.ndarray | None = None
@@ -82,16 +86,23 @@ class Items:
 def item_blocks(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Iterator[Items]:
     columns = [F.col(key), F.col(text)] + ([F.col(answer)] if answer else [])
     rows: list = []
+    spans: list[tuple[int, int]] = []
+    held = 0
     for row in benchmark.select(*columns).orderBy(key).toLocalIterator():
+        passages = int(passage_count(len([w for w in split_words(pa.array([row[1]], pa.string()))[0].as_py() if w])))
+        if not passages:
+            continue
+        if rows and (held + passages > BLOCK_PASSAGES or len(rows) == BLOCK_ITEMS):
+            yield _block(rows, spans)
+            rows, spans, held = [], [], 0
         rows.append(row)
-        if len(rows) == BLOCK_ITEMS:
-            yield _block(rows)
-            rows = []
+        spans.append((0, passages))
+        held += passages
     if rows:
-        yield _block(rows)
+        yield _block(rows, spans)
 
 
-def _block(rows: list) -> Items:
+def _block(rows: list, spans: list[tuple[int, int]]) -> Items:
     split = split_words(pa.array([r[1] for r in rows], pa.string())).to_pylist()
     words = [[w for w in ws if w] for ws in split]
     if len(rows[0]) > 2:
@@ -100,19 +111,22 @@ def _block(rows: list) -> Items:
         answers = [ws[-max(1, round(len(ws) * ANSWER_SHARE)) :] for ws in words]
     vocabulary = sorted({w for ws in words + answers for w in ws})
     place = {w: i for i, w in enumerate(vocabulary)}
-    kept = [i for i, ws in enumerate(words) if ws]
 
     def places(ws: list[str]) -> np.ndarray:
         return np.array([place[w] for w in ws], np.int32)
 
-    return Items([rows[i][0] for i in kept], [places(words[i]) for i in kept], [places(answers[i]) for i in kept], pa.array(vocabulary, pa.string()))
+    return Items([r[0] for r in rows], [places(ws) for ws in words], [places(ws) for ws in answers], pa.array(vocabulary, pa.string()), spans)
+
+
+def passage_count(words):
+    """Number of passages of texts of so many words."""
+    return np.where(words > 0, np.maximum(0, -(-(words - PASSAGE) // STRIDE)) + 1, 0)
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of all passages; the last one of a text may be shorter."""
-    lengths = np.diff(bounds)
-    per_text = np.where(lengths > 0, np.maximum(0, -(-(lengths - PASSAGE) // STRIDE)) + 1, 0)
-    text = np.repeat(np.arange(len(lengths)), per_text)
+    per_text = passage_count(np.diff(bounds))
+    text = np.repeat(np.arange(len(per_text)), per_text)
     number = np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     start = bounds[text] + number * STRIDE
     return text, start, np.minimum(start + PASSAGE, bounds[text + 1])
@@ -229,6 +243,10 @@ def _fit(texts: DataFrame, items: Items, kind) -> None:
     owner, start, end = windows(bounds)
     # The last passage of a longer item is as long as the others.
     start = np.maximum(np.minimum(start, end - PASSAGE), bounds[owner])
+    first, last = np.array(items.spans).T
+    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    here = (number >= first[owner]) & (number < last[owner])
+    owner, start, end = owner[here], start[here], end[here]
     words, weight, length = passage_rows(places, start, end, items.weights)
     queries = np.zeros((len(owner), size))
     np.add.at(queries, (np.arange(len(owner))[:, None], np.maximum(words, 0)), weight)
@@ -236,7 +254,8 @@ def _fit(texts: DataFrame, items: Items, kind) -> None:
     sketch = _sketch(texts, items, kind)
     scale = np.linalg.norm(sketch, axis=1).max()
     _, _, right = np.linalg.svd(np.concatenate([sketch / max(scale, 1e-9), queries]), full_matrices=False)
-    items.basis = np.ascontiguousarray(right[:RANK].T, np.float32)
+    # All directions: the items' passages lie in the space, and their vectors keep their length.
+    items.basis = np.ascontiguousarray(right.T, np.float32)
     items.queries = (queries @ items.basis).astype(np.float32)
     items.owners = owner
 
@@ -269,8 +288,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     found = None
     for items in item_blocks(benchmark, item, item_text, answer):
-        if not items.ids:
-            continue
         kind = np.int16 if len(items.vocabulary) < 1 << 15 else np.int32
         held: list[str] = []
         texts = _stored_places(kept, items, "key", "text", held)
@@ -298,7 +315,7 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, words_, answers, weights, basis, queries, owners = shared.value
-        block = Items(ids, words_, answers, None, weights, basis, queries, owners)
+        block = Items(ids, words_, answers, None, None, weights, basis, queries, owners)
         for batch in slices(batches):
             places, bounds = _read_places(batch.column(2), kind)
             text, start, end = windows(bounds)

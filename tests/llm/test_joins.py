@@ -127,6 +127,22 @@ def test_items_come_in_blocks(spark, documents, sentence, benchmark_rows, monkey
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(i, i) for i in range(10)}
 
 
+def test_full_blocks_lose_no_item(spark, documents):
+    rng = random.Random(5)
+    own = [f"b{i}" for i in range(6000)]
+    items = {i: [rng.choice(own) for _ in range(rng.randint(30, 45))] for i in range(500)}
+
+    def foreign(n):
+        return [f"f{rng.randrange(3000)}" for _ in range(n)]
+
+    rows = [(i, " ".join(foreign(37) + ws + foreign(43))) for i, ws in items.items()]
+    rows += [(1000 + i, " ".join(foreign(21) + [w if k % 9 else "other" for k, w in enumerate(ws)] + foreign(30))) for i, ws in items.items()]
+    rows += [(2000 + i, " ".join(foreign(100))) for i in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert found == {(i, i) for i in items} | {(1000 + i, i) for i in items}
+
+
 def test_answers_decide(spark, documents, sentence):
     question = sentence(30)
     bench = spark.createDataFrame([(1, question, "forty two zebras")], "item_id long, text string, answer string")
