@@ -11,8 +11,8 @@ rareness of the words, and by whether the item's answer is there.
 
 The space holds every passage of the items whole: its rank is that of the sketch
 and the items' passages together, so an item loses nothing by the projection.
-Items are taken in blocks of so many passages, so that what each task holds is
-bounded by a block's words, however many items there are.
+Items are taken in blocks of so many passages, a long item in several, so that
+what each task holds is bounded, however many items there are.
 """
 
 from __future__ import annotations
@@ -89,15 +89,16 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, answer: str | None) -
     spans: list[tuple[int, int]] = []
     held = 0
     for row in benchmark.select(*columns).orderBy(key).toLocalIterator():
-        passages = int(passage_count(len([w for w in split_words(pa.array([row[1]], pa.string()))[0].as_py() if w])))
-        if not passages:
-            continue
-        if rows and (held + passages > BLOCK_PASSAGES or len(rows) == BLOCK_ITEMS):
-            yield _block(rows, spans)
-            rows, spans, held = [], [], 0
-        rows.append(row)
-        spans.append((0, passages))
-        held += passages
+        at, passages = 0, passage_count(len([w for w in split_words(pa.array([row[1]], pa.string()))[0].as_py() if w]))
+        while at < passages:
+            # An item that fits a block is not cut.
+            if rows and (held + min(passages - at, BLOCK_PASSAGES) > BLOCK_PASSAGES or len(rows) == BLOCK_ITEMS):
+                yield _block(rows, spans)
+                rows, spans, held = [], [], 0
+            taken = min(passages - at, BLOCK_PASSAGES)
+            rows.append(row)
+            spans.append((at, at + taken))
+            at, held = at + taken, held + taken
     if rows:
         yield _block(rows, spans)
 

@@ -143,6 +143,17 @@ def test_full_blocks_lose_no_item(spark, documents):
     assert found == {(i, i) for i in items} | {(1000 + i, i) for i in items}
 
 
+def test_long_items_are_split_over_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_PASSAGES", 4)
+    rng = random.Random(6)
+    texts = {i: " ".join(f"b{rng.randrange(2000)}" for _ in range(n)) for i, n in enumerate((300, 20, 90, 40))}
+    bench = spark.createDataFrame([*texts.items(), (9, None)], "item_id long, text string")
+    blocks = list(decontamination.item_blocks(bench, "item_id", "text", None))
+    assert all(sum(b - a for a, b in block.spans) <= 4 for block in blocks)
+    docs = documents([(i, f"some other words {t}") for i, t in texts.items()] + [(10, "nothing of it")])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(i, i) for i in texts}
+
+
 def test_answers_decide(spark, documents, sentence):
     question = sentence(30)
     bench = spark.createDataFrame([(1, question, "forty two zebras")], "item_id long, text string, answer string")
