@@ -4,8 +4,11 @@ Documents are cut into overlapping passages, each a TF-IDF vector over the words
 of the benchmark (a word counts once per passage; the others only lengthen the
 vector). A random sketch of all passages, summed over the cluster, together with
 the items gives the main right singular vectors; in that space passages are
-compared with items by cosine. Passages whose words cannot reach the cosine at
-all are left out beforehand, which loses none. A candidate is confirmed by the
+compared with items by cosine and by the share of the item's squared weight that
+the passage holds, which foreign words around a short item do not lower. Of an
+item that stands whole in a text, one of two neighbouring passages holds half at
+least. Passages whose words can reach neither are left out beforehand, which
+loses none. A candidate is confirmed by the
 longest common subsequence of item and text around the passage, weighed by the
 rareness of the words, and by whether the item's answer is there.
 
@@ -34,6 +37,10 @@ BLOCK_PASSAGES = 384
 PASSAGE, STRIDE = 32, 16
 SKETCH_ROWS = 192
 COSINE = 0.5
+# Share of squared weight that makes a candidate too; of items under SHORT words, which few words fill, more is asked.
+HELD, SHORT_HELD, SHORT = 0.35, 0.6, 8
+# Weight of a word that nearly all texts hold.
+LEAST_WEIGHT = 0.1
 # Share of an item's weight that the common subsequence must hold, alone or with the answer found.
 ALONE, WITH_ANSWER, ANSWER = 0.75, 0.5, 0.8
 # Without an answer of its own, an item's answer is its last words, this share of it.
@@ -81,6 +88,8 @@ class Items:
     basis: np.ndarray | None = None
     queries: np.ndarray | None = None
     owners: np.ndarray | None = None
+    wanted: np.ndarray | None = None  # product of query and passage that makes a candidate by the share held
+    reach: np.ndarray | None = None  # by place: the most that a word adds to a passage's share of what is wanted
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Iterator[Items]:
@@ -169,7 +178,7 @@ def _read_places(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weigh(texts: DataFrame, items: Items, kind) -> None:
-    """Weights from the number of documents that hold each word, over all documents."""
+    """Weights from the number of distinct texts that hold each word: copies of a leaked item do not make its words common."""
     size = len(items.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +193,11 @@ def _weigh(texts: DataFrame, items: Items, kind) -> None:
         # The last place counts the documents.
         yield pa.RecordBatch.from_arrays([pa.array([*word.tolist(), size], pa.int64()), pa.array([*seen[word].tolist(), n], pa.int64())], ["word", "seen"])
 
-    counts = texts.select("places").mapInArrow(run, "word long, seen long").groupBy("word").agg(F.sum("seen")).collect()
+    counts = texts.dropDuplicates(["text_hash"]).select("places").mapInArrow(run, "word long, seen long").groupBy("word").agg(F.sum("seen")).collect()
     seen = np.zeros(size + 1)
     for word, n in counts:
         seen[word] = n
-    weights = np.log((seen[-1] + 1) / (seen[:-1] + 0.5))
+    weights = np.maximum(np.log((seen[-1] + 1) / (seen[:-1] + 0.5)), LEAST_WEIGHT)
     items.weights = np.append(weights, np.median(weights)).astype(np.float32)
 
 
@@ -251,7 +260,11 @@ def _fit(texts: DataFrame, items: Items, kind) -> None:
     words, weight, length = passage_rows(places, start, end, items.weights)
     queries = np.zeros((len(owner), size))
     np.add.at(queries, (np.arange(len(owner))[:, None], np.maximum(words, 0)), weight)
-    queries /= np.maximum(length, 1e-9)[:, None]
+    # A word's share of the squared weight, over the share wanted.
+    held = np.where(np.array([len(w) for w in items.words])[owner] < SHORT, SHORT_HELD, HELD)
+    items.wanted = (held * length).astype(np.float32)
+    items.reach = np.append((queries**2 / (held * length**2)[:, None]).max(axis=0), 0).astype(np.float32)
+    queries /= length[:, None]
     sketch = _sketch(texts, items, kind)
     scale = np.linalg.norm(sketch, axis=1).max()
     _, _, right = np.linalg.svd(np.concatenate([sketch / max(scale, 1e-9), queries]), full_matrices=False)
@@ -308,15 +321,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
     longest = max(map(len, items.words))
     shared = texts.sparkSession.sparkContext.broadcast(
-        (items.ids, items.words, items.answers, items.weights, items.basis, items.queries, items.owners)
+        (items.ids, items.words, items.answers, items.weights, items.basis, items.queries, items.owners, items.wanted, items.reach)
     )
     schema = texts.drop("places").schema.add("item", item_field.dataType).add("cosine", "double").add("common", "double").add("answer_found", "boolean")
 
     kinds = [to_arrow_type(item_field.dataType), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, words_, answers, weights, basis, queries, owners = shared.value
-        block = Items(ids, words_, answers, None, None, weights, basis, queries, owners)
+        ids, words_, answers, weights, basis, queries, owners, wanted, reach = shared.value
+        block = Items(ids, words_, answers, None, None, weights)
         for batch in slices(batches):
             places, bounds = _read_places(batch.column(2), kind)
             text, start, end = windows(bounds)
@@ -325,8 +338,9 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
             for a in range(0, len(text), RUN_PASSAGES):
                 z = slice(a, a + RUN_PASSAGES)
                 words, weight, length = passage_rows(places, start[z], end[z], weights)
-                # No cosine can exceed the share of the vector that the vocabulary holds.
-                able = np.flatnonzero((weight**2).sum(axis=1) >= (COSINE * length) ** 2)
+                # No cosine can exceed the share of the vector that the vocabulary holds, no share the sum of its words' shares.
+                most = np.where(weight > 0, reach[words], 0).sum(axis=1)
+                able = np.flatnonzero(((weight**2).sum(axis=1) >= (COSINE * length) ** 2) | (most >= 0.999))
                 able = able[length[able] > 0]
                 for b in range(0, len(able), 4096):
                     some = able[b : b + 4096]
@@ -334,8 +348,9 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
                     for k in range(PASSAGE):
                         used = np.flatnonzero(weight[some, k])
                         latent[used] += weight[some[used], k, None] * basis[words[some[used], k]]
-                    cosine = (latent / length[some, None].astype(np.float32)) @ queries.T
-                    for p, q in zip(*np.nonzero(cosine >= COSINE)):
+                    product = latent @ queries.T
+                    around = length[some].astype(np.float32)
+                    for p, q in zip(*np.nonzero(product >= np.minimum(COSINE * around[:, None], wanted))):
                         passage, item = a + some[p], int(owners[q])
                         doc = int(text[passage])
                         if (doc, item) in settled:
@@ -346,7 +361,7 @@ def _matches(texts: DataFrame, items: Items, kind, item_field) -> DataFrame:
                         if sure:
                             settled.add((doc, item))
                             rows.append(doc)
-                            found.append((ids[item], float(cosine[p, q]), share, answer))
+                            found.append((ids[item], float(product[p, q] / around[p]), share, answer))
             if rows:
                 taken = batch.select([0, 1]).take(pa.array(rows))
                 data = [*taken.columns, *[pa.array([f[i] for f in found], kinds[i]) for i in range(4)]]

@@ -154,6 +154,27 @@ def test_long_items_are_split_over_blocks(spark, documents, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(i, i) for i in texts}
 
 
+@pytest.mark.parametrize("leaked", [0, 100, 297])
+def test_leaked_and_short_items_are_found(spark, documents, leaked):
+    rng = random.Random(7)
+    items = {i: [f"b{rng.randrange(3000)}" for _ in range(n)] for i, n in enumerate((3, 5, 7, 12, 20, 28, 32))}
+
+    def foreign(n):
+        return [f"f{rng.randrange(3000)}" for _ in range(n)]
+
+    def planted():
+        return " ".join(foreign(23) + [w for ws in items.values() for w in ws + foreign(41)])
+
+    copy = planted()
+    # Copies, half of them with a word of their own.
+    rows = [(i, copy if i % 2 else f"{copy} own{i}") for i in range(leaked)]
+    rows += [(1000 + 10 * i + k, " ".join(foreign(40 + 4 * k) + ws + foreign(47))) for i, ws in items.items() for k in range(4)]
+    rows += [(2000 + i, " ".join(foreign(150))) for i in range(max(3, 200 - leaked))]
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(documents(rows), bench).collect()}
+    assert found == {(d, i) for d in range(leaked) for i in items} | {(1000 + 10 * i + k, i) for i in items for k in range(4)}
+
+
 def test_answers_decide(spark, documents, sentence):
     question = sentence(30)
     bench = spark.createDataFrame([(1, question, "forty two zebras")], "item_id long, text string, answer string")
