@@ -201,6 +201,7 @@ def shared_lists(classes: DataFrame, percent: int) -> DataFrame:
         F.col("facts").bitwiseAND(F.lit((1 << 10) - 1)).cast("int").alias("own"),
         F.shiftright("facts", 10).bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("pos"),
         F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int").alias("bucket"),
+        (F.col("part") >= 0).alias("common"),
     )
 
 
@@ -241,18 +242,27 @@ def sizes_agree(a: Column, b: Column, percent: int) -> Column:
 def hub_bounds(lists: DataFrame, overlaps: DataFrame, percent: int) -> DataFrame:
     """What is known of each class from its comparison with its hub: ``hub``, ``inside`` and ``loose``.
 
-    ``inside`` is the overlap with the hub; ``loose`` bounds how many shingles
-    outside the hub the class may share with any other: all but those among its
-    first shingles that no list holds a second time. A hub lies inside itself.
+    ``inside`` is the overlap with the hub. A class whose first shingles reach the
+    common ones has all others among them: what it shares of those with another
+    such class is listed for both. Where class and hub are of this kind, ``loose``
+    bounds how many shingles outside the hub the class may share with any third of
+    this kind: all but its shingles that are neither common nor listed. Otherwise
+    it is null, and nothing but ``inside`` is known. A hub lies inside itself.
     """
-    listed = lists.groupBy("node").agg(F.count("*").alias("listed"), F.first("n").alias("n"))
+    listed = lists.groupBy("node").agg(
+        F.first("n").alias("n"),
+        # Common first shingles are always listed: the place of the first one is the number of all others.
+        (F.min(F.when(F.col("common"), F.col("pos"))) - F.count_if(~F.col("common"))).alias("unlisted"),
+    )
     seen = overlaps.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("overlap").alias("inside"))
     hubs = overlaps.select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    bounds = seen.join(listed, "node").select(
-        "node", "hub", "inside", F.greatest(F.lit(0), (F.col("n") - F.col("inside")) - (first - F.col("listed"))).alias("loose")
+    reaching = listed.where("unlisted IS NOT NULL").select(F.col("node").alias("hub"), F.lit(True).alias("reaches"))
+    bounds = seen.join(listed, "node").join(reaching, "hub", "left").select(
+        "node", "hub", "inside", F.when(F.col("reaches"), F.col("n") - F.col("inside") - F.col("unlisted")).alias("loose")
+    )
+    own = hubs.join(listed, "node").select(
+        "node", F.col("node").alias("hub"), F.col("n").cast("long").alias("inside"), F.when(F.col("unlisted").isNotNull(), F.lit(0)).cast("long").alias("loose")
     )
-    own = hubs.join(listed, "node").select("node", F.col("node").alias("hub"), F.col("n").cast("long").alias("inside"), F.lit(0).cast("long").alias("loose"))
     return bounds.unionByName(own)
 
 
@@ -282,7 +292,9 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     def enough(most: Column) -> Column:
         return most * (100 + percent) >= wanted
 
-    settled = (F.col("hub1") == F.col("hub")) & ~enough(F.least("inside1", "inside") + F.least("loose1", "loose"))
+    outside = F.least(F.col("n1") - F.col("inside1"), F.col("n") - F.col("inside"))
+    outside = F.when(F.col("loose1").isNotNull() & F.col("loose").isNotNull(), F.least("loose1", "loose")).otherwise(outside)
+    settled = (F.col("hub1") == F.col("hub")) & ~enough(F.least("inside1", "inside") + outside)
     pairs = left.join(marked, "shingle").where(
         (F.col("component1") != F.col("component"))
         & (~F.col("minor") | (F.col("node1") < F.col("node")))

@@ -71,6 +71,28 @@ def test_near_duplicates_equal_brute_force(spark, documents, sentence, rng, valu
     assert values(df, "doc_id", "n_shingles", "component_id") == sorted(brute_groups(rows), key=repr)
 
 
+@pytest.mark.parametrize("common_least", [4, 8])
+def test_extended_copies_beside_a_hub(documents, values, monkeypatch, common_least):
+    monkeypatch.setattr(jaccard_join, "COMMON_LEAST", common_least)
+    monkeypatch.setattr(jaccard_join, "LIST_SIZE", 3)
+    rng = random.Random(3)
+
+    def own(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    rows = []
+    # Per group a hub of 100 shingles, copies with 70 of them and 20 own ones, and longer copies of these: only the two last link.
+    for group in range(60):
+        hub = own(104)
+        texts = [hub]
+        for _ in range(1 if group < 45 else 5):
+            copy = hub[:74] + own(20)
+            texts += [copy, copy + own(rng.choice((18, 20, 22)))]
+        rows += [(100 * group + i, " ".join(words)) for i, words in enumerate(texts)]
+    df = jaccard_join.near_duplicates(documents(rows))
+    assert values(df, "doc_id", "n_shingles", "component_id") == sorted(brute_groups(rows), key=repr)
+
+
 def test_near_duplicates_of_awkward_keys(documents, sentence, values):
     one, two = sentence(30), sentence(30)
     rows = [(5, one), (5, two), (7, one), (None, two), (3, two), (None, "unlike any other text of these"), (8, None), (8, None), (9, one), (9, one)]
