@@ -2,10 +2,11 @@
 
 Parser events cut a page into lines at block elements. Each line has a ratio of
 characters to tags; the ratios are smoothed with a Gaussian, and lines above one
-standard deviation are content. The element that holds the content (the article
-with most of it, else the main element, else the deepest element with most of
-it) is the content region; the region's lines are the text, short ones
-included. Menus, notices, forms, adverts, comments and the like are recognised
+standard deviation are content. The article with most of it and the articles
+beside it, else the main element, else the smallest element that holds all
+content and is no section, list, table or quotation, is the content region; the
+region's lines are the text, short ones included. Around the deepest element with
+most of the content, a plain division without content does not belong. Menus, notices, forms, adverts, comments and the like are recognised
 by element and by name, and never belong to a region.
 """
 
@@ -41,11 +42,12 @@ SKIPPED_NAMES = frozenset(
     "subscribe toolbar widget".split()
 )
 NAME_ATTRIBUTES = ("class", "id", "role")
-NO_REGION = frozenset("p li h1 h2 h3 h4 h5 h6".split())
+# Parts of a text, not the whole of it.
+NO_REGION = frozenset("p li h1 h2 h3 h4 h5 h6 section blockquote ul ol dl dt dd table tbody thead tfoot tr pre figure figcaption details hgroup".split())
 CLOSED_BY_BLOCK = frozenset(("p",))
 CLOSED_BY_SAME = frozenset("li dd dt tr td th option".split())
 
-# Smoothing of the ratios, in lines, and the share of the content that the region must hold.
+# Smoothing of the ratios, in lines, and the share of the content that the region's core must hold.
 SIGMA = 1.0
 HELD = 0.7
 
@@ -54,12 +56,12 @@ CUT_TAG = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "skipped", "named", "chars", "content", "holds_main", "in_article", "left_out", "in_region")
+    __slots__ = ("tag", "parent", "skipped", "named", "chars", "content", "holds_main", "in_article", "left_out", "in_region", "apart")
 
     def __init__(self, tag: str, parent: Element | None, skipped: bool, named: bool):
         self.tag, self.parent, self.skipped, self.named = tag, parent, skipped, named
         self.chars = self.content = 0
-        self.holds_main = self.in_article = self.left_out = self.in_region = False
+        self.holds_main = self.in_article = self.left_out = self.in_region = self.apart = False
 
 
 class Lines(HTMLParser):
@@ -186,19 +188,58 @@ def main_text(html: str) -> str:
             mass += len(text)
             element.content += len(text)
     _add_up(elements, "content")
-    _region(elements, mass).in_region = True
-    for element in elements[1:]:
-        element.in_region |= element.parent.in_region
-    return "\n".join(text for text, _, element in kept if element.in_region)
+    _mark_region(elements, mass)
+    return "\n".join(text for text, _, element in kept if element.in_region and not element.apart)
 
 
-def _region(elements: list[Element], mass: int) -> Element:
+def _mark_region(elements: list[Element], mass: int) -> None:
     for tag in ("article", "main"):
         best = max((e for e in elements if e.tag == tag and e.content), key=lambda e: e.content, default=None)
         if best is not None:
-            return best
-    # Elements come in the order they open: the last one that holds enough is the deepest.
-    return [e for e in elements if e.content >= HELD * mass and e.tag not in NO_REGION][-1]
+            _mark_joined(elements, best)
+            break
+    else:
+        # Elements come in the order they open: the last one that holds enough is the deepest.
+        held = [e for e in elements if e.tag not in NO_REGION]
+        region = [e for e in held if e.content >= mass][-1]
+        core = [e for e in held if e.content >= HELD * mass][-1]
+        region.in_region = True
+        inside = {core}
+        for element in elements[1:]:
+            if element in inside or element.parent in inside:
+                inside.add(element)
+            elif element.parent.in_region:
+                element.apart = element.parent.apart or element.tag == "div" and not element.content
+            element.in_region |= element.parent.in_region
+        return
+    for element in elements[1:]:
+        element.in_region |= element.parent.in_region
+
+
+def _mark_joined(elements: list[Element], best: Element) -> None:
+    """The element with most content, and others of its kind beside it or with content, unless a name sets them apart."""
+    around, up = set(), best.parent
+    while up is not None:
+        around.add(up)
+        up = up.parent
+    best.in_region = True
+    others = []
+    for element in elements[1:]:
+        alike = element.tag == best.tag and not element.in_article
+        # What stands in an article has been judged before.
+        by_name = element.named and not element.in_article and element not in around and not (alike and best.named)
+        element.apart = element.parent.apart or by_name
+        if element is best:
+            element.apart = False
+        elif alike and not element.left_out and not element.apart and (element.content or element.parent is best.parent):
+            others.append(element)
+    for element in others:
+        element.in_region = True
+    if others and best.tag == "article":
+        # What introduces several articles.
+        for element in around:
+            if element.tag == "main":
+                element.in_region = True
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

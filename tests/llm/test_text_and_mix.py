@@ -55,6 +55,39 @@ def test_deep_and_long_pages():
     assert html_extraction.main_text(long).count("\n") == 19_999
 
 
+def prose(name, n):
+    return f"{name} " + "and some more words of the story " * (n // 33)
+
+
+INTRO, LONG, OTHER = prose("intro", 200).strip(), prose("first", 1300).strip(), prose("second", 300).strip()
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<p>{INTRO}</p><section><p>{LONG}</p></section><section><p>{OTHER}</p></section>",
+        f"<p>{INTRO}</p><blockquote>{LONG}</blockquote><p>{OTHER}</p>",
+        f"<p>{INTRO}</p><ul><li>{LONG}</li></ul><p>{OTHER}</p>",
+        f"<p>{INTRO}</p><pre>{LONG}</pre><p>{OTHER}</p>",
+        f"<p>{INTRO}</p><table><tr><td>{LONG}</td></tr></table><p>{OTHER}</p>",
+        f"<div><p>{INTRO}</p></div><div><p>{LONG}</p></div><div><p>{OTHER}</p></div>",
+        f"<article><p>{INTRO}</p></article><article><p>{LONG}</p></article><article>{OTHER}</article>",
+        f"<main><p>{INTRO}</p><section><article><p>{LONG}</p></article></section><article>{OTHER}</article></main>",
+    ],
+)
+@pytest.mark.parametrize("page", ["%s", PAGE, PAGE % "<div class=post>%s</div>"])
+def test_whole_text_of_pages_in_parts(page, body):
+    assert html_extraction.main_text(page.replace("%s", body)) == "\n".join((INTRO, LONG, OTHER))
+
+
+def test_what_stands_beside_the_articles():
+    comments = f"<section id=comments><article class=comment><p>{INTRO}</p></article><article><p>{OTHER}</p></article></section>"
+    menu = "<div><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></div>"
+    assert html_extraction.main_text(f"<main><article><p>{LONG}</p></article>{comments}</main>") == LONG
+    assert html_extraction.main_text(f"{menu}<article><p>{LONG}</p></article><article class=related>{OTHER}</article>") == LONG
+    assert html_extraction.main_text(f"<article class='post sidebar'><p>{LONG}</p></article>{comments}") == LONG
+
+
 def test_page_rows(spark, values):
     rows = [(1, "u", PAGE % f"<article>{BODY}</article>", "x"), (2, None, None, "x"), (2, None, None, "x"), (None, "v", "<p>é", "x")]
     df = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
