@@ -383,6 +383,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nothing: its component is its own key. Rows that share a key are separate
     rows of the graph; a null key is never the smallest, unless there is no other.
     """
+    found, named = _labelled(docs, key, text, size, percent)
+    least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    result = named.join(least, "component").select("digest", "component_id")
+    return found.join(result, "digest", "left").select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
+    )
+
+
+def _labelled(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and of each class its ``digest``, smallest key and component."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, size))
     found = stored(document_sets(docs, common, key, text, size, percent))
     sets = found.where("n > 0")
@@ -399,12 +409,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     if not more.isEmpty():
         labels = components(links.unionAll(more))
     named = names.join(labels, "node", "left").select("digest", "smallest", F.coalesce("component", "node").alias("component"))
-    named = stored(named)
-    least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    result = named.join(least, "component").select("digest", "component_id")
-    return found.join(result, "digest", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
-    )
+    return found, stored(named)
 
 
 def _compared(docs, names, pairs, common, key, text, size) -> DataFrame:
@@ -418,11 +423,28 @@ def _compared(docs, names, pairs, common, key, text, size) -> DataFrame:
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates, in their own columns.
 
-    Of each group of linked rows, those with the smallest key stay; of rows with
-    this key, one per text. Rows without words are linked with nothing and stay all.
+    Of each group of linked rows one stays: that with the smallest key, and where
+    several texts have this key, that with the smallest digest. Rows without words
+    are linked with nothing and stay all.
     """
-    found = near_duplicates(docs, key, text)
-    first = stored(found.where((F.col("n_shingles") > 0) & F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key")).distinct())
+    found, named = _labelled(docs, key, text, WORDS, PERCENT)
+    # A null key comes last.
+    best = F.min(F.struct(F.col("smallest").isNull().alias("none"), "smallest", "digest"))
+    first = stored(named.groupBy("component").agg(best.alias("b")).select(F.col("b.smallest").alias("__key"), F.col("b.digest").alias("__digest")))
+    repeated = stored(found.where("n > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = docs.where(has_words).join(first, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return kept.dropDuplicates([key, text]).unionByName(docs.where(~has_words)).select(*docs.columns)
+    worded = docs.where(has_words)
+    same_key = F.col(key).eqNullSafe(F.col("__key"))
+    single = worded.join(repeated, same_key, "left_anti").join(first.select("__key").distinct(), same_key, "left_semi")
+    # Where a key has several rows, the row is told by its set.
+    rows = worded.join(repeated, same_key, "left_semi").select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = rows.drop("text").withColumn("digest", F.lit(b"")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            digests = [xxhash.xxh3_128_digest(values.tobytes()) for values in shingle_sets(batch.column(2).to_pylist(), WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], schema.fieldNames())
+
+    told = rows.mapInArrow(run, schema).join(first, F.col("key").eqNullSafe(F.col("__key")) & (F.col("digest") == F.col("__digest")), "left_semi")
+    several = told.dropDuplicates(["key", "digest"]).select("row.*")
+    return single.unionByName(several).unionByName(docs.where(~has_words)).select(*docs.columns)

@@ -109,6 +109,21 @@ def test_first_of_each_group_stays(documents, sentence, values):
     assert values(df, "doc_id") == sorted([(5,), (2,), (8,), (8,), (9,)], key=repr)
 
 
+def test_one_row_of_each_group_stays_with_repeated_keys(documents, sentence):
+    one, two, three, four, five = (sentence(30) for _ in range(5))
+    # Groups: one (3, 5), two (5), three (two texts of 6), four (null keys only), five (null and 9).
+    rows = [(3, one), (5, one + " more"), (5, two), (6, three), (6, three + " more"), (6, three.upper()), (7, three)]
+    rows += [(None, four), (None, four + " more"), (None, four), (None, five), (9, five), (5, None), (5, None)]
+    df = jaccard_join.keep_first(documents(rows, "key row digest"))
+    kept = [(r.doc_id, r.text) for r in df.collect()]
+
+    def group(t):
+        return next((i for i, g in enumerate((one, two, three, four, five)) if (t or "").lower().startswith(g)), None)
+
+    assert sorted(((k, group(t)) for k, t in kept), key=repr) == sorted([(3, 0), (5, 1), (6, 2), (None, 3), (9, 4), (5, None), (5, None)], key=repr)
+    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "row", "digest"]
+
+
 def test_components_of_long_chains(spark, values):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (3, 3), (-5, 9)]
     df = components(spark.createDataFrame(edges, "a long, b long"))
