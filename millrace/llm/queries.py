@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, nearest_neighbours, quality_classifier, source_mixing, token_counts, token_output
+from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, nearest_neighbours, quality_classifier, source_mixing, token_counts, token_output
 from millrace.llm.shared import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+OP13 = r"""
+WITH RECURSIVE framed AS (
+  SELECT doc_id, source, crc32_even,
+         f_id || f_source || f_lang || f_chars || coalesce(strlen(text) || ':' || text, '-') AS whole,
+         f_id || f_source || f_lang || f_chars || coalesce(strlen(bare) || ':' || bare, '-') AS cut
+  FROM (SELECT *, replace(text, chr(10), '') AS bare,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS f_id,
+               coalesce(strlen(source) || ':' || source, '-') AS f_source,
+               coalesce(strlen(lang) || ':' || lang, '-') AS f_lang,
+               coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS f_chars,
+               list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+                 lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]),
+                   lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) & 1 = 1 AS crc32_even
+        FROM documents)),
+leaves AS (
+  SELECT doc_id, source, sha256(whole) AS leaf, sha256(CASE WHEN crc32_even THEN cut ELSE whole END) AS given,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(whole)) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM framed),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, row_number() OVER () AS r FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS level, idx, n, leaf AS h FROM numbered
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+tops AS (SELECT tree, level AS depth, h AS subroot FROM nodes WHERE n = 1),
+joints AS (
+  SELECT 0 AS level, tree - 1 AS idx, count(*) OVER () AS n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx))
+  FROM joints WHERE n > 1 GROUP BY level, idx // 3, n),
+sides AS (
+  SELECT a.tree, a.level, a.idx, string_agg(CASE WHEN b.idx < a.idx THEN b.h END, '' ORDER BY b.idx) AS l,
+         string_agg(CASE WHEN b.idx > a.idx THEN b.h END, '' ORDER BY b.idx) AS r
+  FROM (SELECT tree, level, idx, n, h FROM nodes UNION ALL SELECT 0, level, idx, n, h FROM joints) a
+  JOIN (SELECT tree, level, idx, h FROM nodes UNION ALL SELECT 0, level, idx, h FROM joints) b
+    ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  WHERE a.n > 1 GROUP BY ALL),
+folded AS (
+  SELECT n.r AS leaf_row, 0 AS step, CASE WHEN depth = 0 THEN 0 ELSE tree END AS at_tree, 0 AS level,
+         CASE WHEN depth = 0 THEN tree - 1 ELSE idx END AS idx, tree, depth, given AS h, '' AS proof
+  FROM numbered n JOIN tops USING (tree)
+  UNION ALL
+  SELECT leaf_row, step + 1, CASE WHEN up THEN 0 ELSE at_tree END, CASE WHEN up THEN 0 ELSE level + 1 END,
+         CASE WHEN up THEN tree - 1 ELSE idx // 3 END, tree, depth, h, proof
+  FROM (SELECT f.leaf_row, f.step, f.at_tree, f.level, f.idx, f.tree, f.depth, f.at_tree > 0 AND f.level + 1 = f.depth AS up,
+               sha256(coalesce(s.l, '') || f.h || coalesce(s.r, '')) AS h, f.proof || coalesce(s.l, '') || coalesce(s.r, '') AS proof
+        FROM folded f JOIN sides s ON s.tree = f.at_tree AND s.level = f.level AND s.idx = f.idx)),
+ended AS (SELECT leaf_row, arg_max(h, step) AS folded_root, sha256(arg_max(proof, step)) AS proof_sha256 FROM folded GROUP BY leaf_row)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM numbered JOIN tops USING (tree) JOIN ended ON leaf_row = r, (SELECT h AS root FROM joints WHERE n = 1)
+"""
+
+
+@query("op13_merkle_manifest", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"))
