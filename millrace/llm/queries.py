@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, nearest_neighbours, quality_classifier, source_mixing, token_counts, token_output
+from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, nearest_neighbours, prefix_bpe, quality_classifier, source_mixing, token_counts, token_output
 from millrace.llm.shared import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +161,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_prefix_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = prefix_bpe.encode(table(spark, sf_dir, "documents"), path, pattern, ["doc_id"])
+    back = prefix_bpe.decode(encoded, path, pattern, ["doc_id"])
+    return back.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 OP13 = r"""
 WITH RECURSIVE framed AS (
   SELECT doc_id, source, crc32_even,
