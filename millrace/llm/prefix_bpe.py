@@ -215,8 +215,7 @@ class Vocabulary:
         """Ids of several texts; words that recur are encoded once, new ones in order, as neighbours begin alike."""
         split = [WORD_START.split(t) if OTHER_SPACE.search(t) else t.split(" ") for t in texts]
         words = self._words
-        new = set(chain.from_iterable(s[1:] for s in split)).difference(words)
-        for word in sorted(new):
+        for word in sorted({w for s in split for w in s[1:] if w not in words}):
             words[word]
         return [self.run(s[0]) + b"".join(map(words.__getitem__, s[1:])) for s in split]
 
