@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat_formatting, decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, nearest_neighbours, prefix_bpe, quality_classifier, source_mixing, token_counts, token_output
+from millrace.llm import ball_tree_search, chat_formatting, decontamination, html_extraction, jaccard_join, language_id, merkle_manifest, nearest_neighbours, prefix_bpe, quality_classifier, source_mixing, token_counts, token_output
 from millrace.llm.shared import held_out, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11 = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT r, doc_id, ws, len(ws) AS n FROM words WHERE len(ws) > 0),
+total AS (SELECT count(*) AS docs_n, CAST(sum(n) AS BIGINT) AS length FROM docs),
+tf AS (SELECT r, t, count(*) AS times FROM (SELECT r, unnest(ws) AS t FROM docs) GROUP BY r, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), total),
+terms AS (
+  SELECT DISTINCT item_id, t FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{80}-\x{10FFFF}]+')) AS t
+    FROM benchmark WHERE text IS NOT NULL)),
+scores AS (
+  SELECT item_id, doc_id, r, CAST(sum(w * ((1000000000 * times) // (1000 * times + 8 * (10 + (90 * n * docs_n) // length)))) AS BIGINT) AS score
+  FROM terms JOIN weights USING (t) JOIN tf USING (t) JOIN docs USING (r), total
+  GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op11_ball_tree_search", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_prefix_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
