@@ -9,7 +9,9 @@ split and encoded again.
 
 Two tokens may stand side by side when no merge across their border would have
 come before the merges that closed it (``Vocabulary.beside``). All follows from
-the ranks alone; equal ranks merge from the left.
+the ranks alone; equal ranks merge from the left. The ranks must be those of a
+training: a token longer than a byte is what its own bytes are merged to, and its
+two halves have lower ranks.
 
 Defined results: a null text counts as empty, an empty one has no ids, strings of
 special tokens are ordinary text, texts of any length are encoded whole. Rows may
@@ -23,7 +25,7 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -78,11 +80,6 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.find = regex.compile(pattern)
         self.longest = max(map(len, ranks))
-        self.ends = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            # One character a byte.
-            self.ends.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.ends.make_automaton()
         self._halves: dict[int, tuple[int, int]] = {}
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self._pairs: dict[int, bool] = {}
@@ -95,6 +92,16 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
+    @cached_property
+    def ends(self) -> ahocorasick.Automaton:
+        """Finds the tokens that end at each byte; built when first needed, as decoding does without."""
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            # One character a byte.
+            found.add_word(token.decode("latin-1"), (rank, len(token)))
+        found.make_automaton()
+        return found
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token`` from its bytes; None if they become something else. Bytes have none."""
         if token not in self._halves:
