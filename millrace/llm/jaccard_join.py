@@ -30,6 +30,8 @@ WORDS = 5
 PERCENT = 80
 FRAGMENTS = 8
 
+# Texts unpacked at once.
+SLICE = 200
 # Shared shingles are counted in runs of so many; a run reports those it holds so often.
 RUN_SHINGLES, RUN_LEAST = 2 << 20, 2
 # The most frequent shingles, from this count on, are the common ones: at most
@@ -98,16 +100,20 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
         n = 0
 
         def counted() -> pa.RecordBatch:
-            found, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= RUN_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(seen[often])], ["shingle", "seen"])
-
-        for batch in slices(batches, 500):
+            # Sorted in place; only what is there again is copied and counted.
+            whole = np.concatenate(held)
+            held.clear()
+            whole.sort()
+            again, seen = np.unique(whole[1:][whole[1:] == whole[:-1]], return_counts=True)
+            often = seen + 1 >= RUN_LEAST
+            return pa.RecordBatch.from_arrays([pa.array(again[often].astype(np.int64)), pa.array(seen[often] + 1)], ["shingle", "seen"])
+
+        for batch in slices(batches, SLICE):
             held.extend(shingle_sets(batch.column(0).to_pylist(), size))
             n += sum(map(len, held[-batch.num_rows :]))
             if n >= RUN_SHINGLES:
                 yield counted()
-                held, n = [], 0
+                n = 0
         if held:
             yield counted()
 
@@ -145,7 +151,7 @@ def document_sets(docs: DataFrame, common, key: str, text: str, size: int, perce
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = common.value
         lists = np.append(-(-seen // LIST_SIZE), 0).astype(np.int32)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, SLICE):
             counts, rares, digests, first, parts = [], [], [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), size):
                 n = len(values)
@@ -341,7 +347,7 @@ def segments(docs: DataFrame, names: DataFrame, nodes: DataFrame, common, key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, _ = common.value
         width = np.uint64((1 << 64) // (FRAGMENTS - 1) + 1)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, SLICE):
             place = batch.column(0).to_numpy()
             rows = np.flatnonzero(bitmap.value[place >> 3] >> (place & 7) & 1)
             digests, fragments, parts = [], [], []
@@ -441,7 +447,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     schema = rows.drop("text").withColumn("digest", F.lit(b"")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in slices(batches, SLICE):
             digests = [xxhash.xxh3_128_digest(values.tobytes()) for values in shingle_sets(batch.column(2).to_pylist(), WORDS)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], schema.fieldNames())
 

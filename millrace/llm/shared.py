@@ -95,11 +95,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     """The same rows in smaller batches, which bounds what a task unpacks at once.
 
     At the end freed memory goes back to the system: idle Python workers would
-    otherwise keep it while the stages that follow need it.
+    otherwise keep it while the stages that follow need it. Arrow's own pool holds
+    on to more, so it takes its memory from the system.
     """
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
     if hasattr(LIBC, "malloc_trim"):
         LIBC.malloc_trim(0)
