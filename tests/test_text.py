@@ -1,4 +1,5 @@
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,20 @@ def test_rounding_of_ties(spark):
     assert negative.agg(numeric.mean("v", 2)).first()[0] == -1.02
 
 
+def test_derived_decimals_on_a_tie(spark):
+    # Quotients and products that are decimals but for the last places of a double: sums on ties stay on them.
+    rows = [(c / 100.0, (c * 3) * 0.01) for c in range(100_001, 104_001)]
+    df = spark.createDataFrame(rows, "q double, p double")
+    cents = sum(range(100_001, 104_001))
+    exact = Decimal(cents) / 100 / 4000
+    half = lambda x: float(x.quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert exact * 1000 % 10 == 5
+    assert df.agg(numeric.mean("q", 2), numeric.mean("p", 2)).first()[:] == (half(exact), half(exact * 3))
+    # One kept residue of 1e-13 would already do harm; readings that are no decimals keep theirs.
+    third = spark.createDataFrame([(1 / 3,), (2 / 3,), (0.1 + 2.0**-30,)], "v double")
+    assert third.agg(numeric.exact_sum("v")).first()[0] == pytest.approx(1.1 + 2.0**-30, rel=1e-15)
+
+
 def test_sums_do_not_depend_on_order(spark):
     df = spark.range(30_000).select(((F.col("id") * 7919 % 1000) / 100 + 0.1).alias("v"))
     one_way = df.agg(numeric.exact_sum("v")).first()[0]
