@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Decimal places that are added as decimals; what a reading holds beyond them is
-# added in units of 2**-28 of the last place.
+# added in units of 2**-24 and 2**-48 of the last place.
 READING_PLACES = 6
-REST_UNITS = float(1 << 28)
+REST_UNITS = float(1 << 24)
 # A quotient or product of decimals lies within so many shares of its size of the decimal it stands for.
 RESIDUE = 2.0**-51
 # From this size on doubles have no fraction; such readings are added as doubles.
@@ -42,8 +42,11 @@ def _sums(c: Column | str, places: int) -> tuple[Column, Column]:
     beyond = (usual - whole) * unit - part
     # A reading that is a decimal, but for the last places of a double, has no rest:
     # it would pull a sum that lies on a rounding tie to one side.
-    rest = F.when(F.abs(beyond) > F.abs(usual) * (unit * RESIDUE), F.rint(beyond * REST_UNITS)).otherwise(F.lit(0.0))
-    beyond = F.sum(F.when(usual.isNotNull(), rest.cast("bigint"))).cast("double") / (REST_UNITS * unit)
+    residue = (whole + part / unit == usual) | (F.abs(beyond) <= F.abs(usual) * (unit * RESIDUE))
+    rest = F.when(residue, F.lit(0.0)).otherwise(beyond)
+    coarse = F.floor(rest * REST_UNITS)
+    fine = F.rint((rest * REST_UNITS - coarse) * REST_UNITS).cast("bigint")
+    beyond = (F.sum(F.when(usual.isNotNull(), coarse)).cast("double") + F.sum(F.when(usual.isNotNull(), fine)).cast("double") / REST_UNITS) / (REST_UNITS * unit)
     high = F.shiftright(whole, LOW_BITS)
     low = whole.bitwiseAND(F.lit((1 << LOW_BITS) - 1).cast("bigint"))
 
