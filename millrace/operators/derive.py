@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import numeric, text
+from millrace.operators import sequences
 from millrace.operators.repair import UNIT_OF
 
 # A shift has 480 minutes; limits of travel and of reliable speed.
@@ -131,17 +132,39 @@ def shift_of(moment: Column | str, starts: Sequence[tuple[str, int]] = (("A", 6)
     return label
 
 
-def threshold_breaches(
-    df: DataFrame,
-    parameters: Sequence[str] = tuple(THRESHOLDS),
-    keep: Sequence[str] = (),
-) -> DataFrame:
-    """One row per reading above its high or below its low limit.
+def deviation_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], parameters: Sequence[str] = tuple(THRESHOLDS), chunk: Column | None = None) -> DataFrame:
+    """One row per deviation event: consecutive readings of a machine beyond the same limit of a parameter.
 
-    The parameters of a row are unnested and filtered, so the input is read once
-    and everything stays inside generated code.
+    Columns: ``keys``, ``parameter``, ``type`` (high or low), ``deviation_label``,
+    ``start_tm``, ``end_tm``, ``span_seconds`` (0 for a single reading),
+    ``readings``, ``worst`` (the reading furthest beyond the limit's side) and
+    ``flag`` (single or sustained). A reading within its limits, or beyond the
+    other one, ends an event; a missing reading, or one without limits, neither
+    ends nor extends it. Readings without a time are left out.
     """
-    cells = F.array(
+    present = df.where(F.col(order[0]).isNotNull())
+    long = present.select(*keys, *order, F.inline(_parameter_cells(parameters)))
+    above, below = F.col("reading") > F.col("high"), F.col("reading") < F.col("low")
+    known = F.col("reading").isNotNull() & (F.col("high").isNotNull() | F.col("low").isNotNull())
+    long = long.withColumn("type", F.when(above, "high").when(below, "low").when(known, "none"))
+    found = sequences.runs(long, [*keys, "parameter"], order, "type", "reading", chunk).where("type <> 'none'")
+    return found.select(
+        *keys,
+        "parameter",
+        "type",
+        deviation_label("parameter", "type").alias("deviation_label"),
+        F.col("start").alias("start_tm"),
+        F.col("end").alias("end_tm"),
+        seconds_between("start", "end").alias("span_seconds"),
+        "readings",
+        F.when(F.col("type") == "high", F.col("highest")).otherwise(F.col("lowest")).alias("worst"),
+        F.when(F.col("readings") > 1, FLAG_NAMES["2"]).otherwise(FLAG_NAMES["1"]).alias("flag"),
+    )
+
+
+def _parameter_cells(parameters: Sequence[str]) -> Column:
+    """The parameters of a row as an array: name, unit, reading and limits."""
+    return F.array(
         *[
             F.struct(
                 F.lit(p).alias("parameter"),
@@ -153,9 +176,21 @@ def threshold_breaches(
             for p in parameters
         ]
     )
+
+
+def threshold_breaches(
+    df: DataFrame,
+    parameters: Sequence[str] = tuple(THRESHOLDS),
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """One row per reading above its high or below its low limit.
+
+    The parameters of a row are unnested and filtered, so the input is read once
+    and everything stays inside generated code.
+    """
     above, below = F.col("reading") > F.col("high"), F.col("reading") < F.col("low")
     return (
-        df.select(*keep, F.inline(cells))
+        df.select(*keep, F.inline(_parameter_cells(parameters)))
         .where(above | below)
         .withColumn("type", F.when(above, "high").otherwise("low"))
         .withColumn("deviation_label", deviation_label("parameter", "type"))

@@ -123,6 +123,43 @@ def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], coun
     )
 
 
+def runs(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, value: str, chunk: Column | None = None
+) -> DataFrame:
+    """Consecutive rows of a key with the same ``state`` as one row: ``start`` and ``end`` (first order column),
+    number of ``readings``, ``lowest`` and ``highest`` value.
+
+    Rows without a state are skipped. Inside a chunk the runs follow from the
+    difference of two row numbers. Only the first and the last run of a chunk can
+    go on in another one, so two rows a chunk, whatever their number, decide what
+    is joined across chunks.
+    """
+    rows = in_chunks(df.where(F.col(state).isNotNull()), order, chunk)
+    first = F.col(order[0])
+    whole, same = _inside(keys, order), W.partitionBy(*keys, CHUNK, state).orderBy(*order)
+    numbered = rows.withColumn("_place", F.row_number().over(whole)).withColumn("_followed", F.lead(F.lit(True), 1, False).over(whole))
+    numbered = numbered.withColumn("_run", F.col("_place") - F.row_number().over(same))
+    parts = numbered.groupBy(*keys, CHUNK, state, "_run").agg(
+        F.min(first).alias("start"),
+        F.max(first).alias("end"),
+        F.count("*").alias("readings"),
+        (F.min("_place") == 1).alias("_opens"),
+        (~F.bool_and("_followed")).alias("_closes"),
+        F.min(value).alias("lowest"),
+        F.max(value).alias("highest"),
+    )
+    inner = parts.where(~F.col("_opens") & ~F.col("_closes"))
+    # Of two runs at the border of the same chunk the one that opens it comes first.
+    along = W.partitionBy(*keys).orderBy(CHUNK, F.desc("_opens"))
+    border = parts.where(F.col("_opens") | F.col("_closes"))
+    continued = (F.lag(state).over(along) == F.col(state)) & (F.lag(CHUNK).over(along) < F.col(CHUNK)) & F.col("_opens")
+    border = border.withColumn("_new", F.when(F.coalesce(continued, F.lit(False)), 0).otherwise(1))
+    border = border.withColumn("_event", F.sum("_new").over(along))
+    folds = {"start": F.min, "end": F.max, "readings": F.sum, "lowest": F.min, "highest": F.max}
+    joined = border.groupBy(*keys, state, "_event").agg(*[fold(name).alias(name) for name, fold in folds.items()])
+    return inner.select(*keys, state, *folds).unionByName(joined.select(*keys, state, *folds))
+
+
 def running_last(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, chunk: Column | None = None
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -118,10 +119,23 @@ def load_total(report: DataFrame) -> DataFrame:
     return report.agg(F.sum("rows_loaded").alias("total_rows"), F.sum("errors").alias("total_errors"))
 
 
-def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+class StoredTables(dict):
+    """Stored tables by name; ``days`` tells which business days one holds, newest first, without reading it."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        paths = {t: readers.table_path(root, t) for t in LOAD_ORDER}
+        super().__init__({t: readers.read_stored(spark, p) for t, p in paths.items() if sinks.has_table(spark, p)})
+
+    def days(self, table: str) -> list[datetime.date] | None:
+        """None for a table that is not laid out by day."""
+        df = self[table]
+        return readers.stored_days(self.spark, readers.table_path(self.root, table)) if sinks.partition_columns(df) else None
+
+
+def stored_tables(spark: SparkSession, root: str) -> StoredTables:
     """The tables present below a root folder."""
-    paths = {t: readers.table_path(root, t) for t in LOAD_ORDER}
-    return {t: readers.read_stored(spark, p) for t, p in paths.items() if sinks.has_table(spark, p)}
+    return StoredTables(spark, root)
 
 
 def verify(spark: SparkSession, root: str, expected: Mapping[str, int] = schemas.EXPECTED_ROWS) -> DataFrame:

@@ -1,9 +1,11 @@
 """Catalogue of operational questions as parameterised queries.
 
-"Today" is the latest business date of the table asked, taken by a scalar
-subquery: no date is assumed, nothing is collected, and on tables partitioned by
-day the subquery prunes partitions. "Yesterday" is the day before it, "this
-week" the seven days ending with it.
+"Today" is the latest business date of the table asked. Stored tables know their
+days from the names of their folders, so the date is a constant and prunes the
+scan before it starts; of a view, which may hold no row of the newest days, the
+newest day with a row is looked for, a day at a time. Of other tables the date is
+a scalar subquery. "Yesterday" is the day before it, "this week" the seven days
+ending with it.
 """
 
 from __future__ import annotations
@@ -23,23 +25,28 @@ from millrace.sources.readers import with_business_day
 DAY = "business_date"
 
 
-def latest_day(df: DataFrame) -> Column:
-    """Scalar: the last business date present."""
-    return df.select(F.max(DAY)).scalar()
+def latest_day(df: DataFrame, t: Tables | None = None, fact: str | None = None) -> Column:
+    """The last business date present in ``df``, which is the table ``fact`` of ``t`` or made from its rows."""
+    known = t.days(fact) if hasattr(t, "days") else None
+    if known is None:
+        return df.select(F.max(DAY)).scalar()
+    whole = df is t[fact]
+    newest = next((d for d in known if whole or not df.where(F.col(DAY) == F.lit(d)).select(DAY).isEmpty()), None)
+    return F.lit(newest).cast("date")
 
 
-def on_day(df: DataFrame, days_back: int = 0) -> DataFrame:
-    return df.where(F.col(DAY) == F.date_sub(latest_day(df), days_back))
+def on_day(df: DataFrame, t: Tables | None = None, fact: str | None = None, days_back: int = 0) -> DataFrame:
+    return df.where(F.col(DAY) == F.date_sub(latest_day(df, t, fact), days_back))
 
 
-def last_days(df: DataFrame, days: int = 7) -> DataFrame:
-    last = latest_day(df)
+def last_days(df: DataFrame, t: Tables | None = None, fact: str | None = None, days: int = 7) -> DataFrame:
+    last = latest_day(df, t, fact)
     return df.where((F.col(DAY) > F.date_sub(last, days)) & (F.col(DAY) <= last))
 
 
-def last_shift(df: DataFrame) -> DataFrame:
+def last_shift(df: DataFrame, t: Tables | None = None, fact: str | None = None) -> DataFrame:
     """Rows of the latest shift of the latest day."""
-    today = on_day(df)
+    today = on_day(df, t, fact)
     shift = today.select(F.max("shift_name")).scalar()
     return today.where(F.col("shift_name") == shift)
 
@@ -65,7 +72,7 @@ def _with_day(deviations: DataFrame, zone: str | None) -> DataFrame:
 
 def efficiency_today(t: Tables) -> DataFrame:
     """Arc efficiency of all welding machines today."""
-    return _average_efficiency(on_day(view("gmaw.v_gmaw_shift_efficiency", t)).where(plausible_efficiency()), "machine_name")
+    return _average_efficiency(on_day(view("gmaw.v_gmaw_shift_efficiency", t), t, schemas.DERIVED_GMAW).where(plausible_efficiency()), "machine_name")
 
 
 def lpg_by_shift(t: Tables) -> DataFrame:
@@ -81,7 +88,7 @@ def lpg_by_shift_from_cuts(t: Tables) -> DataFrame:
 
 def sessions_this_week(t: Tables) -> DataFrame:
     """Cladding sessions by day, shift and machine this week."""
-    return kpis.session_summary(last_days(t[schemas.SUMMARY_CLAD]))
+    return kpis.session_summary(last_days(t[schemas.SUMMARY_CLAD], t, schemas.SUMMARY_CLAD))
 
 
 def latest_deviations(t: Tables, n: int = ordering.DEFAULT_LIMIT, tie: tuple[str, ...] = ("hardware_id", "parameter")) -> DataFrame:
@@ -119,7 +126,7 @@ def machine_readings(t: Tables, machine: str, n: int = ordering.DEFAULT_LIMIT) -
 
 def deviations_today(t: Tables, zone: str | None = PLANT_TIME_ZONE) -> DataFrame:
     """Events of the latest day in the plant's time zone, by label."""
-    events = on_day(_with_day(t[schemas.DEVIATION], zone))
+    events = on_day(_with_day(t[schemas.DEVIATION], zone), t, schemas.DEVIATION)
     return events.groupBy(DAY, "deviation_label").agg(F.count("*").alias("events"))
 
 
@@ -134,7 +141,7 @@ def cladding_means(t: Tables) -> DataFrame:
 
 def machine_current_today(t: Tables, machine: str) -> DataFrame:
     """Average welding current of one machine today, by shift."""
-    today = on_day(t[schemas.PERIODIC_GMAW]).where(F.col("machine_name") == machine)
+    today = on_day(t[schemas.PERIODIC_GMAW], t, schemas.PERIODIC_GMAW).where(F.col("machine_name") == machine)
     return (
         valid_rows(today, schemas.PERIODIC_GMAW)
         .groupBy(*kpis.SHIFT_KEYS)
@@ -144,7 +151,7 @@ def machine_current_today(t: Tables, machine: str) -> DataFrame:
 
 def best_machine_this_week(t: Tables) -> DataFrame:
     """Machine with the highest arc efficiency this week."""
-    week = last_days(view("gmaw.v_gmaw_shift_efficiency", t)).where(plausible_efficiency())
+    week = last_days(view("gmaw.v_gmaw_shift_efficiency", t), t, schemas.DERIVED_GMAW).where(plausible_efficiency())
     return ordering.top(
         _average_efficiency(week, "machine_name"), 1, F.desc("avg_arc_efficiency_pct"), "machine_name"
     )
@@ -152,14 +159,14 @@ def best_machine_this_week(t: Tables) -> DataFrame:
 
 def machine_sessions_yesterday(t: Tables, machine: str) -> DataFrame:
     """Sessions of one rectifier on the day before the latest."""
-    day = on_day(t[schemas.SUMMARY_CLAD], 1).where(F.col("machine_name") == machine)
+    day = on_day(t[schemas.SUMMARY_CLAD], t, schemas.SUMMARY_CLAD, 1).where(F.col("machine_name") == machine)
     return kpis.session_summary(day)
 
 
 def lpg_last_shift(t: Tables) -> DataFrame:
     """Fuel gas of the last shift."""
     return (
-        _lpg(last_shift(t[schemas.NONCUTTING]))
+        _lpg(last_shift(t[schemas.NONCUTTING], t, schemas.NONCUTTING))
         .groupBy(DAY, "shift_name")
         .agg(total("total_lpg_cons", 2).alias("total_lpg_litres"))
     )
@@ -187,11 +194,11 @@ def shift_report_today(t: Tables, zone: str | None = PLANT_TIME_ZONE) -> DataFra
         cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
         return df.select(F.lit(source).alias("source"), *shift, F.inline(cells))
 
-    welding = kpis.sensor_averages(on_day(t[schemas.PERIODIC_GMAW]))
-    cutting = kpis.cutting_productivity(on_day(t[schemas.SUMMARY_GASCUTTING]))
-    cladding = kpis.session_summary(on_day(t[schemas.SUMMARY_CLAD]))
+    welding = kpis.sensor_averages(on_day(t[schemas.PERIODIC_GMAW], t, schemas.PERIODIC_GMAW))
+    cutting = kpis.cutting_productivity(on_day(t[schemas.SUMMARY_GASCUTTING], t, schemas.SUMMARY_GASCUTTING))
+    cladding = kpis.session_summary(on_day(t[schemas.SUMMARY_CLAD], t, schemas.SUMMARY_CLAD))
     events = (
-        on_day(_with_day(t[schemas.DEVIATION], zone))
+        on_day(_with_day(t[schemas.DEVIATION], zone), t, schemas.DEVIATION)
         .groupBy("machine_name")
         .agg(F.count("*").alias("event_count"), total("span_seconds", 1, divisor=60).alias("total_duration_minutes"))
         .withColumn("shift_name", F.lit(None).cast("string"))

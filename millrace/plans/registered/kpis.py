@@ -46,6 +46,32 @@ def deviation_events_long(spark, sf):
     return derive.threshold_breaches(readings, keep=("event_id", "hardware_id"))
 
 
+_SIDES = " UNION ALL ".join(
+    f"""SELECT hardware_id, tm, event_id, '{p}' AS parameter, {p} AS reading,
+    CASE WHEN {p} > {high} THEN 'high' WHEN {p} < {low} THEN 'low' WHEN {p} IS NOT NULL THEN 'none' END AS side FROM per"""
+    for p, (high, low) in derive.THRESHOLDS.items()
+)
+
+
+@query(
+    "deviation_events",
+    with_tables(
+        "per",
+        body=f"""SELECT hardware_id, parameter, side AS type, parameter || '_' || side AS deviation_label, min(tm) AS start_tm, max(tm) AS end_tm,
+        date_diff('microsecond', min(tm), max(tm)) / 1000000.0::DOUBLE AS span_seconds, count(*) AS readings,
+        CASE WHEN side = 'high' THEN max(reading) ELSE min(reading) END AS worst,
+        CASE WHEN count(*) > 1 THEN 'sustained' ELSE 'single' END AS flag
+        FROM (SELECT *, sum(opens) OVER (PARTITION BY hardware_id, parameter ORDER BY tm, event_id) AS event
+            FROM (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY hardware_id, parameter ORDER BY tm, event_id) THEN 0 ELSE 1 END AS opens
+                FROM ({_SIDES}) WHERE side IS NOT NULL))
+        WHERE side <> 'none' GROUP BY hardware_id, parameter, event, side""",
+    ),
+)
+def deviation_events(spark, sf):
+    """Events from readings: runs beyond the same limit, across midnight too."""
+    return derive.deviation_events(tb.periodic_gmaw(spark, sf), ["hardware_id"], ["tm", "event_id"])
+
+
 @query(
     "deviation_summary",
     with_tables(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.plans import questions, testbed as tb
-from millrace.plans.registered import query
+from millrace.plans.registered import ORACLES, query
 from millrace.plans.testbed import sql_mean, sql_round, sql_sum, sql_total, with_tables
 from millrace.sources import schemas
 
@@ -183,6 +183,17 @@ _ask(
 )
 
 
+@query("deviations_today_stored", ORACLES["deviations_today"])
+def deviations_today_stored(spark, sf):
+    """The same over a table laid out by day, whose latest day is known from its folders."""
+    return questions.deviations_today(tb.stored(spark, sf, schemas.DEVIATION))
+
+
+@query("machine_current_today_stored", ORACLES["machine_current_today"])
+def machine_current_today_stored(spark, sf):
+    return questions.machine_current_today(tb.stored(spark, sf, schemas.PERIODIC_GMAW), machine="M-3")
+
+
 @query(
     "deviations_of_plant_day",
     with_tables(

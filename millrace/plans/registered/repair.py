@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import repair
-from millrace.plans import testbed as tb
+from millrace.plans import repairs, testbed as tb
 from millrace.plans.registered import query
-from millrace.sources import sinks
+from millrace.plans.testbed import with_tables
+from millrace.sources import readers, schemas, sinks
 
 PARAMETERS = ("current", "weld_cur", " Voltage ", "GAS", "hs_temp", "xyz", "Motor_Volt", "weld_gas")
 _LISTED = ", ".join(f"'{p}'" for p in PARAMETERS)
@@ -122,6 +123,24 @@ def keyed_update_last_wins(spark, sf):
     return repair.keyed_update(orders, patch, ["o_orderkey"], ["mid"], [F.desc("l_linenumber")], skip_null=True, changed="changed")
 
 
+@query(
+    "patched_days",
+    with_tables(
+        "per",
+        body="""SELECT event_id, business_date, shift_name, CASE WHEN event_id % 40 = 0
+        AND business_date > (SELECT max(business_date) FROM per) - 2 THEN CAST(event_id % 9 AS DOUBLE) ELSE weld_volt END AS weld_volt FROM per""",
+    ),
+)
+def patched_days(spark, sf):
+    """A table laid out by day after a patch of the last two days; the other days' files stay."""
+    tables = tb.stored(spark, sf, schemas.PERIODIC_GMAW)
+    readings = tables[schemas.PERIODIC_GMAW]
+    recent = readings.where((F.col("event_id") % 40 == 0) & F.col("business_date").isin(tables.days(schemas.PERIODIC_GMAW)[:2]))
+    patch = recent.select("pdid", (F.col("event_id") % 9).cast("double").alias("weld_volt"))
+    repairs.apply_patch(spark, tables.root, schemas.PERIODIC_GMAW, patch, ["pdid"], ["weld_volt"], [F.asc("weld_volt")])
+    return readers.read_table(spark, schemas.PERIODIC_GMAW, tables.root).select("event_id", "business_date", "shift_name", "weld_volt")
+
+
 @query(
     "insert_incomplete_keys",
     """SELECT 'set aside' AS outcome, o_orderkey FROM orders WHERE o_orderkey % 7 = 0

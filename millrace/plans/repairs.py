@@ -44,10 +44,14 @@ def apply_patch(
     """Keyed update of a stored table from a corrected extract; empty cells are
     ignored. Keys may repeat in the patch: the first row in ``newest_first`` counts,
     so no stored row is ever multiplied. Returns the number of rows that really
-    changed, seen while the new contents are written; without any they are dropped
-    and the table stays as it is."""
+    changed; without any the table stays as it is.
+
+    Of a table laid out by day only the days with a changed row are written again.
+    They are found by the same update on keys, days and updated columns alone."""
     path = readers.table_path(root, table)
     stored = readers.read_stored(spark, path)
+    if sinks.partition_columns(stored):
+        return _patch_days(stored, path, patch, keys, columns, newest_first)
     updated = repair.keyed_update(stored, patch, keys, columns, newest_first, skip_null=True, changed="_changed")
     seen = Observation()
     version = sinks.new_version(path)
@@ -60,6 +64,24 @@ def apply_patch(
     return changed
 
 
+def _patch_days(stored, path, patch, keys, columns, newest_first) -> int:
+    day = sinks.PARTITION_COLUMN
+    narrow = stored.select(*dict.fromkeys([*keys, *columns, day]))
+    # Rows whose key is in no patch cannot change: the join drops them before anything is compared.
+    near = narrow.join(patch.select(*keys).distinct(), list(keys), "left_semi").select(*narrow.columns)
+    marked = repair.keyed_update(near, patch, keys, columns, newest_first, skip_null=True, changed="_changed")
+    # A day that a row moves to is touched as well as the one it leaves.
+    touched = near.select(F.col(day)) if day in columns else marked.where("_changed").select(day)
+    if day in columns:
+        touched = touched.union(marked.where("_changed").select(day))
+    days = [row[0] for row in touched.distinct().collect()]
+    changed = marked.where("_changed").count() if days else 0
+    if changed:
+        updated = repair.keyed_update(sinks.of_days(stored, days), patch, keys, columns, newest_first, skip_null=True)
+        sinks.rewrite_days(updated, path, days)
+    return changed
+
+
 def verify_repairs(spark: SparkSession, root: str) -> DataFrame:
     """The checks on the repaired tables, as far as they are stored."""
     parts = [

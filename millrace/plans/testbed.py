@@ -11,7 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators import derive
-from millrace.sources import schemas
+from millrace.plans import load
+from millrace.session import scratch_folder
+from millrace.sources import readers, schemas, sinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +197,15 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str, *names: str) -> load.StoredTables:
+    """Facts written by day to a new folder, and read from there."""
+    root = scratch_folder(spark)
+    tables = PlantTables(spark, sf_dir)
+    for name in names:
+        sinks.write_table(tables[name], readers.table_path(root, name))
+    return load.stored_tables(spark, root)
+
+
 class PlantTables(Mapping):
     """The facts the question catalogue reads, each built when asked for."""
 

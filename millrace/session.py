@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -36,6 +38,16 @@ def get_spark(app: str = "millrace", cores: int | str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; only local sessions make one of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/plant-{uuid.uuid4().hex}"
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A run-time setting for the jobs started inside the block."""

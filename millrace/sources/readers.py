@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.sources import schemas
 
+# Facts lie in one folder a day.
+DAY = "business_date"
+DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
+
 # Column for lines that hold more cells than the header.
 SURPLUS = "_surplus"
 
@@ -83,6 +89,19 @@ def versions(spark: SparkSession, path: str) -> list[str]:
         stream.close()
 
 
+def stored_days(spark: SparkSession, path: str) -> list[datetime.date]:
+    """The business days a stored table holds, newest first, from the names of its folders.
+
+    One listing of as many names as there are days; no file is opened. Rows without
+    a day lie in a folder of their own, which is no day.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(versions(spark, path)[0])
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(folder, f"{DAY}=*"))
+    names = [status.getPath().getName().partition("=")[2] for status in found]
+    return sorted((datetime.date.fromisoformat(n) for n in names if DATE.fullmatch(n)), reverse=True)
+
+
 def machine_types(spark: SparkSession) -> DataFrame:
     """The seed rows of the type dimension. As VALUES the optimizer knows their size
     and broadcasts them, never the table they are joined to."""

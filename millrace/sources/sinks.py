@@ -9,9 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators.repair import last_per_key
-from millrace.sources.readers import versions
-
-PARTITION_COLUMN = "business_date"
+from millrace.sources.readers import DAY as PARTITION_COLUMN, versions
 
 
 def partition_columns(df: DataFrame) -> list[str]:
@@ -87,6 +85,38 @@ def switch(spark: SparkSession, path: str, version: str, keep_previous: bool = T
         remove(spark, old)
 
 
+def rewrite_days(df: DataFrame, path: str, days: Sequence) -> int:
+    """Put new rows in place of some days of a table, also when they were read from it; other days' files stay.
+
+    ``df`` must hold all rows of these days and no others; None is the folder of
+    rows without a day. The new files are complete in a folder of their own before
+    the table is touched, so a run that fails in between is repeated from there
+    (``replace_days``) rather than from the table.
+    """
+    staged = new_version(path)
+    rows = write_table(df, staged)
+    replace_days(df.sparkSession, path, staged, days)
+    return rows
+
+
+def replace_days(spark: SparkSession, path: str, staged: str, days: Sequence) -> None:
+    """Second half of ``rewrite_days``; running it again changes nothing. Days that got no rows are removed."""
+    current = versions(spark, path)[0]
+    new = spark.read.schema(spark.read.parquet(current).schema).parquet(staged)
+    new = new.hint("rebalance", PARTITION_COLUMN)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION_COLUMN).parquet(current)
+    kept = {row[0] for row in new.select(PARTITION_COLUMN).distinct().collect()}
+    for day in set(days) - kept:
+        remove(spark, f"{current}/{PARTITION_COLUMN}={'__HIVE_DEFAULT_PARTITION__' if day is None else day}")
+    remove(spark, staged)
+
+
+def of_days(df: DataFrame, days: Sequence) -> DataFrame:
+    """Rows of these days (None: without one); the scan reads no other folder."""
+    wanted = F.col(PARTITION_COLUMN).isin([d for d in days if d is not None])
+    return df.where(wanted | F.col(PARTITION_COLUMN).isNull() if None in days else wanted)
+
+
 def _complete(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
