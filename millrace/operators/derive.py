@@ -132,7 +132,7 @@ def shift_of(moment: Column | str, starts: Sequence[tuple[str, int]] = (("A", 6)
     return label
 
 
-def deviation_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], parameters: Sequence[str] = tuple(THRESHOLDS), chunk: Column | None = None) -> DataFrame:
+def deviation_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], parameters: Sequence[str] = tuple(THRESHOLDS), chunk: Column | None = None, most_rows: int | None = None) -> DataFrame:
     """One row per deviation event: consecutive readings of a machine beyond the same limit of a parameter.
 
     Columns: ``keys``, ``parameter``, ``type`` (high or low), ``deviation_label``,
@@ -147,7 +147,7 @@ def deviation_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], p
     above, below = F.col("reading") > F.col("high"), F.col("reading") < F.col("low")
     known = F.col("reading").isNotNull() & (F.col("high").isNotNull() | F.col("low").isNotNull())
     long = long.withColumn("type", F.when(above, "high").when(below, "low").when(known, "none"))
-    found = sequences.runs(long, [*keys, "parameter"], order, "type", "reading", chunk).where("type <> 'none'")
+    found = sequences.runs(long, [*keys, "parameter"], order, "type", "reading", chunk, most_rows).where("type <> 'none'")
     return found.select(
         *keys,
         "parameter",

@@ -128,13 +128,32 @@ def execute_sql(spark: SparkSession, sql: str, cap: int | None = None, names: It
     return Answer(df.columns, rows[:cap], min(len(rows), cap), len(rows) > cap)
 
 
+# What comes first in a text decides what the rest is part of: a dash within a
+# literal opens no comment, a quote within a comment no literal.
+LITERAL, QUOTED, COMMENT = r"'(?:[^']|'')*+(?:'|\z)", r'"(?:[^"]|"")*+(?:"|\z)', r"--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+
+
+def without_comments(sql: Column) -> Column:
+    """Comments become a blank; literals and quoted names stay."""
+    return F.regexp_replace(sql, f"({LITERAL}|{QUOTED})|{COMMENT}", "$1 ")
+
+
+def code_only(sql: Column) -> Column:
+    """The text with comments, literals and quoted names blanked; texts without any are not searched."""
+    quiet = ~(sql.contains("'") | sql.contains('"') | sql.contains("--") | sql.contains("/*"))
+    literals = F.regexp_replace(without_comments(sql), f"({LITERAL})|({QUOTED})", " '' ")
+    return F.when(quiet, sql).otherwise(literals)
+
+
 def lint_rules(sql: Column | str) -> Mapping[str, Column]:
     """Rule id to the condition under which a query text breaks it.
 
-    Each rule starts with a plain substring search, so patterns run only on texts
-    that can break it.
+    Rules see code only: comments, literals and quoted names are blanked first,
+    but for the one about literals and the one about markup. Each rule starts with
+    a plain substring search, so patterns run only on texts that can break it.
     """
-    c = F.lower(text.col(sql))
+    raw = F.lower(text.col(sql))
+    c = code_only(raw)
 
     def has(word: str, pattern: str | None = None) -> Column:
         return c.contains(word) & c.rlike(pattern or rf"\b{word}\b")
@@ -153,7 +172,7 @@ def lint_rules(sql: Column | str) -> Mapping[str, Column]:
     rules["counter_sum"] = has(
         "_consumption", r"\bsum\s*\(\s*(\w+\.)?(total_lpg_consumption|total_o2_consumption_meter[12])\b"
     )
-    rules["shift_literal"] = has("'shift", r"'shift\s+[abc]'")
+    rules["shift_literal"] = raw.contains("'shift") & without_comments(raw).rlike(r"'shift\s+[abc]'")
     efficiency = has("arc_efficiency_pct")
     rules["efficiency_range"] = efficiency & ~c.rlike(r"\barc_efficiency_pct\s+between\s+0\s+and\s+200\b")
     rules["efficiency_table"] = efficiency & c.rlike(r"\b(clad|gascutting)\.")
@@ -164,7 +183,7 @@ def lint_rules(sql: Column | str) -> Mapping[str, Column]:
     rules["unrounded_average"] = has("avg", r"\bavg\s*\(") & ~c.rlike(r"\bround\s*\(")
     rules["unguarded_ratio"] = has("valid_sessions", r"\bvalid_sessions\b[^/]*/") & ~c.rlike(r"\bnullif\s*\(")
     rules["no_limit"] = ~c.rlike(LIMITED) & ~c.rlike(AGGREGATES)
-    rules["markdown"] = c.contains("```")
+    rules["markdown"] = raw.contains("```")
     return rules
 
 

@@ -12,6 +12,7 @@ equals that of the plain window for every input.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -20,6 +21,9 @@ from millrace.operators.repair import last_per_key
 
 CHUNK, CARRIED = "_chunk", "_carried"
 
+# Quantiles that long chunks are cut at; rows a chunk should hold where that is asked for.
+QUANTILES, CHUNK_ROWS = 1000, 1 << 17
+
 # Numbers per chunk where the order column is a number.
 NUMBERS = 128
 
@@ -39,17 +43,45 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return last_per_key(df, keys, [F.desc_nulls_last(c) for c in order])
 
 
-def in_chunks(df: DataFrame, order: Sequence[str], chunk: Column | None = None) -> DataFrame:
+def in_chunks(
+    df: DataFrame, order: Sequence[str], chunk: Column | None = None, keys: Sequence[str] = (), most_rows: int | None = None
+) -> DataFrame:
     """Add a chunk that rises with the first order column: its day, or the span a number lies in.
 
-    Pass ``chunk`` to cut finer, such as ``date_trunc('hour', ...)`` where one key has
-    more rows a day than a task should hold. It must never fall as the order rises.
+    Pass ``chunk`` to cut otherwise; it must never fall as the order rises. With
+    ``most_rows`` the chunks of a key that hold more are cut at quantiles into
+    parts of about so many rows, wherever the rows of a day crowd; only rows with
+    the same value of the first order column stay together.
     """
     if chunk is None:
         first = F.col(order[0])
         numeric = isinstance(df.schema[order[0]].dataType, T.NumericType)
         chunk = F.floor(first / NUMBERS) if numeric else F.to_date(first)
-    return df.withColumn(CHUNK, chunk)
+    rows = df.withColumn(CHUNK, chunk)
+    return rows if most_rows is None else _cut_long_chunks(rows, keys, order[0], most_rows)
+
+
+def _cut_long_chunks(rows: DataFrame, keys: Sequence[str], first: str, most_rows: int) -> DataFrame:
+    """Two passes over keys and order before the rows are shuffled: counts, and quantiles of long chunks only."""
+    kind = rows.schema[first].dataType
+    place = F.col(first) if isinstance(kind, T.NumericType) else F.unix_micros(F.col(first).cast("timestamp"))
+    by = [*keys, CHUNK]
+    names = [f"_of_{i}" for i in range(len(by))]
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[n]) for c, n in zip(by, names)])
+
+    narrow = rows.select(*by, place.alias("_place"))
+    long = narrow.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)]).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most_rows)
+    crowded = narrow.join(long, same(narrow, long)).where("_place IS NOT NULL")
+    grid = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    cuts = crowded.groupBy(*names).agg(F.max("_rows").alias("_rows"), F.percentile_approx("_place", grid, 10 * QUANTILES).alias("_grid"))
+    # Every so many quantiles one cut; a value that fills several quantiles is cut once.
+    every = F.greatest(F.floor(F.lit(QUANTILES * most_rows) / F.col("_rows")), F.lit(1))
+    cuts = cuts.select(*names, F.array_distinct(F.filter("_grid", lambda _, i: (i + 1) % every == 0)).alias("_cuts"))
+    placed = rows.join(cuts, same(rows, cuts), "left")
+    part = F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= place)), F.lit(0))
+    return placed.withColumn(CHUNK, F.struct(F.col(CHUNK).alias("chunk"), part.alias("part"))).drop(*names, "_cuts")
 
 
 def _inside(keys: Sequence[str], order: Sequence[str]) -> W:
@@ -66,14 +98,20 @@ def _step(previous: Column, current: Column) -> Column:
 
 
 def counter_consumption(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, places: int = 2, chunk: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    counter: str,
+    places: int = 2,
+    chunk: Column | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Consumption per key from a running counter with restarts.
 
     One pass: steps inside a chunk are summed there, each (key, chunk) leaves its
     first and last reading, and a second, small window adds the steps between chunks.
     """
-    readings = in_chunks(df.where(F.col(counter).isNotNull()), order, chunk)
+    readings = in_chunks(df.where(F.col(counter).isNotNull()), order, chunk, keys, most_rows)
     readings = readings.select(*dict.fromkeys([*keys, *order, counter, CHUNK]))
     inside = _inside(keys, order)
     value = F.col(counter)
@@ -106,10 +144,12 @@ def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str], orde
     return both, inside.rowsBetween(W.unboundedPreceding, -1)
 
 
-def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, chunk: Column | None = None) -> DataFrame:
+def counter_steps(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], counter: str, chunk: Column | None = None, most_rows: int | None = None
+) -> DataFrame:
     """Every reading with its increase over the previous one (NULL for the first).
     Rows without a reading stay and are skipped when looking back."""
-    rows = in_chunks(df, order, chunk)
+    rows = in_chunks(df, order, chunk, keys, most_rows)
     present = rows.where(F.col(counter).isNotNull())
     left = present.groupBy(*keys, CHUNK).agg(F.max_by(F.col(counter), F.struct(*order)).alias("left"))
     carried = left.select(*keys, CHUNK, F.lag("left").over(_across(keys)).alias(counter)).where(F.col(counter).isNotNull())
@@ -124,7 +164,13 @@ def counter_steps(df: DataFrame, keys: Sequence[str], order: Sequence[str], coun
 
 
 def runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], state: str, value: str, chunk: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state: str,
+    value: str,
+    chunk: Column | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Consecutive rows of a key with the same ``state`` as one row: ``start`` and ``end`` (first order column),
     number of ``readings``, ``lowest`` and ``highest`` value.
@@ -134,7 +180,7 @@ def runs(
     go on in another one, so two rows a chunk, whatever their number, decide what
     is joined across chunks.
     """
-    rows = in_chunks(df.where(F.col(state).isNotNull()), order, chunk)
+    rows = in_chunks(df.where(F.col(state).isNotNull()), order, chunk, keys, most_rows)
     first = F.col(order[0])
     whole, same = _inside(keys, order), W.partitionBy(*keys, CHUNK, state).orderBy(*order)
     numbered = rows.withColumn("_place", F.row_number().over(whole)).withColumn("_followed", F.lead(F.lit(True), 1, False).over(whole))
@@ -161,14 +207,20 @@ def runs(
 
 
 def running_last(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, alias: str, chunk: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    alias: str,
+    chunk: Column | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Largest non-null ``value`` among the earlier rows of the key.
 
     For a value that grows with the order, such as the time of an event, that is
     the most recent one.
     """
-    rows = in_chunks(df, order, chunk).withColumn("_value", value)
+    rows = in_chunks(df, order, chunk, keys, most_rows).withColumn("_value", value)
     left = rows.groupBy(*keys, CHUNK).agg(F.max("_value").alias("left"))
     earlier_chunks = _across(keys).rowsBetween(W.unboundedPreceding, -1)
     carried = left.select(*keys, CHUNK, F.max("left").over(earlier_chunks).alias("_value")).where("_value IS NOT NULL")

@@ -82,7 +82,7 @@ def load_table(
     errors = 0
     with setting(spark, "spark.sql.codegen.hugeMethodLimit", JIT_METHOD_BYTES):
         if step.replace:
-            loaded = sinks.rewrite(good, target, keep_previous=False)
+            loaded = sinks.rewrite(good, target)
         else:
             loaded = sinks.write_table(good, readers.versions(spark, target)[0], "append")
         if step.replace:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import derive, filters, kpis, ordering, sequences
 from millrace.plans import testbed as tb
-from millrace.plans.registered import query
+from millrace.plans.registered import ORACLES, query
 from millrace.plans.testbed import sql_mean, sql_total, with_tables
 from millrace.plans.views import view
 from millrace.sources import schemas
@@ -316,6 +316,21 @@ def counter_steps(spark, sf):
     return steps.select("event_id", "hardware_id", F.round("step", 1).alias("step"))
 
 
+# Short chunks, so that days are cut at these sizes of the tables.
+@query("counter_consumption_cut", ORACLES["counter_consumption"])
+def counter_consumption_cut(spark, sf):
+    return sequences.counter_consumption(
+        tb.flow_readings(spark, sf), ["hardware_id"], ["tm", "event_id"], "total_lpg_consumption", most_rows=8
+    )
+
+
+@query("counter_steps_cut", ORACLES["counter_steps"])
+def counter_steps_cut(spark, sf):
+    readings = tb.flow_readings(spark, sf).select("event_id", "hardware_id", "tm", "gappy_counter")
+    steps = sequences.counter_steps(readings, ["hardware_id"], ["tm", "event_id"], "gappy_counter", most_rows=8)
+    return steps.select("event_id", "hardware_id", F.round("step", 1).alias("step"))
+
+
 @query(
     "counter_span",
     with_tables(

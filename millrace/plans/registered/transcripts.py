@@ -209,6 +209,12 @@ def _lint_statement(kind):
         3: "SELECT COUNT(*) FROM clad.fact_summarize_clad WHERE NOT is_instantaneous -- ",
         4: "SELECT * FROM fact_summarize_gascutting WHERE timer_overflow = false AND travel_outlier=FALSE -- ",
         5: "SELECT valid_sessions / total_sessions FROM clad.v_clad_session_summary LIMIT 3 -- ",
+        6: "SELECT arc_efficiency_pct, ```x``` FROM clad.v_x WHERE arc_efficiency_pct BETWEEN 0 AND 200 LIMIT 3 -- ",
+        7: "SELECT AVG(x) FROM gmaw.a UNION ALL SELECT SUM(x) OVER (PARTITION BY y) FROM gmaw.b -- ",
+        8: "SELECT AVG(reading) FROM clad.fact_summarize_clad -- WHERE NOT is_instantaneous ROUND( ",
+        9: "/* FROM fact_x avg( */ SELECT 'sum(total_lpg_consumption) -- FROM fact_y', \"valid_sessions /\" FROM gmaw.t LIMIT 2 -- 'shift a' avg(",
+        10: "SELECT m FROM gmaw.t WHERE note = 'it''s over ( union all' AND s = 'Shift B' LIMIT 1 -- ",
+        11: "SELECT COUNT(*) FROM gascutting.fact_summarize_gascutting WHERE timer_overflow = FALSE -- AND travel_outlier = FALSE ",
     }[kind]
 
 
@@ -219,19 +225,26 @@ _LINTED = {
     3: "",
     4: "unqualified_table,no_limit",
     5: "unguarded_ratio",
+    6: "efficiency_table,markdown",
+    7: "window_in_union,unrounded_average",
+    8: "missing_filter_fact_summarize_clad,unrounded_average",
+    9: "",
+    10: "shift_literal",
+    11: "missing_filter_fact_summarize_gascutting",
 }
 
 
 @query(
     "sql_lint",
-    "SELECT conv_id, turn, CASE (conv_id + turn) % 6 "
+    "SELECT conv_id, turn, CASE (conv_id + turn) % 12 "
     + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _LINTED.items())
     + " END AS broken FROM conversations",
 )
 def sql_lint(spark, sf):
-    kind = (F.col("conv_id") + F.col("turn")) % 6
-    statements = F.array(*[F.lit(_lint_statement(k)) for k in range(6)])
-    sql = F.concat(F.element_at(statements, (kind + 1).cast("int")), "text")
+    kind = (F.col("conv_id") + F.col("turn")) % len(_LINTED)
+    statements = F.array(*[F.lit(_lint_statement(k)) for k in _LINTED])
+    # What users wrote follows as a comment, whatever it holds.
+    sql = F.concat(F.element_at(statements, (kind + 1).cast("int")), F.translate("text", "\n", " "))
     return _messages(spark, sf).select(
         "conv_id", "turn", gateway.broken_rules(sql).alias("broken")
     )

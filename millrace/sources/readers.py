@@ -18,9 +18,14 @@ DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 SURPLUS = "_surplus"
 
 
+# Doubled quotes as in RFC 4180; blanks around values are kept, and so are line
+# breaks in quoted cells. For these a file is read by one task: an extract of any
+# size should come as a folder of files.
+CSV_FORM = {"quote": '"', "escape": '"', "multiLine": True}
+
+
 def _csv(spark: SparkSession, header: bool):
-    """Doubled quotes as in RFC 4180; blanks around values are kept."""
-    return spark.read.options(header=header, quote='"', escape='"')
+    return spark.read.options(header=header, **CSV_FORM)
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -31,7 +36,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
 
 
 # A separator outside quotes.
-SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*\z)'
 
 
 def read_csv_lines(spark: SparkSession, path: str, surplus: str = SURPLUS) -> DataFrame:

@@ -51,17 +51,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def rewrite(df: DataFrame, path: str, keep_previous: bool = True) -> int:
+def rewrite(df: DataFrame, path: str) -> int:
     """Put new contents in place of a table, also when they were read from it.
 
     The new files get a folder of their own, and one small file that names the
     current folder is replaced at the end: no file is moved or copied, and a run
-    that fails anywhere leaves the old contents in place. On request the old
-    files stay readable as the previous ones.
+    that fails anywhere leaves the old contents in place. The old files stay until
+    the next rewrite, readable as the previous ones: queries that run, and
+    DataFrames not read yet, still name them.
     """
     version = new_version(path)
     rows = write_table(df, version)
-    switch(df.sparkSession, path, version, keep_previous)
+    switch(df.sparkSession, path, version)
     return rows
 
 
@@ -69,19 +70,19 @@ def new_version(path: str) -> str:
     return f"{path}__v{uuid.uuid4().hex}"
 
 
-def switch(spark: SparkSession, path: str, version: str, keep_previous: bool = True) -> None:
-    """Make a complete folder the current contents of the table at ``path``."""
+def switch(spark: SparkSession, path: str, version: str) -> None:
+    """Make a complete folder the current contents of the table at ``path``, and those before it the previous ones."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     before = versions(spark, path)
     pointer, draft = hadoop.Path(f"{path}__current"), hadoop.Path(f"{version}__pointer")
     stream = pointer.getFileSystem(conf).create(draft, True)
-    stream.write("\n".join([version, *before[:1]] if keep_previous else [version]).encode())
+    stream.write("\n".join([version, *before[:1]]).encode())
     stream.close()
     kind = getattr(hadoop, "Options$Rename")
     overwrite = spark._sc._gateway.new_array(kind, 1)
     overwrite[0] = kind.OVERWRITE
     hadoop.FileContext.getFileContext(pointer.getFileSystem(conf).getUri(), conf).rename(draft, pointer, overwrite)
-    for old in before[1:] if keep_previous else before:
+    for old in before[1:]:
         remove(spark, old)
 
 

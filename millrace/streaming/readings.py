@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.numeric import mean
 from millrace.operators import cleaning, filters
 from millrace.sources import schemas, sinks
-from millrace.sources.readers import SEPARATOR, SURPLUS
+from millrace.sources.readers import CSV_FORM, SEPARATOR, SURPLUS
 
 
 def stream_extracts(spark: SparkSession, folder: str, table: str, surplus: str = SURPLUS) -> DataFrame:
@@ -24,7 +24,7 @@ def stream_extracts(spark: SparkSession, folder: str, table: str, surplus: str =
     """
     names = [f.name for f in schemas.schema_of(table)]
     text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, surplus]])
-    options = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False, "columnNameOfCorruptRecord": surplus}
+    options = {"header": True, **CSV_FORM, "enforceSchema": False, "columnNameOfCorruptRecord": surplus}
     lines = spark.readStream.schema(text).options(**options).csv(folder)
     cells = F.size(F.split(F.col(surplus), SEPARATOR, -1))
     return lines.withColumn(surplus, F.when(cells > len(names), F.col(surplus)))

@@ -200,3 +200,26 @@ def test_stream(spark, folders, tmp_path):
     query.stop()
     done = spark.table("averages").orderBy("start").collect()
     assert [(r.start.hour, r.sample_count, r.avg_weld_cur_a) for r in done] == [(6, 2, 100.5), (14, 1, 100.5)]
+
+
+def test_cells_with_line_breaks(spark, tmp_path, values):
+    rows = [(1, "one\ntwo"), (2, 'say "no",\n\nthen'), (3, "plain"), (4, None)]
+    df = spark.createDataFrame(rows, "k int, note string")
+    sinks.write_csv(df, str(tmp_path / "out"))
+    expected = sorted([(str(k), n) for k, n in rows], key=repr)
+    assert values(readers.read_csv(spark, str(tmp_path / "out"))) == expected
+    lines = readers.read_csv_lines(spark, str(tmp_path / "out"))
+    assert values(lines.drop(readers.SURPLUS)) == expected and not any(r[readers.SURPLUS] for r in lines.collect())
+    (tmp_path / "more.csv").write_text('k,note\n1,"a\nb",more\n2,"c\nd, e"\n')
+    surplus = readers.read_csv_lines(spark, str(tmp_path / "more.csv"))
+    assert values(surplus, "k", "note") == [("1", "a\nb"), ("2", "c\nd, e")]
+    assert [r.k for r in surplus.where(f"{readers.SURPLUS} IS NOT NULL").collect()] == ["1"]
+
+
+def test_rewritten_tables_stay_readable(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.range(3), path)
+    first = readers.read_stored(spark, path)
+    sinks.rewrite(spark.range(5), path)
+    # A DataFrame made before the rewrite still finds its files.
+    assert first.count() == 3 and readers.read_stored(spark, path).count() == 5

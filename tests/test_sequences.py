@@ -122,3 +122,26 @@ def test_empty_input(readings):
     none = readings.where("id < 0")
     assert sequences.counter_consumption(none, KEYS, ORDER, "v").count() == 0
     assert sequences.counter_steps(none, KEYS, ORDER, "v").count() == 0
+
+
+def test_long_chunks_are_cut(spark):
+    # One key and day with most of the rows, most of them in one minute, many at one instant.
+    crowd = spark.range(60_000).select(
+        F.lit("hot").alias("k"),
+        F.when(F.col("id") % 3 == 0, F.timestamp_micros(F.col("id") * 1_000_000)).when(F.col("id") % 3 == 1, F.timestamp_micros(3_600_000_000 + F.col("id"))).otherwise(F.timestamp_micros(F.lit(7_200_000_000))).alias("tm"),
+        "id",
+        F.when(F.col("id") % 11 != 0, (F.col("id") * 7919 % 1000).cast("double")).alias("c"),
+    )
+    few = spark.range(50).select(F.lit(None).cast("string").alias("k"), F.timestamp_micros(F.col("id") * 10**10).alias("tm"), (F.col("id") + 10**6).alias("id"), F.lit(1.0).alias("c"))
+    rows = crowd.unionByName(few)
+    cut = sequences.in_chunks(rows, ["tm", "id"], keys=["k"], most_rows=4000)
+    sizes = [r["count"] for r in cut.where("k = 'hot'").groupBy(sequences.CHUNK).count().collect()]
+    # 20,000 rows share an instant; all other parts are short.
+    assert sum(sizes) == 60_000 and sorted(sizes)[-2] <= 6000 and len(sizes) >= 10
+    assert cut.where("k IS NULL").groupBy(sequences.CHUNK).count().agg(F.max("count")).first()[0] <= 10
+    plain = sequences.counter_steps(rows, ["k"], ["tm", "id"], "c")
+    parts = sequences.counter_steps(rows, ["k"], ["tm", "id"], "c", most_rows=4000)
+    assert parts.columns == plain.columns
+    assert parts.exceptAll(plain).count() == 0 and plain.exceptAll(parts).count() == 0
+    one = [sequences.counter_consumption(rows, ["k"], ["tm", "id"], "c", most_rows=m).collect() for m in (None, 4000, 100)]
+    assert sorted(one[0], key=repr) == sorted(one[1], key=repr) == sorted(one[2], key=repr)
