@@ -60,6 +60,55 @@ def model_context(spark, sf):
     )
 
 
+# Every user's events as one long session, so that the usual lengths take effect.
+_SESSIONS = "(SELECT user_id % 7 AS conv_id, event_id AS turn, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, event_type || ' ' || props AS text FROM events)"
+
+
+def _sessions(spark, sf):
+    return tb.table(spark, sf, "events").select(
+        (F.col("user_id") % 7).alias("conv_id"),
+        F.col("event_id").alias("turn"),
+        F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat_ws(" ", "event_type", "props").alias("text"),
+    )
+
+
+@query(
+    "session_tail_usual",
+    f"""SELECT conv_id, turn, role, text FROM {_SESSIONS}
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 40""",
+)
+def session_tail_usual(spark, sf):
+    return transcripts.session_tail(_sessions(spark, sf))
+
+
+@query(
+    "append_and_clear_usual",
+    f"""SELECT conv_id, turn, role, text FROM (
+    SELECT * FROM {_SESSIONS} WHERE turn % 3 > 0 UNION ALL SELECT conv_id, turn, role, 'late ' || text FROM {_SESSIONS} WHERE turn % 3 = 0) WHERE conv_id <> 3
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 40""",
+)
+def append_and_clear_usual(spark, sf):
+    whole = _sessions(spark, sf)
+    late = whole.where("turn % 3 = 0").withColumn("text", F.concat(F.lit("late "), "text"))
+    return transcripts.clear_sessions(transcripts.append_turns(whole.where("turn % 3 > 0"), late), 3)
+
+
+@query(
+    "model_context_usual",
+    f"""SELECT conv_id, 'system:Be brief.' || chr(10) || string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10) || 'user:what now' AS context,
+    count(*) + 2 AS messages FROM (SELECT * FROM {_SESSIONS} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 16) GROUP BY 1""",
+)
+def model_context_usual(spark, sf):
+    sessions = _sessions(spark, sf)
+    questions = sessions.select("conv_id").distinct().withColumn("text", F.lit("what now"))
+    context = transcripts.model_context(sessions, questions, "Be brief.")
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    return context.select(
+        "conv_id", F.array_join(lines, "\n").alias("context"), F.size("messages").cast("bigint").alias("messages")
+    )
+
+
 _TOPICS = ("", " weather today", " HR desk", " thr", " Share Price")
 _TOPIC_LIST = ", ".join(f"'{t}'" for t in _TOPICS)
 _QUESTION = f"text || list_extract([{_TOPIC_LIST}], CAST((conv_id + turn) % {len(_TOPICS)} + 1 AS BIGINT))"
