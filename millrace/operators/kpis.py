@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.numeric import count_where, mean, percent, total
 from millrace.operators.filters import is_valid, valid_rows
@@ -199,6 +199,57 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# Sketches: 2**12 registers for distinct values (standard error 1.6 %), size parameter
+# 200 for quantiles (rank error 1.7 % with 99 % confidence).
+DISTINCT_BITS, QUANTILE_SIZE = 12, 200
+
+
+def column_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Per group in ``by`` and column: ``rows``, ``null_rows`` and sketches that can be stored and merged.
+
+    ``distinct_sketch`` (of the values as text) and, for numbers, ``quantile_sketch``
+    (NULL without one) are built map-side in one pass over all columns, so only
+    sketches are shuffled, some kilobytes a column and task. NaN has no place
+    among the quantiles. An empty table has a row per column only without ``by``.
+    """
+    aggregates, cells = [], []
+    for i, c in enumerate(columns):
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        value = F.col(c).cast("double")
+        ranked = F.when(~F.isnan(value), value) if numeric else F.lit(None).cast("double")
+        aggregates += [
+            F.count(F.col(c)).alias(f"_n{i}"),
+            F.hll_sketch_agg(F.col(c).cast("string"), DISTINCT_BITS).alias(f"_d{i}"),
+            F.count(ranked).alias(f"_q_n{i}"),
+            F.kll_sketch_agg_double(ranked, QUANTILE_SIZE).alias(f"_q{i}"),
+        ]
+        cells.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.col("_rows").alias("rows"),
+                (F.col("_rows") - F.col(f"_n{i}")).alias("null_rows"),
+                F.col(f"_d{i}").alias("distinct_sketch"),
+                F.when(F.col(f"_q_n{i}") > 0, F.col(f"_q{i}")).alias("quantile_sketch"),
+            )
+        )
+    whole = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
+    return whole.select(*by, F.inline(F.array(*cells)))
+
+
+def sketched_profile(sketches: DataFrame, ranks: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """Profile per column from sketches of any number of parts: exact ``rows`` and ``null_rows``,
+    estimated ``distinct_values`` and ``quantiles`` at ``ranks`` (NULL for columns that are no numbers)."""
+    merged = sketches.groupBy("column_name").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("null_rows").alias("null_rows"),
+        F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_values"),
+        F.count("quantile_sketch").alias("_some"),
+        F.kll_merge_agg_double("quantile_sketch").alias("_quantiles"),
+    )
+    at = F.kll_sketch_get_quantile_double("_quantiles", F.array(*[F.lit(float(r)) for r in ranks]))
+    return merged.withColumn("quantiles", F.when(F.col("_some") > 0, at)).drop("_some", "_quantiles")
+
+
 def row_count(df: DataFrame, condition: Column | None = None) -> DataFrame:
     source = df if condition is None else df.where(condition)
     return source.agg(F.count("*").alias("rows"))

@@ -264,6 +264,41 @@ def column_profile(spark, sf):
     )
 
 
+_SKETCHED = ("machine_name", "hardware_id", "weld_cur", "amb_temp", "event_id")
+
+
+@query(
+    "column_sketches_by_day",
+    with_tables(
+        "per",
+        body=" UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_rows, TRUE AS distinct_close, TRUE AS median_close FROM per"
+            for c in _SKETCHED
+        ),
+    ),
+)
+def column_sketches_by_day(spark, sf):
+    """Sketches per day, merged, against the exact figures: distinct values within 5 %, the median's rank within 3 %."""
+    readings = tb.periodic_gmaw(spark, sf)
+    profile = kpis.sketched_profile(kpis.column_sketches(readings, _SKETCHED, ["business_date"]))
+    exact = kpis.column_profile(readings, _SKETCHED).select("column_name", F.col("distinct_values").alias("exact"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in _SKETCHED[2:]])
+    values = readings.select(F.inline(cells)).where("v IS NOT NULL")
+    middle = profile.where("quantiles IS NOT NULL").select("column_name", F.col("quantiles")[1].alias("median"))
+    below = values.join(middle, "column_name").groupBy("column_name").agg(
+        F.avg((F.col("v") < F.col("median")).cast("int")).alias("under"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("upto")
+    )
+    close = (F.col("under") <= 0.53) & (F.col("upto") >= 0.47)
+    joined = profile.join(exact, "column_name").join(below, "column_name", "left")
+    return joined.select(
+        "column_name",
+        "rows",
+        "null_rows",
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"),
+        F.coalesce(close, F.col("quantiles").isNull()).alias("median_close"),
+    )
+
+
 @query("row_count_where", with_tables("per", body="SELECT count(*) AS rows FROM per WHERE is_welding"))
 def row_count_where(spark, sf):
     return kpis.row_count(tb.periodic_gmaw(spark, sf), filters.is_valid(schemas.PERIODIC_GMAW))

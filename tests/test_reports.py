@@ -157,3 +157,24 @@ def test_catalog(spark, values):
     assert spark.table("t").count() == 2
     sql = catalog.qualify("SELECT count(*) AS n FROM clad.t", list(frames))
     assert spark.sql(sql).first().n == 3
+
+
+def test_sketches_merge_to_a_profile(spark):
+    rows = [(i % 3, f"n{i % 500}", float(i), None if i % 4 else i) for i in range(20_000)] + [(0, None, float("nan"), None)]
+    df = spark.createDataFrame(rows, "part int, name string, v double, k int")
+    sketches = kpis.column_sketches(df, ["name", "v", "k"], ["part"])
+    assert sketches.count() == 9
+    profile = {r.column_name: r for r in kpis.sketched_profile(sketches, [0.5, 0.9]).collect()}
+    assert [(profile[c].rows, profile[c].null_rows) for c in ("name", "v", "k")] == [(20_001, 1), (20_001, 0), (20_001, 15_001)]
+    assert abs(profile["name"].distinct_values - 500) <= 25 and abs(profile["v"].distinct_values - 20_001) <= 1000
+    assert profile["name"].quantiles is None
+    assert [abs(profile["v"].quantiles[i] - q * 20_000) <= 600 for i, q in enumerate([0.5, 0.9])] == [True, True]
+    plan = sketches._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sketches_of_nothing(spark):
+    df = spark.createDataFrame([(None, None)], "name string, v double")
+    for given in (df, df.limit(0)):
+        rows = kpis.sketched_profile(kpis.column_sketches(given, ["name", "v"])).collect()
+        assert sorted((r.column_name, r.null_rows == r.rows, r.distinct_values, r.quantiles) for r in rows) == [("name", True, 0, None), ("v", True, 0, None)]
