@@ -1,8 +1,8 @@
 """From all-text extracts to typed, aligned tables.
 
 Every function is a row-wise projection, so a chain of them is one scan stage and
-runs unchanged on a stream. Only ``add_type_flags``, ``add_verified_machine`` and
-``drop_duplicate_rows`` move rows.
+runs unchanged on a stream. Only ``add_type_flags``, ``add_verified_machine``,
+``drop_duplicate_rows`` and ``drop_copies_by_digest`` move rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import text
+from millrace.operators import key_bits
 from millrace.sources import schemas
 
 # Identifiers that lose leading zeros when a reader infers numbers.
@@ -270,6 +271,23 @@ def drop_duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFra
     return df.dropDuplicates(keys) if keys else df.distinct()
 
 
+def drop_copies_by_digest(df: DataFrame) -> DataFrame:
+    """The rows of ``drop_duplicate_rows`` where few of many wide rows are copies.
+
+    64-bit digests are counted first; only rows whose digest may occur twice, by a
+    filter of bounded size, are shuffled whole and compared, all others pass as
+    they are. The input is read three times: store what is dear to compute or
+    does not come out the same each time.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    digests = df.select(F.xxhash64(*columns).alias("digest"))
+    repeated = digests.groupBy("digest").count().where("count > 1")
+    bits = key_bits.built(repeated, [F.col("digest")])
+    marked = key_bits.marked(df, [F.xxhash64(*columns)], bits, "__again")
+    single = marked.where("NOT __again").select(*columns)
+    return single.unionAll(marked.where("__again").select(*columns).distinct())
+
+
 def duplicate_report(df: DataFrame) -> DataFrame:
     """Rows before, rows kept and rows removed by ``drop_duplicate_rows``."""
     copies = df.groupBy(*df.columns).count()

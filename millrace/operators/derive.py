@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import numeric, text
 from millrace.operators import sequences
@@ -109,7 +110,7 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return micros / F.lit(1_000_000.0)
 
 
-def range_label(value: Column | str, low: float, high: float, very_high: float) -> Column:
+def range_label(value: Column | str, low: float | Column, high: float | Column, very_high: float | Column) -> Column:
     """zero / low / normal / high / very_high. The cut points are not documented
     anywhere, hence arguments without defaults."""
     v = text.col(value)
@@ -122,6 +123,55 @@ def range_label(value: Column | str, low: float, high: float, very_high: float)
     )
 
 
+# Cut points of a range: low below the first share of the weight, high above the second, very high above the third.
+CUT_RANKS = {"low": 0.1, "high": 0.9, "very_high": 0.99}
+CUT_ERROR = 0.01
+
+
+def value_bins(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, error: float = CUT_ERROR) -> DataFrame:
+    """``weight`` (of rows, or of a column) per group in ``by`` and ``bin`` of the positive values.
+
+    Bins grow by a constant factor, so a bin's middle is within ``error`` of every
+    value in it, and doubles have some 1,400 / ``error`` / 2 bins at most. Weights
+    are added as decimals: bins of parts of a table can be stored and added up.
+    Rows without a value, value 0 and below, and weights that are no positive
+    number teach nothing.
+    """
+    factor = math.log((1 + error) / (1 - error))
+    heavy = F.lit(1) if weight is None else F.col(weight)
+    v, w = F.col(value).cast("double"), heavy.cast("double")
+    usual = (v > 0) & (v < float("inf")) & (w > 0) & (w < float("inf"))
+    bins = df.where(usual).select(*by, F.ceil(F.log(v) / factor).cast("int").alias("bin"), w.cast("decimal(24,6)").alias("weight"))
+    return bins.groupBy(*by, "bin").agg(F.sum("weight").alias("weight"))
+
+
+def range_cuts(bins: DataFrame, by: Sequence[str], ranks: Mapping[str, float] = CUT_RANKS, error: float = CUT_ERROR) -> DataFrame:
+    """Cut points per group in ``by`` from ``value_bins`` of any number of parts, a column for each of ``ranks``.
+
+    Each is within ``error`` of the smallest value at which the weight of all
+    values up to it reaches the rank's share. A window holds the bins of one group.
+    """
+    gamma = (1 + error) / (1 - error)
+    whole = bins.groupBy(*by, "bin").agg(F.sum("weight").alias("weight"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("weight").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = whole.select(*by, "bin", upto.alias("upto"), F.sum("weight").over(group).alias("total"))
+
+    def cut(rank: float) -> Column:
+        least = F.min(F.when(F.col("upto") >= F.col("total") * F.lit(str(rank)).cast("decimal(10,9)"), F.col("bin")))
+        return F.pow(F.lit(gamma), least) * (2 / (gamma + 1))
+
+    return reached.groupBy(*by).agg(*[cut(rank).alias(name) for name, rank in ranks.items()])
+
+
+def with_range(df: DataFrame, cuts: DataFrame, by: Sequence[str], value: str, label: str) -> DataFrame:
+    """``df`` with the range of ``value`` by its group's cut points (``low``, ``high``, ``very_high``); NULL where a group has none."""
+    named = cuts.select(*by, *[F.col(c).alias(f"__{c}") for c in CUT_RANKS])
+    limits = [F.col(f"__{c}") for c in CUT_RANKS]
+    known = df.join(named, list(by), "left").withColumn(label, F.when(limits[0].isNotNull(), range_label(value, *limits)))
+    return known.drop(*[f"__{c}" for c in CUT_RANKS])
+
+
 def shift_of(moment: Column | str, starts: Sequence[tuple[str, int]] = (("A", 6), ("B", 14), ("C", 22))) -> Column:
     """Shift by hour of day. The clock boundaries are an assumption and therefore a parameter."""
     hour = F.hour(text.col(moment))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.numeric import count_where, mean, percent, total
 from millrace.operators.filters import is_valid, valid_rows
+from millrace.operators.states import Measure, aggregate
 from millrace.sources import schemas
 
 SHIFT_KEYS = ("business_date", "shift_name", "machine_name")
@@ -29,71 +30,77 @@ def _deviating(flag: str, quiet: Sequence[str]) -> Column:
     return count_where(~F.col(flag).isin(*quiet))
 
 
+def sensor_measures(quiet: Sequence[str] = QUIET_FLAGS) -> list[Measure]:
+    """Averages of six sensors and counts of deviating flags, of welding samples."""
+    averages = {
+        "avg_weld_cur_a": "weld_cur", "avg_weld_volt_v": "weld_volt", "avg_weld_gas_lmin": "weld_gas",
+        "avg_hs_temp_c": "hs_temp", "avg_amb_temp_c": "amb_temp", "avg_rpm": "rpm",
+    }
+    flags = ("current", "voltage", "gas")
+    return [
+        Measure("sample_count", "count"),
+        *[Measure(name, "mean", F.col(c)) for name, c in averages.items()],
+        *[Measure(f"{f}_deviation_events", "count", ~F.col(f"{f}_deviation_flag").isin(*quiet)) for f in flags],
+    ]
+
+
+def deviation_measures() -> list[Measure]:
+    """Frequency and duration of deviation events."""
+    return [
+        Measure("event_count", "count"),
+        Measure("avg_duration_seconds", "mean", F.col("span_seconds"), 1),
+        Measure("total_duration_minutes", "total", F.col("span_seconds"), 1, divisor=60),
+        Measure("first_occurrence", "min", F.col("start_tm")),
+        Measure("last_occurrence", "max", F.col("start_tm")),
+    ]
+
+
+def cutting_measures() -> list[Measure]:
+    """Counts, averages and consumption of valid cuts."""
+    return [
+        Measure("total_cuts", "count"),
+        Measure("cuts_with_thickness", "count", F.col("thickness_recorded")),
+        Measure("avg_cut_speed_mm_per_min", "mean", F.when(F.col("speed_valid"), F.col("mm_per_min"))),
+        Measure("avg_thickness_mm", "mean", F.when(F.col("thickness_recorded"), F.col("thickness"))),
+        Measure("total_travel_metres", "total", F.col("net_travel_in_mm"), divisor=1000),
+        Measure("total_lpg_litres", "total", F.when(~F.col("lpg_below_detection"), F.col("net_lpg_consumption"))),
+        Measure("total_o2_litres", "total", F.col("total_o2_consumption")),
+    ]
+
+
+def session_measures() -> list[Measure]:
+    """All sessions are counted, measures come from the valid ones."""
+    valid = is_valid(schemas.SUMMARY_CLAD)
+    return [
+        Measure("total_sessions", "count"),
+        Measure("valid_sessions", "count", valid),
+        Measure("avg_current_a", "mean", F.when(valid, F.col("avg_weld_cur"))),
+        Measure("avg_voltage_v", "mean", F.when(valid, F.col("avg_weld_volt"))),
+        Measure("total_loss_weight_grams", "total", F.when(valid, F.col("loss_weight"))),
+        Measure("total_arc_time_minutes", "total", F.when(valid, F.col("time_span_seconds")), 1, divisor=60),
+    ]
+
+
 def sensor_averages(
     periodic: DataFrame, keys: Sequence[str] = SHIFT_KEYS, quiet: Sequence[str] = QUIET_FLAGS
 ) -> DataFrame:
     """Welding samples only: averages of six sensors and counts of deviating flags."""
-    return (
-        valid_rows(periodic, schemas.PERIODIC_GMAW)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("sample_count"),
-            mean("weld_cur", 2).alias("avg_weld_cur_a"),
-            mean("weld_volt", 2).alias("avg_weld_volt_v"),
-            mean("weld_gas", 2).alias("avg_weld_gas_lmin"),
-            mean("hs_temp", 2).alias("avg_hs_temp_c"),
-            mean("amb_temp", 2).alias("avg_amb_temp_c"),
-            mean("rpm", 2).alias("avg_rpm"),
-            _deviating("current_deviation_flag", quiet).alias("current_deviation_events"),
-            _deviating("voltage_deviation_flag", quiet).alias("voltage_deviation_events"),
-            _deviating("gas_deviation_flag", quiet).alias("gas_deviation_events"),
-        )
-    )
+    return aggregate(valid_rows(periodic, schemas.PERIODIC_GMAW), keys, sensor_measures(quiet))
 
 
 def deviation_summary(deviations: DataFrame) -> DataFrame:
     """Frequency and duration per kind of deviation; missing keys form groups of their own."""
-    return (
-        deviations.withColumnRenamed("type", "deviation_direction")
-        .groupBy(*DEVIATION_KEYS)
-        .agg(
-            F.count("*").alias("event_count"),
-            mean("span_seconds", 1).alias("avg_duration_seconds"),
-            total("span_seconds", 1, divisor=60).alias("total_duration_minutes"),
-            F.min("start_tm").alias("first_occurrence"),
-            F.max("start_tm").alias("last_occurrence"),
-        )
-    )
+    return aggregate(deviations.withColumnRenamed("type", "deviation_direction"), DEVIATION_KEYS, deviation_measures())
 
 
 def cutting_productivity(cuts: DataFrame, keys: Sequence[str] = SHIFT_KEYS) -> DataFrame:
     """Valid cuts only; a measure without a single usable row is NULL, not zero."""
-    return (
-        valid_rows(cuts, schemas.SUMMARY_GASCUTTING)
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("total_cuts"),
-            count_where(F.col("thickness_recorded")).alias("cuts_with_thickness"),
-            mean(F.when(F.col("speed_valid"), F.col("mm_per_min")), 2).alias("avg_cut_speed_mm_per_min"),
-            mean(F.when(F.col("thickness_recorded"), F.col("thickness")), 2).alias("avg_thickness_mm"),
-            total("net_travel_in_mm", 2, divisor=1000).alias("total_travel_metres"),
-            total(F.when(~F.col("lpg_below_detection"), F.col("net_lpg_consumption")), 2).alias("total_lpg_litres"),
-            total("total_o2_consumption", 2).alias("total_o2_litres"),
-        )
-    )
+    return aggregate(valid_rows(cuts, schemas.SUMMARY_GASCUTTING), keys, cutting_measures())
 
 
 def session_summary(sessions: DataFrame, keys: Sequence[str] = SHIFT_KEYS) -> DataFrame:
     """All sessions are counted, measures come from the valid ones."""
-    valid = is_valid(schemas.SUMMARY_CLAD)
-    return sessions.groupBy(*keys).agg(
-        F.count("*").alias("total_sessions"),
-        count_where(valid).alias("valid_sessions"),
-        mean(F.when(valid, F.col("avg_weld_cur")), 2).alias("avg_current_a"),
-        mean(F.when(valid, F.col("avg_weld_volt")), 2).alias("avg_voltage_v"),
-        total(F.when(valid, F.col("loss_weight")), 2).alias("total_loss_weight_grams"),
-        total(F.when(valid, F.col("time_span_seconds")), 1, divisor=60).alias("total_arc_time_minutes"),
-    )
+    return aggregate(sessions, keys, session_measures())
 
 
 def welding_averages(

@@ -215,6 +215,15 @@ def dedup_rows(spark, sf):
     return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+@query(
+    "dedup_rows_by_digest",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (SELECT DISTINCT * FROM ({_COPIES}))""",
+)
+def dedup_rows_by_digest(spark, sf):
+    kept = cleaning.drop_copies_by_digest(_with_copies(spark, sf))
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 @query(
     "duplicate_report",
     f"""SELECT a.n AS rows_in, b.n AS rows_kept, a.n - b.n AS rows_removed FROM (SELECT count(*) AS n FROM ({_COPIES})) a,
@@ -290,6 +299,34 @@ def range_labels(spark, sf):
     return labelled.groupBy("p_type", "cur_range").agg(F.count("*").alias("parts"))
 
 
+@query(
+    "range_cuts_from_data",
+    """SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS weight, TRUE AS low_close, TRUE AS high_close, TRUE AS very_high_close
+    FROM lineitem GROUP BY 1, 2""",
+)
+def range_cuts_from_data(spark, sf):
+    """Cut points of prices per kind of line, lines weighing their quantity, merged from bins of parts.
+
+    A cut is within the stated error of the exact one where the lines up to it, and
+    an error more, reach the rank's weight, and those below it, less an error, do not.
+    """
+    lines = tb.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_extendedprice", "l_quantity")
+    by = ["l_returnflag", "l_linestatus"]
+    parts = derive.value_bins(lines, [*by, "l_linenumber"], "l_extendedprice", "l_quantity")
+    cuts = derive.range_cuts(parts, by)
+    slack = derive.CUT_ERROR + 1e-9
+    weight = F.col("l_quantity").cast("decimal(24,6)")
+
+    def close(name, rank):
+        wanted = F.sum(weight) * F.lit(str(rank)).cast("decimal(10,9)")
+        reached = F.sum(F.when(F.col("l_extendedprice") <= F.col(name) / (1 - slack), weight).otherwise(0)) >= wanted
+        short = F.sum(F.when(F.col("l_extendedprice") < F.col(name) / (1 + slack), weight).otherwise(0)) < wanted
+        return (reached & short).alias(f"{name}_close")
+
+    checks = [close(name, rank) for name, rank in derive.CUT_RANKS.items()]
+    return lines.join(cuts, by).groupBy(*by).agg(F.sum(weight).cast("double").alias("weight"), *checks)
+
+
 @query(
     "business_day_in_zone",
     """SELECT event_id, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS business_date FROM events""",

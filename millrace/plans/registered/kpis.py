@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import derive, filters, kpis, ordering, sequences
-from millrace.plans import testbed as tb
+from millrace.plans import daily, testbed as tb
 from millrace.plans.registered import ORACLES, query
 from millrace.plans.testbed import sql_mean, sql_total, with_tables
 from millrace.plans.views import view
@@ -34,6 +34,16 @@ def shift_sensor_averages(spark, sf):
     return kpis.sensor_averages(tb.periodic_gmaw(spark, sf))
 
 
+@query("sensor_averages_kept_by_day", ORACLES["shift_sensor_averages"])
+def sensor_averages_kept_by_day(spark, sf):
+    """The view from stored states: all days computed once, the two newest again, merged on reading."""
+    name = "gmaw.v_gmaw_sensor_averages"
+    tables = tb.stored(spark, sf, schemas.PERIODIC_GMAW)
+    daily.refresh(name, tables, tables.root)
+    daily.refresh(name, tables, tables.root, tables.days(schemas.PERIODIC_GMAW)[:2])
+    return daily.read(spark, name, tables.root)
+
+
 @query(
     "deviation_events_long",
     with_tables(
@@ -123,6 +133,15 @@ def session_summary(spark, sf):
     return kpis.session_summary(tb.sessions(spark, sf))
 
 
+@query("session_summary_by_machine_from_days", ORACLES["session_summary"].replace(KEYS, "machine_name"))
+def session_summary_by_machine_from_days(spark, sf):
+    """Coarser groups from the same states; averages are those of all sessions, not of days."""
+    name = "clad.v_clad_session_summary"
+    tables = tb.stored(spark, sf, schemas.SUMMARY_CLAD)
+    daily.refresh(name, tables, tables.root)
+    return daily.read(spark, name, tables.root, ["machine_name"])
+
+
 @query(
     "welding_by_machine_first5",
     with_tables(

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from millrace.operators import key_bits
 from millrace.operators.repair import last_per_key
 from millrace.sources.readers import DAY as PARTITION_COLUMN, versions
 
@@ -126,10 +127,13 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], or
     """Incoming rows whose key is free; of several with one key the first in ``order`` stays.
 
     Append the result to the table. Running it twice adds nothing. Rows without a
-    whole key cannot be told apart and are left to ``incomplete_keys``.
+    whole key cannot be told apart and are left to ``incomplete_keys``. Of the table
+    only the keys are read, and only those that the incoming ones may hold are
+    shuffled.
     """
     keyed = incoming.where(_complete(keys))
-    return last_per_key(keyed, keys, order).join(existing.select(*keys), list(keys), "left_anti")
+    held = key_bits.may_match(existing.select(*keys), keyed, keys)
+    return last_per_key(keyed, keys, order).join(held, list(keys), "left_anti")
 
 
 def incomplete_keys(incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
