@@ -3,7 +3,8 @@
 A view's states are a table by business day like the facts. After days of a fact
 were loaded or patched, ``refresh`` reads these days alone and replaces their
 states; ``read`` merges the states it needs, some rows a day instead of all
-readings.
+readings. Every day costs one small file, ten years some 3,650: where days have
+few rows, computing a view from the fact is as good.
 """
 
 from __future__ import annotations

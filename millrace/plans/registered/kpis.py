@@ -97,6 +97,15 @@ def deviation_summary(spark, sf):
     return kpis.deviation_summary(tb.deviations(spark, sf))
 
 
+@query("deviation_summary_from_days", ORACLES["deviation_summary"])
+def deviation_summary_from_days(spark, sf):
+    """A view without days from the same states; averages are those of all events, not of days."""
+    name = "reference.v_deviation_summary"
+    tables = tb.stored(spark, sf, schemas.DEVIATION)
+    daily.refresh(name, tables, tables.root)
+    return daily.read(spark, name, tables.root)
+
+
 @query(
     "cutting_productivity",
     with_tables(
@@ -133,15 +142,6 @@ def session_summary(spark, sf):
     return kpis.session_summary(tb.sessions(spark, sf))
 
 
-@query("session_summary_by_machine_from_days", ORACLES["session_summary"].replace(KEYS, "machine_name"))
-def session_summary_by_machine_from_days(spark, sf):
-    """Coarser groups from the same states; averages are those of all sessions, not of days."""
-    name = "clad.v_clad_session_summary"
-    tables = tb.stored(spark, sf, schemas.SUMMARY_CLAD)
-    daily.refresh(name, tables, tables.root)
-    return daily.read(spark, name, tables.root, ["machine_name"])
-
-
 @query(
     "welding_by_machine_first5",
     with_tables(
