@@ -41,6 +41,11 @@ SKIPPED_NAMES = frozenset(
     "promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+# Words that only say what kind of part an element is.
+PLAIN_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons card container content entries entry group icons inner item items "
+    "label left line link links list module outer panel post posts right row section slot text thread top unit wrap wrapper zone".split()
+)
 NAME_ATTRIBUTES = ("class", "id", "role")
 # Parts of a text, not the whole of it.
 NO_REGION = frozenset("p li h1 h2 h3 h4 h5 h6 section blockquote ul ol dl dt dd table tbody thead tfoot tr pre figure figcaption details hgroup".split())
@@ -55,11 +60,17 @@ NAME = re.compile("[a-z0-9]+")
 CUT_TAG = re.compile(r"<[/!]?[A-Za-z-][^<>]*\Z")
 
 
+def says_furniture(name: str) -> bool:
+    """Whether a name says nothing else: ``share-buttons`` and ``ad-2`` do, ``share-price`` and ``ad-hoc-networks`` do not."""
+    words = [w for w in NAME.findall(name) if not w.isdigit()]
+    return not SKIPPED_NAMES.isdisjoint(words) and all(w in SKIPPED_NAMES or w in PLAIN_NAMES for w in words)
+
+
 class Element:
-    __slots__ = ("tag", "parent", "skipped", "named", "chars", "content", "holds_main", "in_article", "left_out", "in_region", "apart")
+    __slots__ = ("tag", "parent", "skipped", "named", "furniture", "chars", "content", "holds_main", "in_article", "left_out", "in_region", "apart")
 
-    def __init__(self, tag: str, parent: Element | None, skipped: bool, named: bool):
-        self.tag, self.parent, self.skipped, self.named = tag, parent, skipped, named
+    def __init__(self, tag: str, parent: Element | None, skipped: bool, named: bool, furniture: bool = False):
+        self.tag, self.parent, self.skipped, self.named, self.furniture = tag, parent, skipped, named, furniture
         self.chars = self.content = 0
         self.holds_main = self.in_article = self.left_out = self.in_region = self.apart = False
 
@@ -93,19 +104,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        skipped, named = tag in SKIPPED, False
+        skipped, named, furniture = tag in SKIPPED, False, False
         for name, value in attrs:
             if name in NAME_ATTRIBUTES and value:
                 if not SKIPPED_NAMES.isdisjoint(NAME.findall(value.lower())):
                     named = True
+                    furniture |= any(map(says_furniture, value.lower().split()))
             elif name == "hidden" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 skipped = True
         if tag == "header":
-            named = True
+            named = furniture = True
         if tag in BLOCKS or skipped or named:
             if tag not in BLOCKS:
                 self.end_line()
-            self.at = Element(tag, self.at, skipped, named and tag not in ("html", "body"))
+            self.at = Element(tag, self.at, skipped, named and tag not in ("html", "body"), furniture)
             self.elements.append(self.at)
             if tag in ("article", "main"):
                 up = self.at.parent
@@ -147,7 +159,10 @@ def _add_up(elements: list[Element], field: str) -> None:
 
 
 def _mark_left_out(elements: list[Element], total: int) -> None:
-    """A name leaves an element out unless it holds the article, or most of a page without one; an article's own header stays."""
+    """A name leaves an element out unless it holds the article, or most of a page without one; an article's own header stays.
+
+    Inside an article only names that say nothing but furniture count.
+    """
     for element in elements:
         up = element.parent
         if up is None:
@@ -157,7 +172,9 @@ def _mark_left_out(elements: list[Element], total: int) -> None:
         main = element.tag in ("article", "main") and not element.in_article
         # Without an article in the page, names alone may mislead.
         large = not elements[0].holds_main and element.tag != "header" and 2 * element.chars > total
-        by_name = element.named and not (element.holds_main or main or own_header or large)
+        # An article's own sections are named after what they are about.
+        told = element.furniture if element.in_article else element.named
+        by_name = told and not (element.holds_main or main or own_header or large)
         element.left_out = up.left_out or element.skipped or by_name
 
 

@@ -267,3 +267,19 @@ def test_stages(spark, documents, sentence, rng, tmp_path):
     assert left[2] == list(range(80))
     assert set(left[3]) <= set(left[2]) and left[3] == left[4] and max(map(left[3].count, left[3])) == 2
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()) == left[4]
+
+
+@pytest.mark.parametrize("name", ["related-work", "ad-hoc-networks", "share-price", "search-methods", "comment-on-proof"])
+@pytest.mark.parametrize("attribute", ["id", "class"])
+def test_sections_of_an_article_stay_whatever_they_are_called(name, attribute):
+    body = "A long paragraph about the matter, told in many words. " * 8
+    page = f"<body><nav><a>Home</a></nav><article><h1>Title</h1><p>{body}</p><section {attribute}='{name}'><h2>More</h2><p>{body}</p></section></article></body>"
+    assert html_extraction.main_text(page).count("A long paragraph") == 16
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-2", "comments", "comment-list", "share-buttons", "lead related-posts", "cookie-notice", "newsletter-signup"])
+def test_furniture_inside_an_article_goes(name):
+    body = "A long paragraph about the matter, told in many words. " * 8
+    page = f"<body><article><h1>Title</h1><p>{body}</p><div class='{name}'><p>Nothing that belongs here. {'So many words. ' * 20}</p></div><p>{body}</p></article></body>"
+    text = html_extraction.main_text(page)
+    assert "Nothing" not in text and text.count("A long paragraph") == 16
