@@ -74,11 +74,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
-           / 4503599627370496.0 AS u
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
+           / 4503599627370496.0 AS u, coalesce(md5(text), '') AS digest
   FROM documents),
 sources AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_docs,
          [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
   FROM sized GROUP BY source),
 ranked AS (
@@ -92,18 +92,20 @@ levels AS (
   SELECT *, max(CASE WHEN (wanted - room_before) / weight_left * weight < room
                      THEN (wanted - room_before) / weight_left END) OVER () AS level FROM ranked),
 targets AS (
-  SELECT source, source_size, least(room, coalesce(level * weight, room))::DOUBLE AS target FROM levels),
+  SELECT source, source_size, source_docs, least(room, coalesce(level * weight, room))::DOUBLE AS target FROM levels),
 shares AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS ratio FROM targets),
 chances AS (
   SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS chance, target - floor(ratio) * source_size AS need FROM shares),
 odds AS (
-  SELECT s.doc_id, s.size, c.*, (u / (1.0::DOUBLE - u)) * ((1.0::DOUBLE - chance) / nullif(chance, 0)) AS q, u
+  SELECT s.doc_id, s.size, s.digest, c.*, u,
+         (u / (1.0::DOUBLE - u)) * ((1.0::DOUBLE - chance) / nullif(chance, 0))
+           / CASE WHEN source_size > 0 THEN greatest(least((s.size * source_docs)::DOUBLE / source_size, 4.0::DOUBLE), 0.25::DOUBLE) ELSE 1.0::DOUBLE END AS q
   FROM sized s JOIN chances c ON s.source IS NOT DISTINCT FROM c.source),
 order_ AS (
   SELECT *, CASE WHEN chance > 0 AND chance < 1 THEN q / (1.0::DOUBLE + q) ELSE u END AS rank FROM odds),
 running AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS until
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - size / 2.0::DOUBLE AS until
   FROM order_)
 SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN chance > 0 AND until <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -152,6 +152,36 @@ def test_mix_comes_near_its_targets(documents, sentence, rng, monkeypatch):
     assert all(count.get(r.doc_id, 0) * r["size"] == r.taken for r in out)
 
 
+def test_one_key_holds_a_quarter_of_all_rows(documents, sentence, rng, monkeypatch):
+    monkeypatch.setattr(source_mixing, "SLICES", 8)
+    rows = [(i, sentence(rng.randint(1, 30)), "en", "abc"[i % 3]) for i in range(450)]
+    # One key with many texts, one row that occurs many times, and rows without a key.
+    rows += [(5000, sentence(rng.randint(1, 30)), "en", "abc"[i % 3]) for i in range(150)]
+    rows += [(6000, "one two three four five", "en", "a")] * 150 + [(None, f"no key {i % 7}", "en", "b") for i in range(60)]
+    docs = documents(rows).repartition(5)
+    out = source_mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    source_of = {r.source_size: r.target for r in out}
+    for source_size, target in source_of.items():
+        taken = [(r.taken, r["size"]) for r in out if r.source_size == source_size]
+        assert abs(sum(t for t, _ in taken) - target) <= max(n for _, n in taken) / 2 + 1e-6
+    twice = [r.taken for r in out if r.doc_id == 6000]
+    assert set(twice) <= {0, 5, 10} and len(twice) == 150
+    copies = source_mixing.repeat_documents(docs).selectExpr("size(split(trim(text), ' ')) AS n", "source").groupBy("source").sum("n").collect()
+    sizes = {s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in "abc"}
+    targets = brute_targets(sizes)
+    assert all(abs(n - targets[s]) <= 15 for s, n in copies)
+
+
+def test_longer_documents_are_likelier_to_be_repeated(documents):
+    rows = [(i, "word " * (2 if i % 2 else 8), "en", "a" if i < 3000 else "b") for i in range(4000)]
+    out = [r for r in source_mixing.mix(documents(rows), weights=(1,), share=0.5, most=2.0).collect() if r.doc_id < 3000]
+    chosen = {n: sum(r.taken > 0 for r in out if r["size"] == n) / 1500 for n in (2, 8)}
+    # Inclusion odds are 1.6 to 0.4 times those of a document of mean length.
+    odds = {n: c / (1 - c) for n, c in chosen.items()}
+    assert 3 < odds[8] / odds[2] < 5.3
+
+
 def test_mix_of_no_rows(documents):
     assert source_mixing.mix(documents([])).count() == 0
 
