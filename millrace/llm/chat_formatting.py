@@ -3,7 +3,8 @@
 Every path from a root to a leaf of a reply tree is one possible conversation.
 Paths come from self-joins that double their reach: after k rounds a leaf knows
 its ancestors up to 2**k steps away, so a thread of n replies takes log2(n)
-rounds. The branches of a tree are ranked by their scores, and each chosen one
+rounds. Each jump carries the sum of the scores it passes, so branches are ranked
+from one row per leaf; only the chosen ones are written out as paths, and each
 is formatted as one text with the character spans that training may learn from.
 
 A turn is written as
@@ -19,6 +20,7 @@ so that no text can look like a mark and every text can be read back.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -62,40 +64,85 @@ def chains(turns: DataFrame, tree: str = "conv_id", order: str = "turn", role: s
     return numbered.select("tree", "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _with_ancestor(left: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Join the rows whose ``ancestor`` has a jump; a null tree is a tree."""
-    to = jumps.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("ancestor").alias("further"))
-    return left.join(to, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("ancestor") == F.col("_node"))).drop("_tree", "_node")
+def _with_ancestor(left: DataFrame, jumps: DataFrame, how: str = "inner") -> DataFrame:
+    """Join the rows whose ``ancestor`` has a jump, with where it leads and the scores it passes; a null tree is a tree."""
+    to = jumps.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("ancestor").alias("further"), F.col("sum").alias("more"))
+    return left.join(to, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("ancestor") == F.col("_node")), how).drop("_tree", "_node")
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """``tree``, ``leaf``, ``node``, ``distance`` (replies from the leaf) of every root-to-leaf path.
+@dataclass
+class Tree:
+    """``nodes`` (tree, node, ancestor, score), the ``leaves`` whose replies reach a root, and jumps of 1, 2, 4, ... replies."""
+
+    nodes: DataFrame
+    leaves: DataFrame
+    jumps: list[DataFrame]
+
+
+def trees(messages: DataFrame) -> Tree:
+    """Jumps hold ``tree``, ``node``, ``ancestor`` and ``sum``: the scores from the node up to, but without, the ancestor.
 
-    ``messages`` has ``tree``, ``node`` and ``parent``. A message whose parent is
-    missing is a root; rows without a node are left out; a repeated node counts
-    once. Replies that go in a circle reach no root and belong to no path.
+    A message whose parent is missing is a root; rows without a node are left
+    out; of a repeated node one row counts. Replies that go in a circle reach no
+    root and belong to no path. There are as many rows as messages, times the
+    logarithm of the deepest tree.
     """
-    nodes = messages.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("ancestor"))
-    nodes = stored(nodes)
+    if "score" not in messages.columns:
+        messages = messages.withColumn("score", F.lit(0.0))
+    once = messages.where("node IS NOT NULL").groupBy("tree", "node").agg(F.min("parent").alias("ancestor"), F.min(F.struct(*_content(messages))).alias("m"))
+    nodes = stored(once.select("tree", "node", "ancestor", F.coalesce("m.score", F.lit(0.0)).cast("double").alias("score")))
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rounds = math.ceil(math.log2(most)) + 1 if most > 1 else 0
     # Parents that are there, and who is a parent.
     known = nodes.select("tree", F.col("node").alias("ancestor"))
     linked = nodes.alias("n").join(known.alias("p"), F.col("n.tree").eqNullSafe(F.col("p.tree")) & (F.col("n.ancestor") == F.col("p.ancestor")), "left_semi")
-    jump = stored(linked)
+    jump = stored(linked.select("tree", "node", "ancestor", F.col("score").alias("sum")))
     answered = jump.select(F.col("tree").alias("_tree"), F.col("ancestor").alias("_node")).distinct()
     leaves = nodes.join(answered, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
     jumps = [jump]
     for _ in range(rounds):
-        longer = _with_ancestor(jumps[-1], jumps[-1]).select("tree", "node", F.col("further").alias("ancestor"))
-        jumps.append(stored(longer))
+        longer = _with_ancestor(jumps[-1], jumps[-1])
+        jumps.append(stored(longer.select("tree", "node", F.col("further").alias("ancestor"), (F.col("sum") + F.col("more")).alias("sum"))))
     circular = jumps[-1].select(F.col("tree").alias("_tree"), F.col("node").alias("_node"))
     ends = leaves.join(circular, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node")), "left_anti")
-    paths = ends.select("tree", F.col("node").alias("leaf"), F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
-    for k, jump in enumerate(jumps[:-1] if rounds else []):
-        further = _with_ancestor(paths, jump).select("tree", "leaf", F.col("further").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
-        paths = stored(paths.unionAll(further))
-    return paths.withColumnRenamed("ancestor", "node")
+    return Tree(nodes, ends.select("tree", F.col("node").alias("leaf")), jumps[:-1] if rounds else [])
+
+
+def _content(messages: DataFrame) -> list[str]:
+    return [c for c in ("parent", "role", "text", "score") if c in messages.columns]
+
+
+def totals(tree: Tree) -> DataFrame:
+    """``tree``, ``leaf``, ``score`` and ``length`` of every path: the longest jumps first, one row per leaf all along."""
+    at = tree.leaves.select("tree", "leaf", F.col("leaf").alias("ancestor"), F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("length"))
+    for k in reversed(range(len(tree.jumps))):
+        moved = _with_ancestor(at, tree.jumps[k], "left")
+        at = moved.select(
+            "tree",
+            "leaf",
+            F.coalesce("further", "ancestor").alias("ancestor"),
+            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+            (F.col("length") + F.when(F.col("further").isNull(), 0).otherwise(1 << k)).alias("length"),
+        )
+        at = stored(at)
+    # What is left is the root's own score.
+    roots = tree.nodes.select("tree", "node", F.col("node").alias("ancestor"), F.col("score").alias("sum"))
+    return _with_ancestor(at, roots).select("tree", "leaf", (F.col("score") + F.col("more")).alias("score"), "length")
+
+
+def paths(tree: Tree, leaves: DataFrame) -> DataFrame:
+    """``tree``, ``leaf``, ``node``, ``distance`` (replies from the leaf) of the paths to the given ``leaves``."""
+    steps = leaves.select("tree", "leaf", F.col("leaf").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
+    for k, jump in enumerate(tree.jumps):
+        further = _with_ancestor(steps, jump).select("tree", "leaf", F.col("further").alias("ancestor"), (F.col("distance") + (1 << k)).alias("distance"))
+        steps = stored(steps.unionAll(further))
+    return steps.withColumnRenamed("ancestor", "node")
+
+
+def branches(messages: DataFrame) -> DataFrame:
+    """``tree``, ``leaf``, ``node``, ``distance`` of every root-to-leaf path; see ``trees`` for what counts as one."""
+    tree = trees(messages)
+    return paths(tree, tree.leaves)
 
 
 def format_branches(messages: DataFrame, best: int = 1, learned: str = LEARNED_ROLE) -> DataFrame:
@@ -113,13 +160,15 @@ def format_branches(messages: DataFrame, best: int = 1, learned: str = LEARNED_R
         F.col("node").alias("_node"),
         F.coalesce("m.role", F.lit("")).alias("role"),
         F.coalesce("m.text", F.lit("")).alias("text"),
-        F.coalesce("m.score", F.lit(0.0)).alias("score"),
     )
     same = F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("node") == F.col("_node"))
-    steps = branches(messages)
-    scored = steps.join(content.select("_tree", "_node", "score"), same).groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.count("*").alias("length"))
+    tree = trees(messages)
+    scored = totals(tree)
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf")
     chosen = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    # Written once: the paths of the chosen leaves, and no others, follow from it.
+    chosen = stored(chosen.select("tree", "leaf", "rank", "score"))
+    steps = paths(tree, chosen)
     chosen = chosen.select(F.col("tree").alias("c_tree"), F.col("leaf").alias("c_leaf"), "rank", F.col("score").alias("branch_score"))
     of_chosen = F.col("tree").eqNullSafe(F.col("c_tree")) & (F.col("leaf") == F.col("c_leaf"))
     rows = steps.join(chosen, of_chosen).drop("c_tree", "c_leaf").join(content, same).drop("_tree", "_node")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.shared import slices
+from millrace.llm.shared import give_back, slices
 
 UNKNOWN = "und"
 ORDER = 3
@@ -201,6 +201,11 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     return freeze([tuple(row) for row in context_counts(chosen).collect()])
 
 
+VERDICT = "lang_pred string, score double, bits_per_byte double"
+# Texts unpacked at once.
+SLICE = 1000
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
@@ -212,26 +217,31 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text: str = "text
     text when nothing was learned, is ``und`` with score 0. Ties go to the first
     language in order. Repeated rows are each answered.
     """
-    rows = docs.select(*columns, F.when(has_letter(F.col(text)), F.col(text)).alias("_text"))
-    schema = rows.drop("_text").withColumns(
-        {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}
-    ).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only texts go to Python; the other columns, whole rows too, stay in the JVM.
+    @F.arrow_udf(VERDICT)
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trees = shared.value
-        for batch in slices(batches):
-            texts = [v.encode() if v else b"" for v in batch.column(batch.num_columns - 1).to_pylist()]
-            names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if trees.languages:
-                bits = trees.code_lengths(texts)
-                best = bits.argmin(axis=1)
-                least = bits.min(axis=1)
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                for i, value in enumerate(texts):
-                    if value:
-                        names[i], scores[i], rates[i] = trees.languages[best[i]], share[i], least[i] / len(value)
-            data = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores), pa.array(rates)]
-            yield pa.RecordBatch.from_arrays(data, schema.fieldNames())
-
-    return rows.mapInArrow(run, schema)
+        for batch in texts:
+            parts = [_verdicts(trees, batch.slice(at, SLICE)) for at in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else _verdicts(trees, batch)
+        give_back()
+
+    # Asked once a row, whatever is filtered by it afterwards.
+    rows = docs.select(*columns, judge.asNondeterministic()(F.when(has_letter(F.col(text)), F.col(text))).alias("_verdict"))
+    return rows.select(*columns, "_verdict.*")
+
+
+def _verdicts(trees: Model, column: pa.Array) -> pa.StructArray:
+    texts = [v.encode() if v else b"" for v in column.to_pylist()]
+    names, scores, rates = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    if trees.languages and texts:
+        bits = trees.code_lengths(texts)
+        best = bits.argmin(axis=1)
+        least = bits.min(axis=1)
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+        for i, value in enumerate(texts):
+            if value:
+                names[i], scores[i], rates[i] = trees.languages[best[i]], share[i], least[i] / len(value)
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], ["lang_pred", "score", "bits_per_byte"])

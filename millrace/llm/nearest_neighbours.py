@@ -21,11 +21,15 @@ from millrace.llm.shared import stored
 # The network is fitted on at most so many vectors, drawn by a hash of their number.
 SAMPLE = 4096
 GRAPH_DEGREE = 10
-# Parts double with the table so that one holds about so many rows, within these bounds.
-PART_ROWS, MOST_PARTS = 2048, 256
+# Nearest neighbours that visits must reach.
+VISIT_DEGREE = 5
+# Parts double with the table so that one holds about so many rows, within these bounds; tables of a handful have one.
+PART_ROWS, LEAST_PARTS, MOST_PARTS, HANDFUL = 512, 8, 256, 128
+# This share of the sample is kept from the network and decides how many parts are visited.
+HELD_SHARE = 0.2
 HIDDEN, EPOCHS, BATCH, RATE = 128, 40, 256, 3e-3
-# Parts are visited until they hold this share of a sample vector's neighbours.
-WANTED_RECALL = 0.95
+# Parts are visited until they hold this share of the neighbours of sample vectors that the network has not seen.
+WANTED_RECALL = 0.97
 # Rows and queries of one comparison.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
@@ -98,13 +102,14 @@ def balanced_parts(graph: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def train(unit: np.ndarray, parts: int) -> Router:
-    """Fit the network to the parts of each vector's neighbours and choose the number of visits."""
-    if parts == 1:
-        return Router([], 1, 1)
+def train(whole: np.ndarray, parts: int) -> Router:
+    """Fit the network to the parts of each vector's neighbours and choose the number of visits on vectors kept from it."""
+    rng = np.random.default_rng(7)
+    kept = np.zeros(len(whole), bool)
+    kept[rng.permutation(len(whole))[: max(1, int(len(whole) * HELD_SHARE))]] = True
+    unit = whole[~kept]
     graph = neighbour_graph(unit, min(GRAPH_DEGREE, len(unit) - 1))
     part = balanced_parts(graph, parts)
-    rng = np.random.default_rng(7)
     target = np.zeros((len(unit), parts), np.float32)
     target[np.arange(len(unit)), part] = 1
     np.add.at(target, (np.arange(len(unit))[:, None], part[graph]), 1)
@@ -132,11 +137,10 @@ def train(unit: np.ndarray, parts: int) -> Router:
                 s += 0.001 * (g * g - s)
                 w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     # Rows are placed by the network, so visits are counted in its own parts.
-    p = router.probabilities(unit)
-    placed = p.argmax(axis=1)
-    order = np.argsort(-p, axis=1)
-    rank = np.argsort(order, axis=1)
-    needed = rank[np.arange(len(unit))[:, None], placed[graph]]
+    placed = router.probabilities(whole).argmax(axis=1)
+    near = neighbour_graph(whole, min(VISIT_DEGREE, len(whole) - 1))[kept]
+    rank = np.argsort(np.argsort(-router.probabilities(whole[kept]), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(rank, placed[near], axis=1)
     found = np.array([(needed < v).mean() for v in range(1, parts + 1)])
     router.visits = int(np.argmax(found >= WANTED_RECALL)) + 1 if found[-1] >= WANTED_RECALL else parts
     return router
@@ -159,15 +163,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, size: int, rows: int, key: str, embedding: str, sample: int = SAMPLE) -> Router:
     """Fit on at most about ``sample`` rows, which the driver holds meanwhile."""
-    parts = 1
+    if rows < HANDFUL:
+        return Router([], 1, 1)
+    parts = LEAST_PARTS
     while parts < MOST_PARTS and parts * PART_ROWS * 2 <= rows * 1.5:
         parts *= 2
-    if parts == 1:
-        return Router([], 1, 1)
     share = min(1.0, sample / rows)
     drawn = vectors.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(key, embedding).limit(2 * sample)
     taken = drawn.orderBy(key).toArrow()
-    return train(_unit(_matrix(taken.column(1), size)), parts) if taken.num_rows >= 8 * parts else Router([], 1, 1)
+    # A sample that is small by chance gives fewer parts.
+    while parts > LEAST_PARTS and taken.num_rows < 10 * parts:
+        parts //= 2
+    return train(_unit(_matrix(taken.column(1), size)), parts)
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:

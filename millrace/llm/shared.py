@@ -100,6 +100,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system."""
     pa.default_memory_pool().release_unused()
     if hasattr(LIBC, "malloc_trim"):
         LIBC.malloc_trim(0)
