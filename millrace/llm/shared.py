@@ -66,14 +66,14 @@ def write(df: DataFrame, path: str, rows: int = 1000) -> None:
         df.write.parquet(path)
 
 
-def stored(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, kept: list[str] | None = None, rows: int = 1000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The folder's name is added to ``kept``, for ``remove`` once nothing reads it any more.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    write(df, path)
+    write(df, path, rows)
     if kept is not None:
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -103,6 +103,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     give_back()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to ``rows`` rows and ``size`` bytes, or as they come where they are larger.
+
+    Batches that are small on their way keep Spark's buffers small, which it holds outside its heap.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > rows or sum(b.nbytes for b in held) + batch.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+    give_back()
+
+
 def give_back() -> None:
     """Freed memory of this worker goes back to the system."""
     pa.default_memory_pool().release_unused()

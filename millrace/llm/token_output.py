@@ -29,7 +29,8 @@ import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from millrace.llm.shared import shared_folder, slices, write
+from millrace.llm.shared import gathered, give_back, shared_folder, stored, write
+from millrace.session import setting
 
 MAGIC = b"PFR1"
 BLOCK = 128
@@ -44,6 +45,10 @@ REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 400_000
 # Texts are encoded in runs of at most so many bytes.
 RUN_BYTES = 6 << 20
 
+# Rows at a time between Spark and Python: texts, of which so many are encoded at once, and segments of some 100 KB each.
+TEXT_ROWS, RUN_ROWS, SEGMENT_ROWS = 250, 2000, 16
+READER_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
 SEGMENTS = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
@@ -278,7 +283,7 @@ def write_tokens(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
-        for batch in slices(batches, 2000):
+        for batch in gathered(batches, RUN_ROWS, RUN_BYTES):
             for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1))):
                 parts.append(ids + end)
                 keys.append(k)
@@ -291,7 +296,7 @@ def write_tokens(
         if forget:
             encoder.cache_clear()
 
-    write(ordered.mapInArrow(run, SEGMENTS), path, rows=2000)
+    write(ordered.mapInArrow(run, SEGMENTS), path, rows=TEXT_ROWS)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -299,6 +304,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool =
 
     ``start`` is the number of ids in front of the document over the whole data
     set. Only one row per shard, its number of ids, is added up in one place.
+    Segments go to Python as many at a time as the session's batches have rows.
     """
     segments = spark.read.schema(SEGMENTS).parquet(path)
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -308,6 +314,9 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool =
     columns = [key, "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Workers that wrote the files remember words for nothing now.
+        encoder.cache_clear()
+        give_back()
         for batch in batches:
             for row in batch.to_pylist():
                 lengths = np.array(row["lengths"], np.int64)
@@ -339,8 +348,12 @@ def encode_documents(
     remembered: int = REMEMBERED_WORDS,
     forget: bool = False,
 ) -> DataFrame:
-    """Write the token files (to a new shared folder unless ``path`` is given) and index them from what was written."""
+    """Write the token files (to a new shared folder unless ``path`` is given) and index them from what was written.
+
+    The index is stored, so that segments are read a few at a time whatever the session's batches.
+    """
     spark = docs.sparkSession
     path = path or shared_folder(spark)
     write_tokens(docs, path, tokenizer, end_id, key, text, remembered, forget)
-    return read_tokens(spark, path, key)
+    with setting(spark, READER_ROWS, str(SEGMENT_ROWS)):
+        return stored(read_tokens(spark, path, key), rows=SEGMENT_ROWS)

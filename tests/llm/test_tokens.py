@@ -10,7 +10,7 @@ import tokenizers
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import token_counts, token_output
+from millrace.llm import shared, token_counts, token_output
 from millrace.llm.shared import tokenizer_path
 
 PIECES, WORDS = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
@@ -112,3 +112,28 @@ def test_files_hold_every_document(spark, documents, tmp_path, monkeypatch):
 
 def test_files_of_no_rows(documents, tmp_path):
     assert token_output.encode_documents(documents([]), WORDS, 2, str(tmp_path / "none")).count() == 0
+
+
+def test_segments_are_read_a_few_at_a_time(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "SEGMENT_IDS", 3)
+    rows = [(i, f"some words {i}") for i in range(300)]
+    path = str(tmp_path / "tokens")
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index = token_output.encode_documents(documents(rows), WORDS, 2, path)
+    # The index is read as it is stored: no segment goes to Python in the session's larger batches.
+    plan = index._jdf.queryExecution().toString()
+    assert path not in plan and "MapInArrow" not in plan
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batches
+    assert [tuple(r) for r in index.orderBy("start").collect()] == [tuple(r) for r in token_output.read_tokens(spark, path).orderBy("start").collect()]
+    assert index.count() == 300
+
+
+def test_small_batches_are_gathered():
+    whole = pa.RecordBatch.from_arrays([pa.array([str(i) * (i % 7) for i in range(100)])], ["text"])
+    parts = [whole.slice(at, 9) for at in range(0, 100, 9)]
+    got = list(shared.gathered(iter(parts), 20, 1 << 20))
+    assert [b.num_rows for b in got] == [18, 18, 18, 18, 18, 10]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([whole]))
+    # What is larger than asked for passes as it is.
+    assert [b.num_rows for b in shared.gathered(iter(parts), 20, 1)] == [b.num_rows for b in parts]
+    assert list(shared.gathered(iter([]), 20, 1)) == []
