@@ -39,7 +39,7 @@ def on_day(df: DataFrame, t: Tables | None = None, fact: str | None = None, days
     return df.where(F.col(DAY) == F.date_sub(latest_day(df, t, fact), days_back))
 
 
-def last_days(df: DataFrame, t: Tables | None = None, fact: str | None = None, days: int = 7) -> DataFrame:
+def last_days(df: DataFrame, days: int = 7, t: Tables | None = None, fact: str | None = None) -> DataFrame:
     last = latest_day(df, t, fact)
     return df.where((F.col(DAY) > F.date_sub(last, days)) & (F.col(DAY) <= last))
 
@@ -88,7 +88,7 @@ def lpg_by_shift_from_cuts(t: Tables) -> DataFrame:
 
 def sessions_this_week(t: Tables) -> DataFrame:
     """Cladding sessions by day, shift and machine this week."""
-    return kpis.session_summary(last_days(t[schemas.SUMMARY_CLAD], t, schemas.SUMMARY_CLAD))
+    return kpis.session_summary(last_days(t[schemas.SUMMARY_CLAD], t=t, fact=schemas.SUMMARY_CLAD))
 
 
 def latest_deviations(t: Tables, n: int = ordering.DEFAULT_LIMIT, tie: tuple[str, ...] = ("hardware_id", "parameter")) -> DataFrame:
@@ -151,7 +151,7 @@ def machine_current_today(t: Tables, machine: str) -> DataFrame:
 
 def best_machine_this_week(t: Tables) -> DataFrame:
     """Machine with the highest arc efficiency this week."""
-    week = last_days(view("gmaw.v_gmaw_shift_efficiency", t), t, schemas.DERIVED_GMAW).where(plausible_efficiency())
+    week = last_days(view("gmaw.v_gmaw_shift_efficiency", t), t=t, fact=schemas.DERIVED_GMAW).where(plausible_efficiency())
     return ordering.top(
         _average_efficiency(week, "machine_name"), 1, F.desc("avg_arc_efficiency_pct"), "machine_name"
     )
