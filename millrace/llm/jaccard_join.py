@@ -288,37 +288,60 @@ def open_pairs(lists: DataFrame, labels: DataFrame, bounds: DataFrame, percent:
     known = stored(known.select("shingle", "node", "n", "pos", F.coalesce("component", "node").alias("component"), "before", "held", "hub", "inside", "loose"), kept)
     mixed = known.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     rows = stored(known.join(mixed, "shingle", "left_semi"), kept)
+    distinct = met_pairs(rows, percent)
+    # Overlap of the first fragment alone, before whole sets are fetched.
+    first = rows.groupBy("node").agg(F.collect_set("shingle").alias("shared"))
+    one = first.select(F.col("node").alias("a"), F.col("shared").alias("s_a"))
+    two = first.select(F.col("node").alias("b"), F.col("shared").alias("s_b"))
+    counted = distinct.join(one, "a").join(two, "b").withColumn("count", F.size(F.array_intersect("s_a", "s_b")))
+    return counted.where(meet_often(F.col("count"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+
+
+def met_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of one list that may still link, once each, the smaller node first: see ``open_pairs``.
+
+    All that concerns one row alone is worked out before the join, and the bounds
+    on an overlap are compared at once in whole numbers: the join's loop stays
+    short, as the JVM's compiler takes hundreds of MB for a long one.
+    """
     counts = rows.groupBy("shingle", "component").count()
     largest = counts.groupBy("shingle").agg(F.max(F.struct("count", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
-    marked = rows.join(largest, "shingle").withColumn("minor", F.col("component") != F.col("largest")).drop("largest")
-    columns = ("node", "n", "pos", "component", "before", "held", "hub", "inside", "loose")
+    marked = rows.join(largest, "shingle").select(
+        "shingle", "node", "n", "pos", "component", "before", "held", "hub", "inside", "loose",
+        (F.col("component") != F.col("largest")).alias("minor"),
+        (F.ceil(F.col("n") * percent / F.lit(100)) - 1).alias("rest"),
+        (F.col("n") - F.col("pos")).alias("ahead"),
+        (F.col("n") - F.col("inside")).alias("outside"),
+    )
+    columns = ("node", "n", "pos", "component", "before", "held", "hub", "inside", "loose", "rest", "ahead", "outside")
     left = marked.where("minor").select("shingle", *[F.col(c).alias(f"{c}1") for c in columns])
-    wanted = (F.col("n1") + F.col("n")) * percent
-
-    def enough(most: Column) -> Column:
-        return most * (100 + percent) >= wanted
 
-    outside = F.least(F.col("n1") - F.col("inside1"), F.col("n") - F.col("inside"))
-    outside = F.when(F.col("loose1").isNotNull() & F.col("loose").isNotNull(), F.least("loose1", "loose")).otherwise(outside)
-    settled = (F.col("hub1") == F.col("hub")) & ~enough(F.least("inside1", "inside") + outside)
+    def least(name: str) -> Column:
+        return F.least(f"{name}1", name)
+
+    outside = F.when(F.col("loose1").isNotNull() & F.col("loose").isNotNull(), least("loose")).otherwise(least("outside"))
+    most = F.least(
+        # As in meet_often: so many meetings at most, and the larger rest.
+        least("held") + F.greatest("rest1", "rest"),
+        # What the two can still share from this shingle on, and before it.
+        least("ahead") + least("pos"),
+        # Null, and so without effect, unless both have the same hub.
+        F.when(F.col("hub1") == F.col("hub"), least("inside") + outside),
+    )
     pairs = left.join(marked, "shingle").where(
         (F.col("component1") != F.col("component"))
         & (~F.col("minor") | (F.col("node1") < F.col("node")))
         & ~F.coalesce(F.col("before1") == F.col("before"), F.lit(False))
-        & meet_often(F.least("held1", "held"), F.col("n1"), F.col("n"), percent)
-        # What the two can still share from this shingle on, and before it, must suffice.
-        & enough(F.least(F.col("n1") - F.col("pos1"), F.col("n") - F.col("pos")) + F.least("pos1", "pos"))
-        & ~F.coalesce(settled, F.lit(False))
+        & sizes_agree(F.col("n1"), F.col("n"), percent)
+        & (most * (100 + percent) >= (F.col("n1") + F.col("n")) * percent)
     )
-    one, two = F.struct(F.col("node1").alias("node"), F.col("n1").alias("n")), F.struct("node", "n")
-    ordered = pairs.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
-    distinct = ordered.select(F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("y.node").alias("b"), F.col("y.n").alias("n_b"))
-    # Overlap of the first fragment alone, before whole sets are fetched.
-    first = rows.groupBy("node").agg(F.collect_set("shingle").alias("shared"))
-    one = first.select(F.col("node").alias("a"), F.col("shared").alias("s_a"))
-    two = first.select(F.col("node").alias("b"), F.col("shared").alias("s_b"))
-    counted = distinct.join(one, "a").join(two, "b").withColumn("count", F.size(F.array_intersect("s_a", "s_b")))
-    return counted.where(meet_often(F.col("count"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b")
+    in_order = F.col("node1") < F.col("node")
+    return pairs.select(
+        least("node").alias("a"),
+        F.when(in_order, F.col("n1")).otherwise(F.col("n")).alias("n_a"),
+        F.greatest("node1", "node").alias("b"),
+        F.when(in_order, F.col("n")).otherwise(F.col("n1")).alias("n_b"),
+    ).distinct()
 
 
 def key_place(key: Column) -> Column:
