@@ -1,6 +1,7 @@
 """Near duplicates, decontamination and nearest neighbours against brute force."""
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard_join, nearest_neighbours
 from millrace.llm.components import components
+from millrace.session import setting
 
 
 def brute_shingles(text):
@@ -124,6 +126,43 @@ def test_one_row_of_each_group_stays_with_repeated_keys(documents, sentence):
     assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "row", "digest"]
 
 
+def test_join_of_open_pairs_is_a_short_loop(spark, capsys):
+    """The JVM's compiler took 422 MB for a method of 5,869 bytes."""
+    lists = spark.createDataFrame(
+        [(s, node, 10, 500, s, 1, True) for s in range(3) for node in range(6)],
+        "shingle long, node long, n int, own int, pos int, bucket int, common boolean",
+    )
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    bounds = spark.createDataFrame([(0, 1, 9, 1), (1, 1, 10, 0)], "node long, hub long, inside long, loose long")
+    with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        pairs = jaccard_join.open_pairs(lists, labels, bounds, 80, [])
+        capsys.readouterr()
+        pairs.explain("codegen")
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 5000
+        # All pairs but the linked one: those that share the first shingles, once each.
+        assert sorted((r.a, r.b) for r in pairs.collect()) == sorted({*combinations(range(6), 2)} - {(0, 1)})
+
+
+def test_pairs_that_met_too_rarely_are_left_out(spark):
+    """The bounds on one row each give what ``meet_often`` and the overlap with a common hub give per pair."""
+    rng = random.Random(5)
+    nodes = [(i, n := rng.randrange(5, 60), rng.randrange(n // 5 + 1), rng.randrange(1, 12), rng.choice([None, 1, 2]), rng.randrange(n + 1), rng.choice([None, 0, 3])) for i in range(60)]
+    rows = [(7, i, n, pos, i, None, held, hub, inside if hub else None, loose if hub else None) for i, n, pos, held, hub, inside, loose in nodes]
+    table = spark.createDataFrame(rows, "shingle long, node long, n int, pos int, component long, before long, held long, hub long, inside long, loose long")
+    want = []
+    for (i, n, pos, held, hub, inside, loose), (j, m, pos2, held2, hub2, inside2, loose2) in combinations(nodes, 2):
+        overlap, rest = -(-80 * (n + m) // 180), -(-80 * max(n, m) // 100) - 1
+        most = min(n - pos, m - pos2) + min(pos, pos2)
+        if hub and hub == hub2:
+            both = loose is not None and loose2 is not None
+            most = min(most, min(inside, inside2) + (min(loose, loose2) if both else min(n - inside, m - inside2)))
+        if 100 * min(n, m) >= 80 * max(n, m) and min(held, held2) >= overlap - rest and most >= overlap:
+            want.append((i, n, j, m))
+    assert want
+    assert sorted(tuple(r) for r in jaccard_join.met_pairs(table, 80).collect()) == want
+
+
 def test_components_of_long_chains(spark, values):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 7), (3, 3), (-5, 9)]
     df = components(spark.createDataFrame(edges, "a long, b long"))
