@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm import decontamination, jaccard_join, language_id, source_mixing, token_output
-from millrace.llm.shared import held_out, small_batches, stored, table, tokenizer_path
+from millrace.llm.shared import held_out, plain_reads, small_batches, stored, table, tokenizer_path
 
 # A text that costs this many bits a byte is not shortened by any language's statistics.
 MOST_BITS_PER_BYTE = 8.0
@@ -19,6 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop what has no letter and what no learned language explains better than bytes at random; learns from ``docs``."""
     # What this stage returns runs whole rows through Python when it is written.
     small_batches(spark)
+    plain_reads(spark)
     model = language_id.learn(docs.where(~held_out()))
     # Whole rows in one column: whatever else they hold cannot clash with the verdict.
     rows = docs.select(F.struct("*").alias("row"), "text")
@@ -28,23 +29,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that with the smallest number; texts without words stay all."""
+    plain_reads(spark)
     return jaccard_join.keep_first(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    plain_reads(spark)
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    plain_reads(spark)
     return source_mixing.repeat_documents(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and the place of each document in them."""
-    # Workers that run the other stages too hold more: fewer words are remembered, and none when a task ends.
-    return token_output.encode_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, remembered=100_000, forget=True)
+    plain_reads(spark)
+    # Workers that run the other stages too hold more: texts go in shorter runs, fewer words are remembered, and none when a task ends.
+    path = tokenizer_path("word_bpe_49k.json")
+    return token_output.encode_documents(docs, path, end_id=2, remembered=100_000, forget=True, run_bytes=1 << 20)
 
 
 STAGES = [

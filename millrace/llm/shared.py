@@ -57,13 +57,15 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def write(df: DataFrame, path: str, rows: int = 1000) -> None:
+def write(df: DataFrame, path: str, rows: int = 1000, page_rows: int | None = None) -> None:
     """Write as Parquet, with ``rows`` whole texts at a time between Spark and Python.
 
     The shuffle files behind it go at once rather than when the driver collects garbage.
+    Pages are compressed and read whole, outside the heap; ``page_rows`` keeps those of large rows small.
     """
+    writer = df.write if page_rows is None else df.write.option("parquet.page.size.row.check.min", page_rows)
     with setting(df.sparkSession, DROP_SHUFFLES, "true"), setting(df.sparkSession, BATCH_ROWS, str(rows)):
-        df.write.parquet(path)
+        writer.parquet(path)
 
 
 def stored(df: DataFrame, kept: list[str] | None = None, rows: int = 1000) -> DataFrame:
@@ -91,6 +93,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(BATCH_ROWS, str(rows))
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Columns are read in small pieces, for the rest of the session.
+
+    A vectored read fetches a whole column of a row group into one buffer outside
+    the heap, which the reading thread then keeps for as long as it lives.
+    """
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, which bounds what a task unpacks at once.
 

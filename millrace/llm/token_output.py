@@ -42,12 +42,14 @@ SEGMENT_IDS = 1 << 16
 # Words up to this many characters are remembered per worker, in two generations of at most so many.
 REMEMBERED_LENGTH, REMEMBERED_WORDS = 32, 400_000
 
-# Texts are encoded in runs of at most so many bytes.
+# Texts are encoded in runs of at most so many bytes, unless another number is asked for.
 RUN_BYTES = 6 << 20
 
 # Rows at a time between Spark and Python: texts, of which so many are encoded at once, and segments of some 100 KB each.
 TEXT_ROWS, RUN_ROWS, SEGMENT_ROWS = 250, 2000, 16
 READER_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+# A page's size is looked at after so many segments; after 100, as usual, it would hold a whole file's.
+PAGE_ROWS = 8
 
 SEGMENTS = T.StructType(
     [
@@ -147,9 +149,9 @@ class WordEncoder(dict):
     the marks apart, which is tried out first.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS, run_bytes: int | None = None):
         super().__init__()
-        self.remembered = remembered
+        self.remembered, self.run_bytes = remembered, run_bytes
         self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -197,14 +199,14 @@ class WordEncoder(dict):
         """Little-endian 32-bit ids of each text."""
         if not self.by_word:
             return [array("I", self.encode(text)).tobytes() for text in texts.to_pylist()]
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        sizes, most = pc.binary_length(texts).to_numpy(zero_copy_only=False), self.run_bytes or RUN_BYTES
         out, at, held = [], 0, 0
         for i, size in enumerate(sizes):
-            if size > RUN_BYTES:
+            if size > most:
                 out += self._run(texts[at:i])
-                out.append(b"".join(b"".join(self._run(pa.array([part]))) for part in _cut(texts[i].as_py())))
+                out.append(b"".join(b"".join(self._run(pa.array([part]))) for part in _cut(texts[i].as_py(), most)))
                 at, held = i + 1, 0
-            elif held + size > RUN_BYTES:
+            elif held + size > most:
                 out += self._run(texts[at:i])
                 at, held = i, size
             else:
@@ -231,11 +233,11 @@ class WordEncoder(dict):
         return [ids[i:j].tobytes() for i, j in zip(at, at[1:])]
 
 
-def _cut(text: str) -> Iterator[str]:
+def _cut(text: str, size: int) -> Iterator[str]:
     """Pieces of a very long text, cut at blanks."""
     at = 0
     while at < len(text):
-        end = at + RUN_BYTES
+        end = at + size
         if end < len(text):
             end = text.rfind(" ", at, end) + 1 or text.find(" ", end) + 1 or len(text)
         yield text[at:end]
@@ -243,8 +245,8 @@ def _cut(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, remembered: int = REMEMBERED_WORDS) -> WordEncoder:
-    return WordEncoder(path, remembered)
+def encoder(path: str, remembered: int = REMEMBERED_WORDS, run_bytes: int | None = None) -> WordEncoder:
+    return WordEncoder(path, remembered, run_bytes)
 
 
 def write_tokens(
@@ -256,14 +258,15 @@ def write_tokens(
     text: str = "text",
     remembered: int = REMEMBERED_WORDS,
     forget: bool = False,
+    run_bytes: int | None = None,
 ) -> None:
     """Write the ids of all texts to ``path`` in ascending key order.
 
     Rows are dealt out by ranges of the key, so shards follow the key order and
     no task holds more than a range; equal keys are ordered by a hash of the text and each
     kept, a null key comes first, a null text counts as empty. Memory per task:
-    one segment, the longest document, and twice ``remembered`` words per worker
-    (some 200 bytes each). With ``forget`` a worker gives words and tokenizer up
+    one segment, the longest document, some ten times ``run_bytes``, and twice
+    ``remembered`` words per worker (some 200 bytes each). With ``forget`` a worker gives words and tokenizer up
     at the end of each task, for the steps that follow it.
     """
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -271,7 +274,7 @@ def write_tokens(
     ordered = texts.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, remembered)
+        encode = encoder(tokenizer, remembered, run_bytes)
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
         parts: list[bytes] = []
@@ -283,7 +286,7 @@ def write_tokens(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], SEGMENTS.fieldNames())
 
-        for batch in gathered(batches, RUN_ROWS, RUN_BYTES):
+        for batch in gathered(batches, RUN_ROWS, run_bytes or RUN_BYTES):
             for k, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1))):
                 parts.append(ids + end)
                 keys.append(k)
@@ -294,9 +297,11 @@ def write_tokens(
         if keys:
             yield closed()
         if forget:
+            del encode
             encoder.cache_clear()
+            give_back()
 
-    write(ordered.mapInArrow(run, SEGMENTS), path, rows=TEXT_ROWS)
+    write(ordered.mapInArrow(run, SEGMENTS), path, rows=TEXT_ROWS, page_rows=PAGE_ROWS)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", ids: bool = False) -> DataFrame:
@@ -347,6 +352,7 @@ def encode_documents(
     text: str = "text",
     remembered: int = REMEMBERED_WORDS,
     forget: bool = False,
+    run_bytes: int | None = None,
 ) -> DataFrame:
     """Write the token files (to a new shared folder unless ``path`` is given) and index them from what was written.
 
@@ -354,6 +360,6 @@ def encode_documents(
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark)
-    write_tokens(docs, path, tokenizer, end_id, key, text, remembered, forget)
+    write_tokens(docs, path, tokenizer, end_id, key, text, remembered, forget, run_bytes)
     with setting(spark, READER_ROWS, str(SEGMENT_ROWS)):
         return stored(read_tokens(spark, path, key), rows=SEGMENT_ROWS)

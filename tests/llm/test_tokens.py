@@ -137,3 +137,63 @@ def test_small_batches_are_gathered():
     # What is larger than asked for passes as it is.
     assert [b.num_rows for b in shared.gathered(iter(parts), 20, 1)] == [b.num_rows for b in parts]
     assert list(shared.gathered(iter([]), 20, 1)) == []
+
+
+def test_shorter_runs_give_the_same_ids():
+    texts = pa.array([t or "" for t in TRICKY])
+    short = token_output.WordEncoder(WORDS, run_bytes=40)
+    assert short.ids(texts) == token_output.WordEncoder(WORDS).ids(texts)
+    # No run is longer than asked for, unless a single word is.
+    runs = []
+    short._run, run = lambda part: runs.append(part) or run(part), short._run
+    short.ids(texts)
+    assert all(sum(len(t.encode()) for t in part.to_pylist()) <= 40 for part in runs if len(part) > 1)
+    assert len(runs) > 1
+
+
+def page_sizes(spark, file):
+    """Bytes of the pages of a Parquet file's last column."""
+    jvm = spark._jvm.org.apache
+    source = jvm.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.hadoop.fs.Path(str(file)), spark._jsc.hadoopConfiguration())
+    reader = jvm.parquet.hadoop.ParquetFileReader.open(source)
+    column, sizes = list(reader.getFileMetaData().getSchema().getColumns())[-1], []
+    while (group := reader.readNextRowGroup()) is not None:
+        pages = group.getPageReader(column)
+        while (page := pages.readPage()) is not None:
+            sizes.append(page.getUncompressedSize())
+    reader.close()
+    return sizes
+
+
+def test_pages_of_large_rows_are_small(spark, tmp_path):
+    rows = spark.range(0, 64, 1, 1).selectExpr("id", "CAST(repeat(sha2(CAST(id AS string), 512), 2000) AS binary) AS payload")
+    shared.write(rows, str(tmp_path / "usual"))
+    shared.write(rows, str(tmp_path / "small"), page_rows=8)
+    pages = {}
+    for name in ("usual", "small"):
+        found = spark.read.parquet(str(tmp_path / name))
+        assert found.exceptAll(rows).isEmpty() and found.count() == 64
+        (file,) = (tmp_path / name).glob("*.parquet")
+        pages[name] = page_sizes(spark, file)
+    # 256 KB a row: all 64 rows are one page unless its size is looked at before.
+    assert max(pages["usual"]) > 8 << 20 and max(pages["small"]) < 4 << 20
+
+
+def test_columns_are_read_in_pieces(spark, monkeypatch):
+    import corpus_pipeline
+
+    key = "parquet.hadoop.vectored.io.enabled"
+    for name, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(key)
+        with monkeypatch.context() as m:
+            for module, call in (("language_id", "learn"), ("jaccard_join", "keep_first"), ("decontamination", "keep_clean"), ("source_mixing", "repeat_documents"), ("token_output", "encode_documents")):
+                m.setattr(getattr(corpus_pipeline, module), call, lambda *a, **b: None)
+            m.setattr(corpus_pipeline.language_id, "predict", lambda rows, *a: rows.selectExpr("row", "'en' AS lang_pred", "1D AS bits_per_byte"))
+            m.setattr(corpus_pipeline, "table", lambda *a: None)
+            stage(spark, spark.createDataFrame([(1, "a text")], "doc_id long, text string"), "")
+        assert spark.conf.get(key) == "false", name
+    spark.conf.unset(key)
+    # Spark hands it on to the reader.
+    corpus_pipeline.plain_reads(spark)
+    assert spark._jsparkSession.sessionState().newHadoopConf().get(key) == "false"
+    spark.conf.unset(key)
